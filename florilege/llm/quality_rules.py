@@ -98,7 +98,7 @@ def certify(good: DataFrame, stratum: str, risk: Risk = Risk()) -> DataFrame:
 def quality_rules(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", risk: Risk = Risk(), max_strata: int = 10_000
 ) -> DataFrame:
-    """One row per row of docs: id, stratum, the base counts, base_failed, the cutoffs in force (cut_*), kept.
+    """One row per row of docs: id, text_hash (xxhash64), stratum, the base counts, base_failed, the cutoffs in force (cut_*), kept.
 
     kept is false if base_failed, or if a certified rule's signal exceeds its stratum's cutoff. A stratum with too few good
     labels for any cutoff has no rule beyond the base. Texts are read once; everything after works on their counts. The
@@ -108,7 +108,7 @@ def quality_rules(
     documents, or for a null id are ignored; a document labelled twice counts once, and as good only if no label says
     otherwise. Repeated rows get equal verdicts. Empty tables give an empty result or no rules. Other columns don't matter.
     """
-    rows = stash(signals(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("_stratum"), F.col(text_col).alias("_text")), "_text"), "rules-signals")
+    rows = stash(signals(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("_stratum"), F.xxhash64(whole(text_col)).alias("_hash"), F.col(text_col).alias("_text")), "_text"), "rules-signals")
     rows = rows.withColumn("base_failed", base_failed(risk))
     labelled = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(label_col).alias("_good")).filter("_good = 1").select("_id")
     good = rows.filter("NOT base_failed").join(labelled, "_id", "left_semi")
@@ -118,5 +118,5 @@ def quality_rules(
     for r, sql in RULES.items():
         passed = passed & ~F.coalesce(F.expr(f"({sql}) > cut_{r}"), F.lit(False))
     return rows.select(
-        F.col("_id").alias(id_col), F.col("_stratum").alias("stratum"), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", *(f"cut_{r}" for r in RULES), (~F.col("base_failed") & passed).alias("kept")
+        F.col("_id").alias(id_col), F.col("_hash").alias("text_hash"), F.col("_stratum").alias("stratum"), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", *(f"cut_{r}" for r in RULES), (~F.col("base_failed") & passed).alias("kept")
     )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact_dedup, importance, packing, quality_rules, sharding, url_filter, warc
+from . import bpe, common, exact_dedup, importance, jaccard, packing, quality_rules, sharding, suffix_dedup, url_filter, warc
 from .sql import SQL  # noqa: F401
 
 
@@ -32,10 +32,19 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_decode(tokens, path, keep=("n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(common.read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(common.read(spark, sf_dir, "pages"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(common.read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
 
@@ -53,4 +62,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_byte_bpe, op5_warc, op7_importance, op8_url_filter, op9_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_byte_bpe, op4_suffix_dedup, op5_warc, op6_jaccard, op7_importance, op8_url_filter, op9_packing, op10_quality_rules)}
