@@ -25,6 +25,8 @@ _LOWER[65:91] += 32
 _U = np.uint64
 #: Low bits of an entry: the record relies on it; it lacks one shingle of its segment.
 _TRUSTED, _DELETED = 1, 2
+#: Shingles in a cell of a big component.
+CELL = 1_000_000
 #: Groups of up to so many records are paired within their task; larger ones by stars and, where needed, block by block.
 SMALL = 12
 
@@ -278,7 +280,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows with the same set are one record. Signatures travel in blocks, one for each batch and bucket (a hash range), and
     meet there; candidates lose those whose sketches differ too much, and the rest are verified on their texts. A group of more than
     SMALL records with one signature gives a star and a chain at first; if the verified links leave it in several components,
-    its records are compared sketch by sketch in one task, across components only, and what remains is verified too.
+    its records are compared sketch by sketch in one task, across components only. What the sketches leave is verified as
+    pairs where it is little, else on the records' sets, block by block and without a row for each pair; a component of more than
+    SMALL records is cut into cells, and a record that may link to it is sent to each cell.
 
     Null text counts as empty; a row without words links with nothing and has its own id. Null ids never are a component_id
     unless all are null. Repeated rows are copies. An empty table gives an empty result. Other columns don't matter.
@@ -359,15 +363,18 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     records = stash(records.select("sid", "rep.id", "rep.th", "n", "sketch"), "jaccard-records")
     cards = records.select("sid", "n", "sketch")
 
+    def fetch(needed: DataFrame) -> DataFrame:
+        """(sid, text) of the records needed."""
+        wanted = records.join(needed, "sid", "left_semi").select("sid", F.col("id").alias("_id"), F.col("th").alias("_th"))
+        return texts.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("sid", "text").dropDuplicates(["sid"])
+
     def link(pairs: DataFrame, tag: str) -> DataFrame:
         """Those of pairs (a, b) that link."""
         sa, sb = (cards.withColumnsRenamed({"sid": k, "n": f"n_{k}", "sketch": f"s_{k}"}) for k in "ab")
         likely = pairs.join(sa, "a").join(sb, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(sift, "a long, b long")
         likely = stash(likely, f"{tag}-likely")
         needed = likely.select(F.col("a").alias("sid")).union(likely.select("b")).distinct()
-        wanted = records.join(needed, "sid", "left_semi").select("sid", F.col("id").alias("_id"), F.col("th").alias("_th"))
-        found = texts.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("sid", "text").dropDuplicates(["sid"])
-        found = stash(found, f"{tag}-texts")
+        found = stash(fetch(needed), f"{tag}-texts")
         release(spark)
         ta, tb = (found.withColumnsRenamed({"sid": k, "text": f"t_{k}"}) for k in "ab")
         return stash(likely.join(ta, "a").join(tb, "b").select("a", "b", "t_a", "t_b").mapInArrow(verify, "a long, b long"), f"{tag}-links")
@@ -397,28 +404,29 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ok = (100 + percent) * inter >= percent * (np.diff(oa) + np.diff(ob))
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in part.columns[:2]], names=["a", "b"])
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            g = table.column("g").to_numpy()
-            edges = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]))
-            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                sid, root, n = (table.column(c).to_numpy()[i:j] for c in ("sid", "root", "n"))
-                data, at = utf8(table.column("sketch").slice(i, j - i))
-                yield from _across(sid, root, n.astype(np.int64), data, at, percent)
-
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) > 20_000:
-                table = pa.Table.from_batches(held)
-                g = table.column("g").to_numpy()
-                if g[0] != g[-1]:
-                    cut = int(np.flatnonzero(g[1:] != g[:-1])[-1]) + 1
-                    yield from done(table.slice(0, cut))
-                    held = table.slice(cut).to_batches()
-        if held and sum(map(len, held)):
-            yield from done(pa.Table.from_batches(held))
+            raw, offsets = utf8(batch.column(1))
+            for a, b in pieces(offsets, 6 << 20):
+                tokens, at = shingle_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([tokens[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["sid", "tokens"])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_group(batches, "g"):
+            sid, root, n = (table.column(c).to_numpy() for c in ("sid", "root", "n"))
+            data, at = utf8(table.column("sketch"))
+            big = table.column("big").to_numpy(zero_copy_only=False).astype(bool)
+            yield from _across(int(table.column("g")[0].as_py()), sid, root, big, n.astype(np.int64), data, at, percent)
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_group(batches, "g"):
+            sid, root = table.column("sid").to_numpy(), table.column("root").to_numpy()
+            yield _spanning(sid, root, *_sets(table.column("tokens")), percent)
+
+    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_group(batches, "cell"):
+            asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+            yield _first_links(table.column("sid").to_numpy(), asks, *_sets(table.column("tokens")), percent)
 
     links = link(met.filter("what = 1").select("a", "b").distinct(), "jaccard")
     roots = stash(components(links, "jaccard-stars"), "jaccard-roots")
@@ -426,10 +434,27 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = stash(members, "jaccard-members")
     open_groups = stash(members.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("g"), "jaccard-open")
     if open_groups.limit(1).count():
-        waiting = members.join(open_groups, "g", "left_semi").join(cards, "sid").select("g", "sid", "root", "n", "sketch")
-        more = waiting.repartition("g").sortWithinPartitions("g").mapInArrow(across, "a long, b long").distinct()
-        more = more.join(links, ["a", "b"], "left_anti")
-        links = links.union(link(more, "jaccard-across"))
+        sizes = roots.groupBy("root").agg(F.count("*").alias("records"))
+        big = stash(sizes.filter(F.col("records") > SMALL).select("root", F.lit(True).alias("big")), "jaccard-big")
+        waiting = members.join(open_groups, "g", "left_semi").join(big, "root", "left").join(cards, "sid").select("g", "sid", "root", F.coalesce("big", F.lit(False)).alias("big"), "n", "sketch")
+        seen = stash(waiting.repartition("g").sortWithinPartitions("g").mapInArrow(across, "what int, a long, b long").distinct(), "jaccard-across")
+        # Pairs of records where a group leaves few; else its records, compared again on their sets; and records against a big component.
+        pairs = seen.filter("what = 1").select("a", "b").join(links, ["a", "b"], "left_anti")
+        crowds = seen.filter("what = 2").select(F.col("a").alias("g"), F.col("b").alias("sid")).join(members, ["g", "sid"]).select("g", "sid", "root")
+        asking = seen.filter("what = 3").select(F.col("a").alias("sid"), F.col("b").alias("root"))
+        asked = roots.join(asking.select("root").distinct(), "root", "left_semi").select(F.col("node").alias("sid"), "root")
+        more = link(pairs, "jaccard-pairs")
+        needed = crowds.select("sid").union(asking.select("sid")).union(asked.select("sid")).distinct()
+        sets = stash(fetch(needed).mapInArrow(sets_of, "sid long, tokens binary"), "jaccard-sets")
+        more = more.union(crowds.join(sets, "sid").select("g", "sid", "root", "tokens").repartition("g").sortWithinPartitions("g").mapInArrow(dense, "a long, b long"))
+        # A big component is cut into cells of about CELL shingles by a hash of the record; who asks is sent to each of them.
+        cells = asked.join(cards, "sid").groupBy("root").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("cells"))
+        cell = F.xxhash64("root", "k").alias("cell")
+        held = asked.join(cells, "root").withColumn("k", F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int")).select(cell, "sid", F.lit(False).alias("asks"))
+        sent = asking.join(cells, "root").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(cell, "sid", F.lit(True).alias("asks"))
+        table = held.union(sent).join(sets, "sid").select("cell", "sid", "asks", "tokens")
+        more = more.union(table.repartition("cell").sortWithinPartitions("cell", "asks").mapInArrow(against, "a long, b long"))
+        links = links.union(stash(more, "jaccard-more"))
         roots = stash(components(links, "jaccard-stars"), "jaccard-roots")
 
     placed = rows.join(roots, F.col("sid") == F.col("node"), "left").select("id", "th", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("root"))
@@ -450,26 +475,121 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def _across(sid: np.ndarray, root: np.ndarray, n: np.ndarray, data: np.ndarray, at: np.ndarray, percent: int, block: int = 256) -> Iterator[pa.RecordBatch]:
-    """Pairs of one group's records of different components that sizes and sketches allow, block against block."""
-    width = np.diff(at)
+def _by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each value of key, by which the batches are sorted."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        k = batch.column(batch.schema.get_field_index(key)).to_numpy()
+        if not len(k):
+            continue
+        for i, j in zip([0, *cuts(k)], [*cuts(k), len(k)], strict=True):
+            if held and held[0].column(held[0].schema.get_field_index(key))[0].as_py() != k[i]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def cuts(k: np.ndarray) -> list[int]:
+    return (np.flatnonzero(k[1:] != k[:-1]) + 1).tolist()
+
+
+def _sets(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    data, at = utf8(column)
+    return np.frombuffer(data.tobytes(), np.uint64), at // 8
+
+
+def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
+    """Links, the smaller id (unsigned) first."""
+    x, y = np.array(a, np.int64), np.array(b, np.int64)
+    less = x.view(np.uint64) < y.view(np.uint64)
+    return pa.RecordBatch.from_arrays([pa.array(np.where(less, x, y)), pa.array(np.where(less, y, x))], names=["a", "b"])
+
+
+def _spanning(sid: np.ndarray, root: np.ndarray, tokens: np.ndarray, at: np.ndarray, percent: int) -> pa.RecordBatch:
+    """Links that join the components of a group's records; pairs that are together by then aren't compared."""
+    n = np.diff(at)
+    order = np.argsort(n, kind="stable").tolist()
+    team = {r: r for r in root.tolist()}
+
+    def find(x: int) -> int:
+        while team[x] != x:
+            team[x] = x = team[team[x]]
+        return x
+
+    out: tuple[list[int], list[int]] = ([], [])
+    for i, u in enumerate(order):
+        for v in order[i + 1 :]:
+            if 100 * n[u] < percent * n[v]:
+                break
+            x, y = find(int(root[u])), find(int(root[v]))
+            if x != y and (100 + percent) * _shared(tokens[at[u] : at[u + 1]], tokens[at[v] : at[v + 1]]) >= percent * (n[u] + n[v]):
+                team[x] = y
+                out[0].append(int(sid[u]))
+                out[1].append(int(sid[v]))
+    return _pairs(*out)
+
+
+def _first_links(sid: np.ndarray, asks: np.ndarray, tokens: np.ndarray, at: np.ndarray, percent: int) -> pa.RecordBatch:
+    """For each record that asks, its first link to one of the others, if it has any."""
+    n = np.diff(at)
+    held = np.flatnonzero(~asks)
+    out: tuple[list[int], list[int]] = ([], [])
+    for u in np.flatnonzero(asks).tolist():
+        mine = tokens[at[u] : at[u + 1]]
+        for v in held[(100 * np.minimum(n[held], n[u]) >= percent * np.maximum(n[held], n[u]))].tolist():
+            if (100 + percent) * _shared(mine, tokens[at[v] : at[v + 1]]) >= percent * (n[u] + n[v]):
+                out[0].append(int(sid[u]))
+                out[1].append(int(sid[v]))
+                break
+    return _pairs(*out)
+
+
+def _across(g: int, sid: np.ndarray, root: np.ndarray, big: np.ndarray, n: np.ndarray, data: np.ndarray, at: np.ndarray, percent: int, block: int = 256) -> Iterator[pa.RecordBatch]:
+    """What one group leaves to verify between its components, as sizes and sketches allow; no more rows than a few for each record.
+
+    (1, a, b): a pair of records of small components; (2, group, record): a record of such a pair, where they are more
+    than four to a record; (3, record, root): a record and another, big component.
+    """
     order = np.argsort(n, kind="stable")
-    sid, root, n = sid[order], root[order], n[order]
-    starts, width = at[:-1][order], width[order]
+    sid, root, big, n = sid[order], root[order], big[order], n[order]
+    width = np.diff(at)[order]
+    starts = at[:-1][order]
+    fold = lambda rows, w: np.stack([_fold(data[starts[r] : starts[r] + width[r]], w) for r in rows])
+    a, b, total = [], [], 0
+    crowd, asking = np.zeros(len(sid), bool), set()
     for i in range(0, len(sid), block):
-        a = np.arange(i, min(i + block, len(sid)))
-        end = int(np.searchsorted(n, n[a[-1]] * 100 // percent, "right"))
+        u = np.arange(i, min(i + block, len(sid)))
+        end = int(np.searchsorted(n, n[u[-1]] * 100 // percent, "right"))
         for j in range(i, end, block):
-            b = np.arange(j, min(j + block, end))
-            w = int(min(width[a].min(), width[b].min()))
-            fold = lambda rows: np.stack([_fold(data[starts[r] : starts[r] + width[r]], w) for r in rows])  # noqa: B023, E731
-            x, y = fold(a), fold(b)
-            differ = np.empty((len(a), len(b)), np.int64)
-            for r in range(len(a)):
-                differ[r] = (x[r] != y).sum(1)
-            ok = (root[a][:, None] != root[b]) & (sid[a][:, None] != sid[b]) & _may_link(n[a][:, None], n[b], differ, percent) & (100 * np.minimum(n[a][:, None], n[b]) >= percent * np.maximum(n[a][:, None], n[b]))
+            v = np.arange(j, min(j + block, end))
+            ok = (root[u][:, None] != root[v]) & (u[:, None] < v) & (100 * n[u][:, None] >= percent * n[v])
+            if not ok.any():
+                continue
+            w = int(min(width[u].min(), width[v].min()))
+            x, y = fold(u, w), fold(v, w)
+            for r in np.flatnonzero(ok.any(1)).tolist():
+                ok[r] &= _may_link(n[u[r]], n[v], (x[r] != y).sum(1), percent)
             p, q = np.nonzero(ok)
-            s, t = sid[a][p], sid[b][q]
-            u, v = s.view(np.uint64), t.view(np.uint64)
-            lo = np.where(u < v, s, t)
-            yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(np.where(u < v, t, s))], names=["a", "b"])
+            p, q = u[p], v[q]
+            for s, t in ((p, q), (q, p)):
+                to = big[t]
+                asking.update(zip(sid[s[to]].tolist(), root[t[to]].tolist(), strict=True))
+            small = ~(big[p] | big[q])
+            p, q = p[small], q[small]
+            crowd[p] = crowd[q] = True
+            total += len(p)
+            if total <= 4 * len(sid):
+                a.append(p)
+                b.append(q)
+    rows = []
+    if total > 4 * len(sid):
+        rows.append((2, np.full(int(crowd.sum()), g), sid[crowd]))
+    elif total:
+        pairs = _pairs(sid[np.concatenate(a)].tolist(), sid[np.concatenate(b)].tolist())
+        rows.append((1, pairs.column(0).to_numpy(), pairs.column(1).to_numpy()))
+    if asking:
+        rows.append((3, *np.array(sorted(asking), np.int64).T))
+    for what, x, y in rows:
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), what, np.int32)), pa.array(np.ascontiguousarray(x)), pa.array(np.ascontiguousarray(y))], names=["what", "a", "b"])

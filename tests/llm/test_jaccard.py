@@ -96,3 +96,46 @@ def test_null_ids_and_repeated_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (None, None)], "doc_id long, text string")
     got = sorted(((r.doc_id or -1), r.n_shingles, r.component_id or -1) for r in jaccard_groups(docs).collect())
     assert got == [(-1, 0, -1), (-1, 2, 7), (7, 2, 7), (7, 2, 7)]
+
+
+@pytest.mark.parametrize("small", [2, 5])
+def test_families_that_fall_apart(spark, monkeypatch, small):
+    """Families whose members are about as similar as the threshold, as pairs, crowds and big components."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "CELL", 500)
+    r = random.Random(small)
+    texts = []
+    for _ in range(3):
+        base = [f"b{r.randrange(10**6)}" for _ in range(100)]
+        for k in range(40):
+            t = list(base)
+            for _ in range(r.choice([1, 2, 3])):
+                t[r.randrange(len(t))] = f"e{r.randrange(10**6)}"
+            texts.append(" ".join(t))
+    rows = list(enumerate(texts))
+    expected = brute(rows)
+    assert 3 < len({c for _, _, c in expected}) < len(rows)
+    assert run(spark, rows, buckets=4) == expected
+
+
+def test_spanning_and_first_links_match_all_pairs():
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 62, 60, dtype=np.uint64))
+    sets = [np.unique(np.concatenate((rng.choice(base, 54, replace=False), rng.integers(0, 1 << 62, k, dtype=np.uint64)))) for k in rng.integers(0, 9, 30)]
+    tokens, at = np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    sid = np.arange(30)
+    linked = {(i, j) for i, j in combinations(range(30), 2) if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))}
+    got = jaccard._spanning(sid, sid, tokens, at, 80)
+    pairs = set(zip(*(c.to_pylist() for c in got.columns)))
+    assert pairs <= linked and len(pairs) == 30 - len(_classes(30, linked))
+    asks = sid % 3 == 0
+    got = jaccard._first_links(sid, asks, tokens, at, 80)
+    assert {x for p in zip(*(c.to_pylist() for c in got.columns)) for x in p if asks[x]} == {i for i in range(0, 30, 3) if any((min(i, j), max(i, j)) in linked for j in range(30) if j % 3)}
+
+
+def _classes(n, linked):
+    root = list(range(n))
+    for _ in range(n):
+        for i, j in linked:
+            root[i] = root[j] = min(root[i], root[j])
+    return set(root)
