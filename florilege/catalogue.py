@@ -1,4 +1,5 @@
-"""Every registered query and, where SQL can express it, the DuckDB statement with the same result."""
+"""Every registered query of the engine itself and, where SQL can express it, the DuckDB statement with the same result."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans.quotations import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
