@@ -17,17 +17,19 @@ _SHIFT = 256
 
 #: Contract the leftmost pair of least rank of every word, until no word has a pair that the merge table knows. Words that
 #: still change go on to the next round; a word's tokens are the rows of its last round. A token's id is its rank.
+#: Rows are linked by the position of the next token; a round finds each word's best pair, gives its left row the merged
+#: token and the right row's link, and drops the right row.
 _MERGE = """
 WITH RECURSIVE step AS (
-  SELECT 0 AS round, word, pos, id FROM symbols
+  SELECT 0 AS round, word, pos, pos + 1 AS next, id FROM symbols
   UNION ALL
-  SELECT round + 1, word, pos, CASE WHEN pos = best % 65536 THEN best // 65536 ELSE id END
-  FROM (
-    SELECT round, word, pos, id, before, min(merged * 65536 + pos) OVER (PARTITION BY word) AS best
-    FROM (SELECT *, lead(id) OVER w AS next, lag(pos) OVER w AS before FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)) AS pairs
-    LEFT JOIN merges ON a = id AND b = next
-  ) AS ranked
-  WHERE best IS NOT NULL AND before IS DISTINCT FROM best % 65536
+  SELECT round + 1, s.word, pos, CASE WHEN pos = best % 65536 THEN after ELSE next END, CASE WHEN pos = best % 65536 THEN best // 65536 ELSE id END
+  FROM step AS s JOIN (
+    SELECT l.word, min(merged * 65536 + l.pos) AS best, arg_min(r.pos, merged * 65536 + l.pos) AS gone, arg_min(r.next, merged * 65536 + l.pos) AS after
+    FROM step AS l JOIN step AS r ON r.word = l.word AND r.pos = l.next JOIN merges ON a = l.id AND b = r.id
+    GROUP BY l.word
+  ) AS pairs ON pairs.word = s.word
+  WHERE pos != gone
 )
 SELECT word, pos, id FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) AS ended USING (word, round) ORDER BY word, pos
 """
@@ -91,8 +93,8 @@ class Codec:
                 known[w] = np.array(self._heap(raw), np.int32).tobytes()
             else:
                 short.append((w, raw))
-        for at in range(0, len(short), 20_000):
-            run = short[at : at + 20_000]
+        for at in range(0, len(short), 10_000):
+            run = short[at : at + 10_000]
             n = np.array([len(raw) for _, raw in run])
             word = np.repeat(np.arange(len(run)), n)
             pos = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
