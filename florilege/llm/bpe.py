@@ -18,18 +18,19 @@ _SHIFT = 256
 #: Contract the leftmost pair of least rank of every word, until no word has a pair that the merge table knows. Words that
 #: still change go on to the next round; a word's tokens are the rows of its last round. A token's id is its rank.
 #: Rows are linked by the position of the next token; a round finds each word's best pair, gives its left row the merged
-#: token and the right row's link, and drops the right row.
+#: token and the right row's link, and drops the right row. A pair is one integer: its token above, then the left row's
+#: position, the right row's and its link, seven bits each, which order pairs by rank and then by place.
 _MERGE = """
 WITH RECURSIVE step AS (
   SELECT 0 AS round, word, pos, pos + 1 AS next, id FROM symbols
   UNION ALL
-  SELECT round + 1, s.word, pos, CASE WHEN pos = best % 65536 THEN after ELSE next END, CASE WHEN pos = best % 65536 THEN best // 65536 ELSE id END
+  SELECT round + 1, s.word, pos, CASE WHEN pos = (best >> 14) & 127 THEN best & 127 ELSE next END, CASE WHEN pos = (best >> 14) & 127 THEN best >> 21 ELSE id END
   FROM step AS s JOIN (
-    SELECT l.word, min(merged * 65536 + l.pos) AS best, arg_min(r.pos, merged * 65536 + l.pos) AS gone, arg_min(r.next, merged * 65536 + l.pos) AS after
+    SELECT l.word, min((merged << 21) + (l.pos << 14) + (r.pos << 7) + r.next) AS best
     FROM step AS l JOIN step AS r ON r.word = l.word AND r.pos = l.next JOIN merges ON a = l.id AND b = r.id
     GROUP BY l.word
   ) AS pairs ON pairs.word = s.word
-  WHERE pos != gone
+  WHERE pos != (best >> 7) & 127
 )
 SELECT word, pos, id FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) AS ended USING (word, round) ORDER BY word, pos
 """
@@ -53,10 +54,12 @@ class Codec:
     `longest` bytes take the same merges from a heap instead: the recursion's rounds and rows both grow with a word's length.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 200_000, longest: int = 64, memory: str = "300MB"):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 400_000, longest: int = 64, memory: str = "300MB"):
         import duckdb
         import regex
 
+        if longest > 120:
+            raise ValueError("longest is at most 120: positions have seven bits")
         self.ranks, self.most, self.longest = ranks, cache, longest
         self.split = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}

@@ -28,7 +28,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     tokens = bpe.bpe_encode(common.read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    tokens = tokens.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"))
+    tokens = tokens.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.translate(F.to_json("ids"), ",[]", " ").cast("binary"), 256).alias("ids_sha256"))
     return bpe.bpe_decode(tokens, path, keep=("n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
