@@ -326,7 +326,7 @@ def no_spans_rows(t, spark):
 
 def gold_and_pred(t) -> tuple[DataFrame, DataFrame]:
     """Verbatim spans as gold, with the item's parity as type; predictions are moved by five characters and lack every seventh item."""
-    v = verbatim(t).withColumn("label", F.when(F.col("item_id") % 2 == 0, "Ayah").otherwise("Hadith")).withColumn("span_no", F.col("item_id"))
+    v = verbatim(t).persist().withColumn("label", F.when(F.col("item_id") % 2 == 0, "Ayah").otherwise("Hadith")).withColumn("span_no", F.col("item_id"))
     return v, v.filter("item_id % 7 != 0").withColumns({"span_start": F.col("span_start") + 5, "span_end": F.col("span_end") + 5, "label": F.when(F.col("item_id") % 5 == 0, "Ayah").otherwise(F.col("label"))})
 
 
@@ -401,7 +401,7 @@ _VOTED = """, m AS (SELECT doc_id, span_start AS s, span_end AS e, item_id, CASE
 
 @query(_VERB + _VOTED + " SELECT doc_id, min(c)::BIGINT AS start, (max(c) + 1)::BIGINT AS stop, label FROM (SELECT doc_id, c, label, c - row_number() OVER (PARTITION BY doc_id, label ORDER BY c) AS g FROM y WHERE label IS NOT NULL) GROUP BY doc_id, label, g")
 def weighted_char_vote(t, spark):
-    v = verbatim(t).withColumn("label", F.when(F.col("item_id") % 2 == 0, "q").otherwise("h"))
+    v = verbatim(t).persist().withColumn("label", F.when(F.col("item_id") % 2 == 0, "q").otherwise("h"))
     rows = v.select("doc_id", F.lit(1).alias("model"), "label", "span_start", "span_end").union(v.select("doc_id", F.lit(2), "label", F.col("span_start") + 5, F.col("span_end") + 5))
     rows = rows.union(v.filter("item_id % 3 != 0").select("doc_id", F.lit(3), F.lit("q"), "span_start", F.col("span_end") - 7))
     models = spark.createDataFrame([(1, 0.9), (2, 0.8), (3, 0.5)], "model int, weight double")
