@@ -17,23 +17,27 @@ _SHIFT = 256
 
 #: Contract the leftmost pair of least rank of every word, until no word has a pair that the merge table knows. Words that
 #: still change go on to the next round; a word's tokens are the rows of its last round. A token's id is its rank.
-#: Rows are linked by the position of the next token; a round finds each word's best pair, gives its left row the merged
-#: token and the right row's link, and drops the right row. A pair is one integer: its token above, then the left row's
-#: position, the right row's and its link, seven bits each, which order pairs by rank and then by place.
+#: A row holds its position, that of the next token, and the pair of its id and the next token's in one integer, 24 bits for
+#: each id (all ones: no next token). A round finds each word's best pair by rank and then by place; its left row takes the
+#: merged id and what the right row says of its next token, the row before it takes the merged id as its next, and the
+#: right row goes. Positions have seven bits.
 _MERGE = """
 WITH RECURSIVE step AS (
-  SELECT 0 AS round, word, pos, pos + 1 AS next, id FROM symbols
+  SELECT 0 AS round, word, pos, pos + 1 AS next, (id << 24) + coalesce(lead(id) OVER (PARTITION BY word ORDER BY pos), 16777215) AS pair FROM symbols
   UNION ALL
-  SELECT round + 1, s.word, pos, CASE WHEN pos = (best >> 14) & 127 THEN best & 127 ELSE next END, CASE WHEN pos = (best >> 14) & 127 THEN best >> 21 ELSE id END
+  SELECT round + 1, s.word, pos, CASE WHEN pos = spot THEN beyond ELSE next END,
+    CASE WHEN pos = spot THEN (merged << 24) + beyond_id WHEN next = spot THEN (pair >> 24 << 24) + merged ELSE pair END
   FROM step AS s JOIN (
-    SELECT l.word, min((merged << 21) + (l.pos << 14) + (r.pos << 7) + r.next) AS best
-    FROM step AS l JOIN step AS r ON r.word = l.word AND r.pos = l.next JOIN merges ON a = l.id AND b = r.id
-    GROUP BY l.word
-  ) AS pairs ON pairs.word = s.word
-  WHERE pos != (best >> 7) & 127
+    SELECT p.word, best >> 14 AS merged, (best >> 7) & 127 AS spot, r.pos AS gone, r.next AS beyond, r.pair & 16777215 AS beyond_id
+    FROM (SELECT word, min((merged << 14) + (pos << 7) + next) AS best FROM step JOIN merges USING (pair) GROUP BY word) AS p
+    JOIN step AS r ON r.word = p.word AND r.pos = best & 127
+  ) AS b ON b.word = s.word
+  WHERE pos != gone
 )
-SELECT word, pos, id FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) AS ended USING (word, round) ORDER BY word, pos
+SELECT word, pos, pair >> 24 AS id FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) AS ended USING (word, round) ORDER BY word, pos
 """
+#: Rows that a run of the recursion makes at most, all rounds together (a word of n bytes makes up to n (n + 1) / 2).
+_ROWS = 1_500_000
 _DECODE = "SELECT row, string_agg(token, '' ORDER BY pos) AS text FROM ids JOIN vocabulary ON vocabulary.rank = ids.id GROUP BY row"
 
 
@@ -60,6 +64,8 @@ class Codec:
 
         if longest > 120:
             raise ValueError("longest is at most 120: positions have seven bits")
+        if max(ranks.values(), default=0) >= (1 << 24) - 1:
+            raise ValueError("ranks have 24 bits")
         self.ranks, self.most, self.longest = ranks, cache, longest
         self.split = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
@@ -71,7 +77,7 @@ class Codec:
         pairs = [(left, right, merged) for token, merged in ranks.items() for i in range(1, len(token)) if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None]
         a, b, merged = np.array(pairs, np.int64).reshape(-1, 3).T
         self._keep("vocabulary", {"token": [_text(t) for t in ranks], "rank": pa.array(list(ranks.values()), pa.int64())})
-        self._keep("merges", {"a": a, "b": b, "merged": merged})
+        self._keep("merges", {"pair": (a << 24) + b, "merged": merged})
 
     def _keep(self, name: str, columns: dict) -> None:
         self.db.register("loaded", pa.table(columns))
@@ -96,9 +102,10 @@ class Codec:
                 known[w] = np.array(self._heap(raw), np.int32).tobytes()
             else:
                 short.append((w, raw))
-        for at in range(0, len(short), 10_000):
-            run = short[at : at + 10_000]
-            n = np.array([len(raw) for _, raw in run])
+        short.sort(key=lambda x: len(x[1]))  # words of like length end in like rounds
+        sizes = np.array([len(raw) for _, raw in short], np.int64)
+        for at, end in pieces(np.concatenate(([0], np.cumsum(sizes * (sizes + 1) // 2))), _ROWS):
+            run, n = short[at:end], sizes[at:end]
             word = np.repeat(np.arange(len(run)), n)
             pos = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
             first = self.bytes[np.frombuffer(b"".join(raw for _, raw in run), np.uint8)]
