@@ -93,6 +93,31 @@ def test_a_small_cache_changes_nothing():
         assert small.encode([text])[0].tolist() == large.encode([text])[0].tolist()
 
 
+def test_long_words_in_many_runs_of_the_recursion(monkeypatch):
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks, rng = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), random.Random(3)
+    text = " ".join("".join(rng.choices("abcdeABé", k=rng.choice([1, 7, 40, 59, 70]))) for _ in range(400)) + " " + "a" * 63 + " " + "ab" * 31
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for rows in (1, 5000, bpe._ROWS):
+        monkeypatch.setattr(bpe, "_ROWS", rows)
+        assert bpe.Codec(ranks, P.PATTERN).encode([text])[0].tolist() == enc.encode_ordinary(text)
+
+
+def test_the_bpe_query_gives_the_librarys_digests(spark, tmp_path):
+    import public_tokenizers as P
+    import tiktoken
+
+    from florilege.llm.queries import op3_byte_bpe
+
+    frame(spark, ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    ids = [enc.encode_ordinary(t or "") for t in ODD]
+    want = [(i, len(x), sha(" ".join(map(str, x)).encode()), sha((ODD[i] or "").encode())) for i, x in enumerate(ids)]
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op3_byte_bpe(spark, str(tmp_path)).collect()) == want
+
+
 def test_warc_records(spark):
     page = '<html lang="fr"><head><title>T &amp; t</title><style>p{}</style></head><body><!-- no --><script>var t="</p>";</script><p>One&nbsp;&lt;1&gt;<br>two</p><a href="/x?a=1&amp;b=2">go</a> 3 < 4</body></html>'
     rows = [(1, "http://a/b", page, 1), (2, None, None, 1), (None, "http://c\r\nX: y", "", 1), (1, "http://a/b", page, 1)]
