@@ -222,10 +222,15 @@ def verify_exact_then_fuzzy(t, spark):
 _KEY = "lower(trim(regexp_replace(regexp_replace(regexp_replace({0}, '[،؛:.!?()«»\"]', ' ', 'g'), '[0-9\\[\\]/]', ' ', 'g'), '\\s+', ' ', 'g')))"
 
 
-@query(f"SELECT doc_id, min(item_id) AS item_id FROM documents d JOIN benchmark b ON {_KEY.format('d.text')} = {_KEY.format('b.text')} GROUP BY doc_id")
+@query(f"""WITH s AS (SELECT 'document' AS kind, doc_id AS span_id, text FROM documents UNION ALL SELECT 'quoted', item_id, concat('«', text, '» (12)') FROM benchmark
+  UNION ALL SELECT 'cut', item_id, regexp_replace(text, '^\\S+\\s', '') FROM benchmark)
+  SELECT kind, span_id, min(item_id) AS item_id FROM s JOIN benchmark b ON {_KEY.format('s.text')} = {_KEY.format('b.text')} GROUP BY kind, span_id""")
 def verify_exact(t, spark):
-    d = t("documents").select("doc_id", profiles.verse_key(F.col("text")).alias("k"))
-    return d.join(passages(t).select("item_id", profiles.verse_key(F.col("passage")).alias("k")), "k").groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
+    """Whole documents, passages in quotation marks and passages without their first word, where a passage has the same key."""
+    kinds = {"document": (t("documents"), "doc_id", F.col("text")), "quoted": (t("benchmark"), "item_id", F.concat(F.lit("«"), "text", F.lit("» (12)"))), "cut": (t("benchmark"), "item_id", F.regexp_replace("text", r"^\S+\s", ""))}
+    made = [df.select(F.lit(kind).alias("kind"), F.col(i).alias("span_id"), profiles.verse_key(text).alias("k")) for kind, (df, i, text) in kinds.items()]
+    keys = passages(t).select("item_id", profiles.verse_key(F.col("passage")).alias("k"))
+    return made[0].union(made[1]).union(made[2]).join(keys, "k").groupBy("kind", "span_id").agg(F.min("item_id").alias("item_id"))
 
 
 @query("SELECT item_id, arg_max(doc_id, (c, -doc_id)) AS doc_id, round(max(c), 6) AS coverage FROM (SELECT item_id, doc_id, length(b.text)::DOUBLE / length(d.text) AS c FROM documents d JOIN benchmark b ON contains(d.text, b.text)) GROUP BY item_id")
