@@ -70,14 +70,19 @@ def without_key(schema, key: str):
 
 
 def quoted(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", least_letters: int = 10) -> DataFrame:
-    """The offline detector: stretches between quotation marks, edges trimmed to words, of at least `least_letters` letters, none nested."""
-    marks = "\"([^\"]{3,2000})\"|«([^»]{3,2000})»|“([^”]{3,2000})”"
-    found = docs.select(doc_id, text_col, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(f"(?:{marks})"), F.lit(0))).alias("_i", "_m"))
-    found = found.withColumn("_at", F.instr(F.col(text_col), F.col("_m")) - 1)
-    start, end = trim_to_words(F.col(text_col), F.col("_at"), F.col("_at") + F.length("_m"))
-    out = found.select(doc_id, text_col, start.cast("long").alias("span_start"), end.cast("long").alias("span_end")).distinct()
-    part = F.substr(F.col(text_col), F.col("span_start").cast("int") + 1, (F.col("span_end") - F.col("span_start")).cast("int"))
-    return out.filter(F.length(F.regexp_replace(part, r"[^\p{L}]", "")) >= least_letters).select(doc_id, "span_start", "span_end", part.alias("span"))
+    """The offline detector: stretches between quotation marks, of any length and each at its own place, edges trimmed to words, of at least `least_letters` letters, none nested.
+
+    Repeated rows each have their spans.
+    """
+    marks = "\"[^\"]{3,}+\"|«[^»]{3,}+»|“[^”]{3,}+”"
+    found = docs.select(doc_id, F.regexp_extract_all(F.col(text_col), F.lit(marks), F.lit(0)).alias("_m"), F.split(F.col(text_col), marks).alias("_gap"))
+    # The text is gap, match, gap, ..., gap: each gap begins where the lengths so far end.
+    begin = F.aggregate(F.arrays_zip("_gap", "_m"), F.array(F.lit(0)), lambda done, x: F.array_append(done, F.element_at(done, -1) + F.length(x["_gap"]) + F.coalesce(F.length(x["_m"]), F.lit(0))))
+    found = found.withColumn("_at", F.zip_with(F.slice(begin, 1, F.size("_gap")), "_gap", lambda at, gap: at + F.length(gap)))
+    found = found.select(doc_id, F.inline(F.slice(F.arrays_zip("_m", "_at"), F.lit(1), F.size("_m"))))
+    lead, tail = trim_to_words(F.col("_m"), F.lit(0), F.length("_m"))
+    out = found.select(doc_id, (F.col("_at") + lead).cast("long").alias("span_start"), (F.col("_at") + tail).cast("long").alias("span_end"), F.substr("_m", lead + 1, tail - lead).alias("span"))
+    return out.filter(F.length(F.regexp_replace("span", r"[^\p{L}]", "")) >= least_letters)
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("span_start", T.IntegerType()), T.StructField("span_end", T.IntegerType()), T.StructField("tag", T.StringType())])))
