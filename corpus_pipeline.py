@@ -18,6 +18,21 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (_hash() == kept["_th"]), "left_semi")
 
 
+def _one(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of docs for each (doc_id, text_hash) in kept, which has a row for each row of docs that it names.
+
+    Only the texts of repeated rows are compared as whole rows, the least of which stays.
+    """
+    keys = common.stash(kept.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")), "pipeline-keys")
+    once, again = _only(docs, keys.filter("n = 1")), keys.filter("n > 1")
+    few = again.limit(100_001).count()
+    if not few:
+        return once
+    rows = _only(docs, F.broadcast(again) if few <= 100_000 else again)
+    least = rows.groupBy("doc_id", _hash().alias("_th")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return once.unionByName(least.select("_row.*"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, whose cutoffs are certified on the labelled ones among them."""
     return _only(docs, quality_rules.quality_rules(docs, common.read(spark, sf_dir, "labels")).filter("kept"))
@@ -25,13 +40,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return _only(docs, exact_dedup.exact_dedup(docs, carry={"text_hash": _hash()}).filter("kept"))
+    return _one(docs, exact_dedup.exact_dedup(docs, carry={"text_hash": _hash()}).filter("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near duplicates."""
-    groups = jaccard.jaccard_groups(docs)
-    return _only(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One document, the one with the smallest id, of each group of near duplicates; of several with that id, or all without one, the one with the least text hash.
+
+    Documents without words are in no group.
+    """
+    groups = common.stash(jaccard.jaccard_groups(docs, group_col="group_id").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))), "pipeline-groups")
+    least = groups.filter("group_id IS NOT NULL").groupBy("group_id").agg(F.min("text_hash").alias("least"))
+    first = groups.join(least, "group_id", "left").filter("group_id IS NULL OR text_hash = least")
+    return _one(docs, first)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -271,9 +271,11 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         mark = seen
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, buckets: int | None = None) -> DataFrame:
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, buckets: int | None = None, group_col: str | None = None) -> DataFrame:
     """One row per row of docs: id, text_hash (xxhash64), n_shingles, component_id, the least id reachable by links (its own if there is none).
 
+    group_col names one more column, which tells components apart whatever their ids, null for a row without words.
+
     Words are runs of other than ASCII white space, with A-Z as a-z; a set holds the distinct shingles of `width` words, the whole
     sequence if there are fewer. Two rows link when 100 * |intersection| >= percent * |union|; every link counts.
 
@@ -459,9 +461,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     placed = rows.join(roots, F.col("sid") == F.col("node"), "left").select("id", "th", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("root"))
     least = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component"))
-    many = placed.filter("root IS NOT NULL").join(least, "root").select("id", "th", "n", "component")
-    alone = placed.filter("root IS NULL").select("id", "th", "n", F.col("id").alias("component"))
-    return many.union(alone).select(F.col("id").alias(id_col), F.col("th").alias("text_hash"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+    many = placed.filter("root IS NOT NULL").join(least, "root").select("id", "th", "n", "component", "root")
+    alone = placed.filter("root IS NULL").select("id", "th", "n", F.col("id").alias("component"), "root")
+    group = [F.col("root").alias(group_col)] if group_col else []
+    return many.union(alone).select(F.col("id").alias(id_col), F.col("th").alias("text_hash"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), *group)
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
