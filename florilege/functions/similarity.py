@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -23,6 +24,21 @@ def sequence_ratio(query: Column, reference: Column, autojunk: bool = True) -> C
     return ratio(query, reference)
 
 
+def sequence_ratio_over(query: Column, reference: Column, least: Column) -> Column:
+    """M1, or 0 where the characters that both have, wherever they stand, keep it under `least`: alignment is the dear part."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series, floor: pd.Series) -> pd.Series:
+        def one(x: str | None, y: str | None, f: float) -> float:
+            if not x or not y or 2.0 * sum((Counter(x) & Counter(y)).values()) / (len(x) + len(y)) < f:
+                return 0.0
+            return SequenceMatcher(None, x, y).ratio()
+
+        return pd.Series([one(x, y, f) for x, y, f in zip(a, b, floor, strict=True)])
+
+    return ratio(query, reference, least)
+
+
 def ngram_jaccard(a: Column, b: Column, weights: tuple[tuple[int, float], ...] = ((2, 0.3), (3, 0.4), (4, 0.3))) -> Column:
     """M3: weighted Jaccard of word n-grams over the n for which the union isn't empty."""
     total = F.lit(0.0)

@@ -38,7 +38,9 @@ def diacritics_rejected(given: Column, reference: Column, accuracy: float = 0.8)
 def verify_verses(spans: DataFrame, span_id: str, span_col: str, corpus: DataFrame, passage_id: str, passage_col: str, threshold: float = 0.85) -> DataFrame:
     """V1: (span, is_match, similarity, passage, match_type): exact on normalised texts first, then the best accepted candidate that shares a word.
 
-    Only spans without an exact match, and pairs that share a word of three characters, reach the Python measure.
+    Only spans without an exact match, and pairs that share a word of three characters and that the bound of the ratio by their
+    lengths lets reach the threshold, or where the passage contains the span, come to the Python measure, which aligns only what the
+    bound by their characters leaves; no match is lost by either.
     """
     q = spans.select(span_id, F.col(span_col).alias("_s"), profiles.verse_key(F.col(span_col)).alias("_q"))
     c = corpus.select(passage_id, F.col(passage_col).alias("_p"), profiles.verse_key(F.col(passage_col)).alias("_c"))
@@ -47,7 +49,8 @@ def verify_verses(spans: DataFrame, span_id: str, span_col: str, corpus: DataFra
     tokens = lambda df, i, t: df.select(i, F.explode(F.array_distinct(words(F.col(t), 3))).alias("token"))
     pairs = tokens(rest, span_id, "_q").join(tokens(c, passage_id, "_c"), "token").select(span_id, passage_id).distinct()
     pairs = pairs.join(rest, span_id).join(c, passage_id).withColumn("_sub", F.contains("_c", "_q") & (F.size(words(F.col("_q"))) > 2))
-    pairs = pairs.filter(~diacritics_rejected(F.col("_s"), F.col("_p"))).withColumn("_r", similarity.sequence_ratio(F.col("_q"), F.col("_c")))
+    bound = 2 * F.least(F.length("_q"), F.length("_c")) / (F.length("_q") + F.length("_c"))
+    pairs = pairs.filter(F.contains("_c", "_q") | (bound >= threshold - 1e-9)).filter(~diacritics_rejected(F.col("_s"), F.col("_p"))).withColumn("_r", similarity.sequence_ratio_over(F.col("_q"), F.col("_c"), F.when(F.contains("_c", "_q"), 0.0).otherwise(threshold)))
     score = F.when(F.col("_sub"), F.greatest(F.col("_r"), F.lit(threshold))).otherwise(F.col("_r"))
     found = pairs.withColumn("similarity", score).filter(F.col("_sub") | F.contains("_c", "_q") | (F.col("_r") >= threshold))
     best = found.groupBy(span_id).agg(F.max_by(F.struct("similarity", passage_id, F.when(F.col("_sub"), "substring").otherwise("fuzzy").alias("match_type")), F.struct("similarity", -F.col(passage_id))).alias("_b"))

@@ -214,9 +214,16 @@ def lines(t) -> DataFrame:
     return b.union(b.select(F.col("span_id") + 50, F.regexp_replace("span", r"^\S+\s", "")))
 
 
+def document_lines(t) -> DataFrame:
+    """Every line of every document that isn't blank, as spans to verify; their ids are negative."""
+    d = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "span")).filter("trim(span) != ''")
+    return d.select((-(F.col("doc_id") * 1_000_000 + F.col("line") + 1)).alias("span_id"), "span")
+
+
 @query()
 def verify_exact_then_fuzzy(t, spark):
-    return verify.verify_verses(lines(t), "span_id", "span", passages(t), "item_id", "passage").withColumn("similarity", r6(F.col("similarity")))
+    """The lines of all documents, and those of the passages with altered copies."""
+    return verify.verify_verses(lines(t).union(document_lines(t)), "span_id", "span", passages(t), "item_id", "passage").withColumn("similarity", r6(F.col("similarity")))
 
 
 _KEY = "lower(trim(regexp_replace(regexp_replace(regexp_replace({0}, '[،؛:.!?()«»\"]', ' ', 'g'), '[0-9\\[\\]/]', ' ', 'g'), '\\s+', ' ', 'g')))"
