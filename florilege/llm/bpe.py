@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ _SHIFT = 256
 #: A row holds its position, that of the next token, and the pair of its id and the next token's in one integer, 24 bits for
 #: each id (all ones: no next token). A round finds each word's best pair by rank and then by place; its left row takes the
 #: merged id and what the right row says of its next token, the row before it takes the merged id as its next, and the
-#: right row goes. Positions have seven bits.
+#: right row goes. Positions have 19 bits.
 _MERGE = """
 WITH RECURSIVE step AS (
   SELECT 0 AS round, word, pos, pos + 1 AS next, (id << 24) + coalesce(lead(id) OVER (PARTITION BY word ORDER BY pos), 16777215) AS pair FROM symbols
@@ -28,9 +29,9 @@ WITH RECURSIVE step AS (
   SELECT round + 1, s.word, pos, CASE WHEN pos = spot THEN beyond ELSE next END,
     CASE WHEN pos = spot THEN (merged << 24) + beyond_id WHEN next = spot THEN (pair >> 24 << 24) + merged ELSE pair END
   FROM step AS s JOIN (
-    SELECT p.word, best >> 14 AS merged, (best >> 7) & 127 AS spot, r.pos AS gone, r.next AS beyond, r.pair & 16777215 AS beyond_id
-    FROM (SELECT word, min((merged << 14) + (pos << 7) + next) AS best FROM step JOIN merges USING (pair) GROUP BY word) AS p
-    JOIN step AS r ON r.word = p.word AND r.pos = best & 127
+    SELECT p.word, best >> 38 AS merged, (best >> 19) & 524287 AS spot, r.pos AS gone, r.next AS beyond, r.pair & 16777215 AS beyond_id
+    FROM (SELECT word, min((merged << 38) + (pos << 19) + next) AS best FROM step JOIN merges USING (pair) GROUP BY word) AS p
+    JOIN step AS r ON r.word = p.word AND r.pos = best & 524287
   ) AS b ON b.word = s.word
   WHERE pos != gone
 )
@@ -38,7 +39,9 @@ SELECT word, pos, pair >> 24 AS id FROM step JOIN (SELECT word, max(round) AS ro
 """
 #: Rows that a run of the recursion makes at most, all rounds together (a word of n bytes makes up to n (n + 1) / 2).
 _ROWS = 1_500_000
-_DECODE = "SELECT row, string_agg(token, '' ORDER BY pos) AS text FROM ids JOIN vocabulary ON vocabulary.rank = ids.id GROUP BY row"
+#: Tokens that a run of the ordered aggregation takes at most; a longer list is decoded range by range.
+_TOKENS = 400_000
+_DECODE = "SELECT row, array_to_string(list(token ORDER BY pos), '') AS text FROM ids JOIN vocabulary ON vocabulary.rank = ids.id GROUP BY row"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -51,23 +54,50 @@ def _text(token: bytes) -> str:
     return "".join(chr(_SHIFT + b) for b in token)
 
 
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """All matches of the pattern in a text.
+
+    Texts of Latin-1 characters alone take the standard library's faster engine, where the pattern has no escapes but classes
+    of letters, numbers and white space; these are spelt out for the 256 characters, so that both engines find the same.
+    """
+    import regex
+
+    full = regex.compile(pattern).findall
+    members = {e: "".join(f"\\x{i:02x}" for i in range(256) if regex.fullmatch(e, chr(i))) for e in (r"\p{L}", r"\p{N}", r"\s")}
+    plain = re.sub(r"\[[^\]]*\]", lambda c: re.sub(r"\\p\{[LN]\}|\\s", lambda e: members[e[0]], c[0]), pattern)
+    plain = re.sub(r"\\p\{[LN]\}|\\s", lambda e: f"[{members[e[0]]}]", plain).replace(r"\S", f"[^{members[r'\s']}]")
+    if re.search(r"\\(?!x[0-9a-f]{2})|\(\?(?!!)|[*+?}]\+", plain) or not pattern.isascii():
+        return full
+    latin = re.compile(plain).findall
+
+    def split(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return full(text)
+        return latin(text)
+
+    return split
+
+
 class Codec:
     """Encoder and decoder of one task's process.
 
-    memory: about 2 x `cache` words keep their ids, the rest are encoded anew; DuckDB gets `memory` and one thread. Words of more than
-    `longest` bytes take the same merges from a heap instead: the recursion's rounds and rows both grow with a word's length.
+    memory: about 2 x `cache` words keep their ids, the rest are encoded anew; DuckDB gets `memory` and one thread, which is
+    enough for runs of _ROWS rows or _TOKENS tokens. A word whose recursion alone makes more than _ROWS rows (one of over
+    1,731 bytes) takes the same merges from a heap instead: the recursion's work grows with the square of a word's length.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 400_000, longest: int = 64, memory: str = "300MB"):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 280_000, memory: str = "300MB"):
         import duckdb
-        import regex
 
-        if longest > 120:
-            raise ValueError("longest is at most 120: positions have seven bits")
         if max(ranks.values(), default=0) >= (1 << 24) - 1:
             raise ValueError("ranks have 24 bits")
-        self.ranks, self.most, self.longest = ranks, cache, longest
-        self.split = regex.compile(pattern).findall
+        self.ranks, self.most = ranks, cache
+        self.packed = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
+        self.known = np.zeros(max(ranks.values(), default=-1) + 1, bool)
+        self.known[list(ranks.values())] = True
+        self.split = splitter(pattern)
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
@@ -96,9 +126,9 @@ class Codec:
         known, short = {}, []
         for w in words:
             raw = w.encode("utf-8", "replace")
-            if (whole := self.ranks.get(raw)) is not None:
-                known[w] = np.int32(whole).tobytes()
-            elif len(raw) > self.longest:
+            if (whole := self.packed.get(raw)) is not None:
+                known[w] = whole
+            elif len(raw) * (len(raw) + 1) // 2 > _ROWS:
                 known[w] = np.array(self._heap(raw), np.int32).tobytes()
             else:
                 short.append((w, raw))
@@ -112,10 +142,9 @@ class Codec:
             got = self._ask(_MERGE, "symbols", {"word": word, "pos": pos, "id": first})
             ids = got["id"].to_numpy().astype(np.int32)
             ends = np.cumsum(np.bincount(got["word"].to_numpy(), minlength=len(run)))
-            at_byte = np.concatenate(([0], ends)) * 4
-            data = ids.tobytes()
-            for i, (w, _) in enumerate(run):
-                known[w] = data[at_byte[i] : at_byte[i + 1]]
+            at_byte, data = (ends * 4).tolist(), ids.tobytes()
+            for (w, _), a, b in zip(run, [0, *at_byte], at_byte, strict=False):
+                known[w] = data[a:b]
         self.cache |= known
 
     def _heap(self, raw: bytes) -> list[int]:
@@ -165,16 +194,18 @@ class Codec:
         n = np.array([len(x) for x in ids], np.int64)
         if not n.sum():
             return [b""] * len(ids)
-        row = np.repeat(np.arange(len(ids)), n)
-        pos = np.arange(len(row))
-        flat = np.concatenate(ids)
-        if flat.min() < 0 or flat.max() >= len(self.ranks):
-            raise KeyError(int(flat.min() if flat.min() < 0 else flat.max()))
-        got = self._ask(_DECODE, "ids", {"row": row, "pos": pos, "id": flat})
-        out = [b""] * len(ids)
-        for r, t in zip(got["row"].to_pylist(), got["text"].to_pylist(), strict=True):
-            out[r] = t.encode("utf-16-le")[::2]
-        return out
+        row, flat = np.repeat(np.arange(len(ids)), n), np.concatenate(ids)
+        bad = (flat < 0) | (flat >= len(self.known))
+        bad[~bad] = ~self.known[flat[~bad]]
+        if bad.any():
+            raise KeyError(int(flat[bad][0]))
+        out: list[list[bytes]] = [[] for _ in ids]
+        for at in range(0, len(flat), _TOKENS):
+            part = slice(at, at + _TOKENS)
+            got = self._ask(_DECODE, "ids", {"row": row[part], "pos": np.arange(len(flat[part])), "id": flat[part]})
+            for r, t in zip(got["row"].to_pylist(), got["text"].to_pylist(), strict=True):
+                out[r].append(t.encode("utf-16-le")[::2])
+        return [b"".join(parts) for parts in out]
 
 
 _codecs: dict[tuple, Codec] = {}
@@ -232,7 +263,7 @@ def bpe_decode(tokens: DataFrame, rank_file: str, id_col: str = "doc_id", ids_co
             sizes = np.diff(offsets)
             if lists.null_count:
                 sizes[~lists.is_valid().to_numpy(zero_copy_only=False)] = 0
-            for a, b in pieces(offsets, 500_000):
+            for a, b in pieces(offsets, _TOKENS):
                 decoded = codec.decode([flat[offsets[i] : offsets[i] + sizes[i]] for i in range(a, b)])
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in others), pa.array(decoded, pa.binary())], names=[*(part.schema.names[i] for i in others), "decoded"])

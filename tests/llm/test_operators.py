@@ -88,11 +88,35 @@ def test_a_small_cache_changes_nothing():
 
     ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
     text = " ".join(f"w{i}xyz{i % 7}" for i in range(300))
-    small, large = bpe.Codec(ranks, P.PATTERN, cache=10, longest=8), bpe.Codec(ranks, P.PATTERN)
+    small, large = bpe.Codec(ranks, P.PATTERN, cache=10), bpe.Codec(ranks, P.PATTERN)
     for _ in range(3):
         assert small.encode([text])[0].tolist() == large.encode([text])[0].tolist()
 
 
+def test_both_engines_split_alike_and_words_of_any_length_are_the_librarys():
+    import public_tokenizers as P
+    import regex
+    import tiktoken
+
+    ranks, rng = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), random.Random(8)
+    signs = [chr(i) for i in range(256)] + list(" \n's ab") * 12
+    texts = ["".join(rng.choices(signs, k=60)) for _ in range(2000)] + ["ab" * 700, "x" * 1731, "xy" * 1500, "日本" * 300, " " * 4000 + "x"]
+    split = bpe.splitter(P.PATTERN)
+    assert [split(t) for t in texts] == [regex.findall(P.PATTERN, t) for t in texts]
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert [x.tolist() for x in bpe.Codec(ranks, P.PATTERN).encode(texts)] == [enc.encode_ordinary(t) for t in texts]
+    assert bpe.splitter(r"(?i)\p{L}+|.")("aB\xe9.") == ["aBé", "."]
+
+
+def test_a_text_of_millions_of_tokens_is_decoded_and_unknown_ids_are_errors():
+    codec = bpe.Codec({bytes([b]): b for b in range(256)} | {b"ab": 300}, r"\S+|\s+")
+    ids = np.tile(np.array([300, 99, 200], np.int32), 1_000_000)
+    assert codec.decode([ids, ids[:1]]) == [b"abc\xc8" * 1_000_000, b"ab"]
+    for bad in (256, 299, 301, -1):
+        with pytest.raises(KeyError):
+            codec.decode([np.array([1, bad], np.int32)])
+
+
 def test_long_words_in_many_runs_of_the_recursion(monkeypatch):
     import public_tokenizers as P
     import tiktoken
