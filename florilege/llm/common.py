@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 #: ASCII white space: the six characters that separate words.
 WHITE = " \t\n\x0b\x0c\r"
+#: Input for each file that stash() writes where it is told of the input.
+FILE_BYTES = 4 << 20
+#: Tables of ids and hashes up to this size on disk (about 24 bytes a row) are broadcast.
+BROADCAST_BYTES = 4 << 20
 
 
 def scratch(spark: SparkSession) -> str:
@@ -26,16 +30,41 @@ def scratch(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here, and lost executors cost nothing."""
+def stash(df: DataFrame, tag: str, from_bytes: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends here, and lost executors cost nothing.
+
+    from_bytes: size of the tables that df is made from; it is then written by a task for each FILE_BYTES of them, not one for each shuffle partition.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
+    if from_bytes is not None:
+        df = df.coalesce(-(-from_bytes // FILE_BYTES) + 1)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._florilege_path = path
     return out
 
 
+def held_bytes(*tables: DataFrame) -> int:
+    """Bytes on disk of tables of stash()."""
+    total = 0
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._florilege_path)
+        total += path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return total
+
+
+def slight(df: DataFrame, *sources: DataFrame) -> DataFrame:
+    """df, to be broadcast if the tables of stash() that it selects from (itself, if none are named) hold no more than BROADCAST_BYTES; else joins shuffle."""
+    return F.broadcast(df) if held_bytes(*(sources or (df,))) <= BROADCAST_BYTES else df
+
+
+def plan_bytes(df: DataFrame, unknown: int) -> int:
+    """What the plan says of df's size, the bytes of its files where it reads files; `unknown` where it can't tell."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 52 else unknown
+
+
 def unstash(*tables: DataFrame) -> None:
     """Delete tables of stash() that no later read needs, and let Spark forget the shuffles behind them."""
     for df in tables:

@@ -10,57 +10,87 @@ others. Records meet partners of their own band in that band's scheme, and of th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, release, span_hashes, stash, unstash, utf8, whole
+from .common import held_bytes, mix, pieces, plan_bytes, release, slight, stash, unstash, utf8, whole
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _U = np.uint64
 #: Low bits of an entry: the record relies on it; it lacks one shingle of its segment.
 _TRUSTED, _DELETED = 1, 2
-#: Shingles in a cell of a big component.
-CELL = 1_000_000
+#: Input for each bucket of signatures. Beyond 2**20 buckets (4 TB of input) buckets grow instead.
+BUCKET_BYTES = 4 << 20
+#: Shingles in a block of an open group.
+CELL = 500_000
 #: Groups of up to so many records are paired within their task; larger ones by stars and, where needed, block by block.
 SMALL = 12
+#: Edges on disk that one task contracts on its own.
+FOREST_BYTES = 8 << 20
+
+
+class _Words(dict):
+    """Hash of each word. It is a cryptographic one, cut to 64 bits: no rule that texts follow makes words collide."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        out = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return out
+
+
+_words = _Words()
 
 
 def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, n + 1 offsets): the distinct shingles of each text, sorted by hash."""
-    n = len(offsets) - 1
-    blank = _SPACE[raw]
-    ink, edge = ~blank, np.zeros(len(raw) + 1, bool)
-    edge[offsets] = True
-    if not ink.any():
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    starts = np.flatnonzero(ink & (np.concatenate(([True], blank[:-1])) | edge[:-1]))
-    ends = np.flatnonzero(ink & (np.concatenate((blank[1:], [True])) | edge[1:])) + 1
-    words = span_hashes(_LOWER[raw], starts, ends)
-    first = np.searchsorted(starts, offsets)
-    count = np.diff(first)
-    total = np.zeros(max(0, len(words) - width + 1), np.uint64)
-    for j in range(width):
-        total = total * _U(0x9E3779B97F4A7C15) + words[j : j + len(total)]
-    total = mix(total)
     sets = []
-    for a, k in zip(first.tolist(), count.tolist(), strict=False):
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        found = raw[a:b].tobytes().lower().split()  # bytes: A-Z alone are lower-cased, the six ASCII blanks alone separate
+        k = len(found)
+        words = np.fromiter(map(_words.__getitem__, found), np.uint64, k)
         if k >= width:
-            h = np.sort(total[a : a + k - width + 1])
+            total = np.zeros(k - width + 1, np.uint64)
+            for j in range(width):
+                total = total * _U(0x9E3779B97F4A7C15) + words[j : j + len(total)]
+            h = np.sort(mix(total))
             sets.append(h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) > 1 else h)
         elif k:
             h = _U(k)
-            for w in words[a : a + k]:
+            for w in words:
                 h = mix(np.array([h], np.uint64))[0] ^ w
             sets.append(mix(np.array([h], np.uint64)))
         else:
-            sets.append(np.zeros(0, np.uint64))
-    return np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+            sets.append(words)
+    return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64)))
+
+
+def exact_shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """The distinct shingles of each text as sorted numbers; numbers are equal where the words are, without any hash."""
+    known: dict[bytes, int] = {}
+    short: dict[tuple, int] = {}
+    words = [t.lower().split() for t in texts]
+    counts = [len(w) for w in words]
+    one = np.fromiter((known.setdefault(w, len(known)) for ws in words for w in ws), np.int64, sum(counts))
+    gram, span = one, 1
+    while span < width and len(one) >= width:
+        step = span if 2 * span <= width else 1
+        n = len(one) - span - step + 1
+        gram = np.unique((gram[:n] << 32) | (gram if step == span else one)[span : span + n], return_inverse=True)[1]
+        span += step
+    out, at = [], 0
+    for k, ws in zip(counts, words, strict=True):
+        if k >= width:
+            out.append(np.unique(gram[at : at + k - width + 1]))
+        elif k:
+            out.append(np.array([-1 - short.setdefault(tuple(ws), len(short))], np.int64))
+        else:
+            out.append(np.zeros(0, np.int64))
+        at += k
+    return out
 
 
 class Bands:
@@ -199,15 +229,15 @@ def _unblob(data: bytes) -> tuple[np.ndarray, ...]:
     return low.astype(np.uint64) | (high.astype(np.uint64) << _U(32)), sids[place], sizes[place]
 
 
-def group_pairs(sig: np.ndarray, sid: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, group, member): candidate pairs of records, and the members of groups too large to be paired here.
+def group_pairs(sig: np.ndarray, sid: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """(a, b, group, member, size): candidate pairs of records, and the members of groups too large to be paired here.
 
     A large group gives a star around its first trusted record and a chain by size, no more.
     """
-    order = np.lexsort((sig & _U(3), sid, sig >> _U(2)))
+    order = np.lexsort((sig & _U(3), size, sid, sig >> _U(2)))
     sig, sid, size = sig[order], sid[order], size[order]
     key = sig >> _U(2)
-    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])))
+    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1]) | (size[1:] != size[:-1])))
     first = np.flatnonzero(fresh)
     bits = np.bitwise_or.reduceat((sig & _U(_TRUSTED)).astype(np.int64), first) if len(sig) else np.zeros(0, np.int64)
     deleted = np.bitwise_and.reduceat((sig & _U(_DELETED)).astype(np.int64), first) if len(sig) else np.zeros(0, np.int64)
@@ -238,62 +268,114 @@ def group_pairs(sig: np.ndarray, sid: np.ndarray, size: np.ndarray, percent: int
             a.append(i[ok])
             b.append(j[ok])
     a, b = np.concatenate(a), np.concatenate(b)
+    a, b = a[sid[a] != sid[b]], b[sid[a] != sid[b]]
     x, y = np.minimum(sid[a], sid[b]), np.maximum(sid[a], sid[b])
     if len(x):
         order = np.lexsort((y, x))
         x, y = x[order], y[order]
         once = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
         x, y = x[once], y[once]
-    return x, y, key[large], sid[large]
-
-
-def components(edges: DataFrame, tag: str) -> DataFrame:
-    """(node, root) for each node of edges (a, b): the least node that it is linked to, by alternating large and small stars.
-
-    A round replaces a node's links by links to its least neighbour; each is a join and an aggregation with partial sums, and
-    ends in a table. Rounds grow with the logarithm of a component's size. No link reaches the driver.
+    return x, y, key[large], sid[large], size[large]
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) for all nodes of the edges (a, b) but the least ones themselves."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    least = np.arange(len(nodes))
+    while len(i):
+        x, y = least[i], least[j]
+        open_ = x != y
+        i, j, x, y = i[open_], j[open_], x[open_], y[open_]
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        while (least[least] != least).any():
+            least = least[least]
+    other = np.flatnonzero(least != np.arange(len(nodes)))
+    return nodes[other], nodes[least[other]]
+
+
+def components(edges: DataFrame, tag: str, from_bytes: int | None = None, forest_bytes: int = FOREST_BYTES) -> DataFrame:
+    """(node, root) for each node of edges (a, b): the least node that it is linked to.
+
+    A task contracts its edges to a forest, a bounded number of edges at a time. What fits one task is done by then; else a
+    round of alternating large and small stars follows (joins and aggregations with partial sums), and so on until nothing
+    changes. Each round ends in a table, and rounds grow with the logarithm of a component's size. No link reaches the driver.
     """
-    now = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), tag)
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            held.append(tuple(batch.column(i).to_numpy() for i in (0, 1)))
+            if sum(len(x) for x, _ in held) >= 1 << 20:
+                held = [forest(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                if len(held[0][0]) >= 1 << 19 and not alone:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["a", "b"])
+        if held:
+            node, root = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            if alone:
+                node, root = (np.concatenate((x, np.unique(root))) for x in (node, root))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
+
+    now = stash(edges.select("a", "b").filter("a != b"), tag, from_bytes)
     mark = None
     while True:
+        size = held_bytes(now)
+        alone = size <= forest_bytes
+        fewer = stash((now.coalesce(1) if alone else now).mapInArrow(contract, "a long, b long"), tag)
+        unstash(now)
+        now = fewer
+        if alone:
+            out = now.withColumnsRenamed({"a": "node", "b": "root"})
+            out._florilege_path = now._florilege_path
+            return out
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.select(F.col("a"), F.col("m").alias("b")).union(joined.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        new = stash(small, tag)
-        seen = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        new = stash(small, tag, size)
         unstash(now)
         now = new
+        seen = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            out = stash(now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), tag, size)
+            unstash(now)
+            return out
         mark = seen
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, buckets: int | None = None, group_col: str | None = None) -> DataFrame:
+def jaccard_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, buckets: int | None = None, group_col: str | None = None, first_col: str | None = None, cell: int = CELL, sid_mask: int = -1
+) -> DataFrame:
     """One row per row of docs: id, text_hash (xxhash64), n_shingles, component_id, the least id reachable by links (its own if there is none).
 
-    group_col names one more column, which tells components apart whatever their ids, null for a row without words.
+    group_col names one more column, which tells components apart whatever their ids, null for a row without words; first_col
+    another, true for the rows with the least id of their component and, of these, the least text hash, and for rows without words.
 
     Words are runs of other than ASCII white space, with A-Z as a-z; a set holds the distinct shingles of `width` words, the whole
     sequence if there are fewer. Two rows link when 100 * |intersection| >= percent * |union|; every link counts.
 
-    Rows with the same set are one record. Signatures travel in blocks, one for each batch and bucket (a hash range), and
-    meet there; candidates lose those whose sketches differ too much, and the rest are verified on their texts. A group of more than
-    SMALL records with one signature gives a star and a chain at first; if the verified links leave it in several components,
-    its records are compared sketch by sketch in one task, across components only. What the sketches leave is verified as
-    pairs where it is little, else on the records' sets, block by block and without a row for each pair; a component of more than
-    SMALL records is cut into cells, and a record that may link to it is sent to each cell.
+    Rows whose sets have the same 128-bit digest are one record; records whose 64-bit ids collide are told apart by the rest. (`sid_mask`
+    cuts ids for tests.) Signatures travel in blocks, one for each batch and bucket (a hash range, BUCKET_BYTES of input), and
+    meet there; candidates lose those whose sketches differ too much, and the rest are verified word by word on their texts. A group of
+    more than SMALL records with one signature gives a star and a chain at first; if the verified links leave it in several
+    components, its records are cut into blocks of about `cell` shingles, a large component into blocks of its own, and a task
+    compares the texts of two blocks, across components only: it holds two blocks and gives a link for each
+    component that it joins. Blocks of one component don't meet.
 
     Null text counts as empty; a row without words links with nothing and has its own id. Null ids never are a component_id
     unless all are null. Repeated rows are copies. An empty table gives an empty result. Other columns don't matter.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
-    n_buckets = buckets or max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    unknown = 2 * BUCKET_BYTES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = buckets or max(16, min(1 << 20, -(-plan_bytes(docs, unknown) // BUCKET_BYTES)))
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    schema = f"bucket int, blob binary, id {kind}, th long, sid long, n int, sketch binary"
+    schema = f"bucket int, blob binary, id {kind}, th long, sid long, sid2 long, n int, sketch binary"
+    names = ["bucket", "blob", "id", "th", "sid", "sid2", "n", "sketch"]
+    out_names = ["what", "id", "th", "sid", "sid2", "n", "sketch", "a", "b"]
+    mask = _U(sid_mask & (2**64 - 1))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -304,82 +386,98 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     b = min(q, a + 60_000)
                     tokens, at = shingle_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
                     sizes = np.diff(at)
-                    sums = np.concatenate(([_U(0)], np.cumsum(mix(tokens ^ _U(0x2545F4914F6CDD1D)), dtype=np.uint64)))
-                    sids = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(sizes.astype(np.uint64)))
+                    digest = []
+                    for salt in (0x2545F4914F6CDD1D, 0x5DA9F4C3B1E07265):
+                        sums = np.concatenate(([_U(0)], np.cumsum(mix(tokens ^ _U(salt)), dtype=np.uint64)))
+                        digest.append(mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(sizes.astype(np.uint64))))
+                    sids = digest[0] & mask
                     part = batch.slice(a, b - a)
                     sketches = [sketch(tokens[i:j], j - i) for i, j in zip(at[:-1], at[1:], strict=True)]
                     home = (sids % _U(n_buckets)).astype(np.int32)
-                    nothing = pa.nulls(b - a, pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(home), nothing, part.column(0), part.column(1), pa.array(sids.view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(sketches, pa.binary())], names=names)
-                    _, once = np.unique(sids, return_index=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(home), pa.nulls(b - a, pa.binary()), part.column(0), part.column(1), *(pa.array(x.view(np.int64)) for x in (sids, digest[1])), pa.array(sizes.astype(np.int32)), pa.array(sketches, pa.binary())], names=names)
+                    # Of rows that repeat within the batch one puts forth its signatures; each of two sets does whose ids collide.
+                    _, once = np.unique(np.stack((sids, digest[1])), axis=1, return_index=True)
                     single = np.zeros(b - a, bool)
                     single[once] = True
                     band = bands.of(sizes)
                     found = [entries(tokens, at, bands, band, single, True)]
                     found += [entries(tokens, at, bands, np.maximum(band - step, 0), single & can, False) for step, can in enumerate(bands.below(sizes), 1)]
                     sig, row = (np.concatenate(x) for x in zip(*found, strict=True))
-                    bucket = ((sig >> _U(48)) % _U(n_buckets)).astype(np.int64)
+                    bucket = ((sig >> _U(44)) % _U(n_buckets)).astype(np.int64)
                     order = np.argsort(bucket, kind="stable")
-                    cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-                    full = np.flatnonzero(np.diff(cut))
-                    blobs = [_blob(sids, sizes, sig[order[cut[k] : cut[k + 1]]], row[order[cut[k] : cut[k + 1]]]) for k in full]
+                    full, start = np.unique(bucket[order], return_index=True)
+                    blobs = [_blob(sids, sizes, sig[at_], row[at_]) for at_ in np.split(order, start[1:])] if len(full) else []
                     k = len(full)
-                    yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary()), pa.nulls(k, batch.schema.field(0).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
-
-    names = ["bucket", "blob", "id", "th", "sid", "n", "sketch"]
-    out_names = ["what", "id", "th", "sid", "n", "sketch", "a", "b"]
+                    yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary()), pa.nulls(k, batch.schema.field(0).type), *(pa.nulls(k, pa.int64()) for _ in range(3)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+        held: list[bytes] = []
         last, types = None, None
 
-        def pairs(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        def found(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
             sig, sid, size = (np.concatenate(x) for x in zip(*map(_unblob, blobs), strict=True))
-            x, y, group, member = group_pairs(sig, sid, size, percent)
+            x, y, group, member, n = group_pairs(sig, sid, size, percent)
             group = mix(group * _U(n_buckets) + _U(bucket))
-            for what, a, b in ((1, x, y), (2, group, member)):
+            for what, a, b, sizes in ((1, x, y, np.zeros(len(x), np.int32)), (2, group, member, n.astype(np.int32))):
                 k = len(a)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, what, np.int32)), pa.nulls(k, types), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=out_names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, what, np.int32)), pa.nulls(k, types), *(pa.nulls(k, pa.int64()) for _ in range(3)), pa.array(sizes), pa.nulls(k, pa.binary()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=out_names)
 
         for batch in batches:
             types = batch.schema.field(2).type
-            is_row = pa.array(~batch.column(1).is_valid().to_numpy(zero_copy_only=False))
-            rows = batch.filter(is_row)
+            rows = batch.filter(pa.array(~batch.column(1).is_valid().to_numpy(zero_copy_only=False)))
             k = len(rows)
             if k:
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), *rows.columns[2:], pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=out_names)
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if blob is not None:
-                    if last is not None and bucket != last:
-                        yield from pairs(last, held.pop(last))
+                    if held and bucket != last:
+                        yield from found(last, held)
+                        held = []
                     last = bucket
-                    held.setdefault(bucket, []).append(blob)
-        if last is not None:
-            yield from pairs(last, held.pop(last))
+                    held.append(blob)
+        if held:
+            yield from found(last, held)
 
-    signed = texts.select("id", "th", "text").mapInArrow(sign, schema).repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
-    met = stash(signed.mapInArrow(meet, f"what int, id {kind}, th long, sid long, n int, sketch binary, a long, b long"), "jaccard-met")
+    signed = texts.select("id", "th", "text").mapInArrow(sign, schema).repartition(min(n_buckets, 20_000), "bucket").sortWithinPartitions("bucket")
+    met = stash(signed.mapInArrow(meet, f"what int, id {kind}, th long, sid long, sid2 long, n int, sketch binary, a long, b long"), "jaccard-met")
     release(spark)
-    rows = met.filter("what = 0").select("id", "th", "sid", "n", "sketch")
-    records = rows.filter("n > 0").groupBy("sid").agg(F.min(F.struct("id", "th")).alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
-    records = stash(records.select("sid", "rep.id", "rep.th", "n", "sketch"), "jaccard-records")
-    cards = records.select("sid", "n", "sketch")
-
-    def fetch(needed: DataFrame) -> DataFrame:
-        """(sid, text) of the records needed."""
-        wanted = records.join(needed, "sid", "left_semi").select("sid", F.col("id").alias("_id"), F.col("th").alias("_th"))
-        return texts.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("sid", "text").dropDuplicates(["sid"])
-
-    def link(pairs: DataFrame, tag: str) -> DataFrame:
-        """Those of pairs (a, b) that link."""
-        sa, sb = (cards.withColumnsRenamed({"sid": k, "n": f"n_{k}", "sketch": f"s_{k}"}) for k in "ab")
-        likely = pairs.join(sa, "a").join(sb, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(sift, "a long, b long")
-        likely = stash(likely, f"{tag}-likely")
-        needed = likely.select(F.col("a").alias("sid")).union(likely.select("b")).distinct()
-        found = stash(fetch(needed), f"{tag}-texts")
-        release(spark)
-        ta, tb = (found.withColumnsRenamed({"sid": k, "text": f"t_{k}"}) for k in "ab")
-        return stash(likely.join(ta, "a").join(tb, "b").select("a", "b", "t_a", "t_b").mapInArrow(verify, "a long, b long"), f"{tag}-links")
+    size = held_bytes(met)
+    rows = met.filter("what = 0").select("id", "th", "sid", "sid2", "n", "sketch")
+    card = F.min(F.struct("sid2", "id", "th", "n", "sketch")).alias("r")
+    records = rows.filter("n > 0").groupBy("sid").agg(card, F.max("sid2").alias("hi"))
+    records = stash(records.select("sid", "r.sid2", "hi", "r.id", "r.th", "r.n", "r.sketch"), "jaccard-records", size)
+    pairs = met.filter("what = 1").select("a", "b").distinct()
+    members = met.filter("what = 2").select(F.col("a").alias("g"), F.col("b").alias("sid"), "n")
+    rows = rows.drop("sketch")
+
+    twins = records.filter("sid2 != hi").select("sid", F.col("sid2").alias("lo"))
+    if twins.limit(1).count():  # ids that several sets share: all sets but one get other ids, and what their id has met
+        apart = rows.filter("n > 0").join(twins, "sid").filter("sid2 != lo").select(F.xxhash64("sid", "sid2").alias("node"), "sid", "sid2")
+        alias = stash(apart.distinct().select("node", "sid", F.col("sid2").alias("_sid2")), "jaccard-twins")
+        more = met.filter("what = 0 AND n > 0").join(alias, [met["sid"] == alias["sid"], met["sid2"] == alias["_sid2"]]).groupBy("node").agg(card)
+        more = more.select(F.col("node").alias("sid"), "r.sid2", F.col("r.sid2").alias("hi"), "r.id", "r.th", "r.n", "r.sketch")
+        records = stash(records.unionByName(more), "jaccard-records", size)
+        sides = alias.select("sid", "node").union(alias.select("sid", F.col("sid").alias("node"))).distinct()
+        spread = lambda df, c: df.join(sides.withColumnsRenamed({"sid": c, "node": "_node"}), c, "left").withColumn(c, F.coalesce("_node", c)).drop("_node")
+        own = sides.join(sides.withColumnRenamed("node", "other"), "sid").select(F.col("node").alias("a"), F.col("other").alias("b"))
+        pairs = spread(spread(pairs, "a"), "b").select("a", "b").union(own).filter("a < b").distinct()
+        members = spread(members, "sid").select("g", "sid", "n").distinct()
+        rows = rows.join(alias.withColumnRenamed("sid", "_sid"), (F.col("sid") == F.col("_sid")) & (F.col("sid2") == F.col("_sid2")), "left").withColumn("sid", F.coalesce("node", "sid")).select(rows.columns)
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        both = pairs.select("a", "b", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+        return both.withColumn("sid", F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b")))
+
+    def brought(table: DataFrame, source: DataFrame, *columns: str) -> DataFrame:
+        """(a, b, each column of either side) of the pairs in table, whose sid stands in source."""
+        found = source.join(slight(ends(table), table), "sid")
+        return found.groupBy("a", "b").agg(*(F.min(F.when(F.col("side") == i, F.col(c))).alias(f"{c}_{x}") for c in columns for i, x in enumerate("ab")))
+
+    def fetch(sids: DataFrame, table: DataFrame) -> DataFrame:
+        """(sid, text) of the records that sids, a selection from table, names."""
+        wanted = records.join(slight(sids.distinct(), table), "sid", "left_semi").select("sid", F.col("id").alias("_id"), F.col("th").alias("_th"))
+        found = texts.join(slight(wanted, table), F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+        return found.select("sid", "text").dropDuplicates(["sid"])
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -399,72 +497,61 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                (ta, oa), (tb, ob) = (shingle_hashes(*utf8(part.column(i)), width) for i in (2, 3))
-                inter = np.array([_shared(ta[oa[i] : oa[i + 1]], tb[ob[i] : ob[i + 1]]) for i in range(len(part))], np.int64)
-                ok = (100 + percent) * inter >= percent * (np.diff(oa) + np.diff(ob))
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in part.columns[:2]], names=["a", "b"])
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = utf8(batch.column(1))
-            for a, b in pieces(offsets, 6 << 20):
-                tokens, at = shingle_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([tokens[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["sid", "tokens"])
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _by_group(batches, "g"):
-            sid, root, n = (table.column(c).to_numpy() for c in ("sid", "root", "n"))
-            data, at = utf8(table.column("sketch"))
-            big = table.column("big").to_numpy(zero_copy_only=False).astype(bool)
-            yield from _across(int(table.column("g")[0].as_py()), sid, root, big, n.astype(np.int64), data, at, percent)
-
-    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _by_group(batches, "g"):
-            sid, root = table.column("sid").to_numpy(), table.column("root").to_numpy()
-            yield _spanning(sid, root, *_sets(table.column("tokens")), percent)
-
-    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _by_group(batches, "cell"):
-            asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-            yield _first_links(table.column("sid").to_numpy(), asks, *_sets(table.column("tokens")), percent)
-
-    links = link(met.filter("what = 1").select("a", "b").distinct(), "jaccard")
-    roots = stash(components(links, "jaccard-stars"), "jaccard-roots")
-    members = met.filter("what = 2").select(F.col("a").alias("g"), F.col("b").alias("sid")).join(roots, F.col("sid") == F.col("node"), "left").select("g", "sid", F.coalesce("root", "sid").alias("root"))
-    members = stash(members, "jaccard-members")
-    open_groups = stash(members.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("g"), "jaccard-open")
-    if open_groups.limit(1).count():
-        sizes = roots.groupBy("root").agg(F.count("*").alias("records"))
-        big = stash(sizes.filter(F.col("records") > SMALL).select("root", F.lit(True).alias("big")), "jaccard-big")
-        waiting = members.join(open_groups, "g", "left_semi").join(big, "root", "left").join(cards, "sid").select("g", "sid", "root", F.coalesce("big", F.lit(False)).alias("big"), "n", "sketch")
-        seen = stash(waiting.repartition("g").sortWithinPartitions("g").mapInArrow(across, "what int, a long, b long").distinct(), "jaccard-across")
-        # Pairs of records where a group leaves few; else its records, compared again on their sets; and records against a big component.
-        pairs = seen.filter("what = 1").select("a", "b").join(links, ["a", "b"], "left_anti")
-        crowds = seen.filter("what = 2").select(F.col("a").alias("g"), F.col("b").alias("sid")).join(members, ["g", "sid"]).select("g", "sid", "root")
-        asking = seen.filter("what = 3").select(F.col("a").alias("sid"), F.col("b").alias("root"))
-        asked = roots.join(asking.select("root").distinct(), "root", "left_semi").select(F.col("node").alias("sid"), "root")
-        more = link(pairs, "jaccard-pairs")
-        needed = crowds.select("sid").union(asking.select("sid")).union(asked.select("sid")).distinct()
-        sets = stash(fetch(needed).mapInArrow(sets_of, "sid long, tokens binary"), "jaccard-sets")
-        more = more.union(crowds.join(sets, "sid").select("g", "sid", "root", "tokens").repartition("g").sortWithinPartitions("g").mapInArrow(dense, "a long, b long"))
-        # A big component is cut into cells of about CELL shingles by a hash of the record; who asks is sent to each of them.
-        cells = asked.join(cards, "sid").groupBy("root").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("cells"))
-        cell = F.xxhash64("root", "k").alias("cell")
-        held = asked.join(cells, "root").withColumn("k", F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int")).select(cell, "sid", F.lit(False).alias("asks"))
-        sent = asking.join(cells, "root").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(cell, "sid", F.lit(True).alias("asks"))
-        table = held.union(sent).join(sets, "sid").select("cell", "sid", "asks", "tokens")
-        more = more.union(table.repartition("cell").sortWithinPartitions("cell", "asks").mapInArrow(against, "a long, b long"))
-        links = links.union(stash(more, "jaccard-more"))
-        roots = stash(components(links, "jaccard-stars"), "jaccard-roots")
-
-    placed = rows.join(roots, F.col("sid") == F.col("node"), "left").select("id", "th", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("root"))
-    least = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component"))
-    many = placed.filter("root IS NOT NULL").join(least, "root").select("id", "th", "n", "component", "root")
-    alone = placed.filter("root IS NULL").select("id", "th", "n", F.col("id").alias("component"), "root")
-    group = [F.col("root").alias(group_col)] if group_col else []
-    return many.union(alone).select(F.col("id").alias(id_col), F.col("th").alias("text_hash"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), *group)
+            (da, oa), (db, ob) = utf8(batch.column(2)), utf8(batch.column(3))
+            for i, j in pieces(oa + ob, 2 << 20):
+                sets = exact_shingles([d[o[k] : o[k + 1]].tobytes() for d, o in ((da, oa), (db, ob)) for k in range(i, j)], width)
+                ok = [(100 + percent) * _shared(x, y) >= percent * (len(x) + len(y)) for x, y in zip(sets[: j - i], sets[j - i :], strict=True)]
+                yield pa.RecordBatch.from_arrays([c.slice(i, j - i).filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_group(batches, "p"):
+            data, at = utf8(table.column("text"))
+            sets = exact_shingles([data[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], width)
+            sid, root = (table.column(c).to_numpy() for c in ("sid", "root"))
+            first, twice = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("first", "twice"))
+            yield _spanning(sid, root, first, bool(twice[0]), sets, percent)
+
+    pairs = stash(pairs, "jaccard-pairs", size)
+    likely = stash(brought(pairs, records.select("sid", "n", "sketch"), "n", "sketch").mapInArrow(sift, "a long, b long"), "jaccard-likely", held_bytes(records, pairs))
+    both = brought(likely, fetch(ends(likely).select("sid"), likely), "text")
+    links = stash(both.mapInArrow(verify, "a long, b long"), "jaccard-links")
+    release(spark)
+    roots = components(links, "jaccard-roots", held_bytes(links))
+    unstash(pairs, likely)
+
+    if members.limit(1).count():
+        members = members.join(slight(roots), F.col("sid") == F.col("node"), "left").select("g", "sid", "n", F.coalesce("root", "sid").alias("root"))
+        members = stash(members, "jaccard-members", size)
+        team = members.groupBy("g", "root").agg(F.sum("n").alias("t")).withColumn("large", F.col("t") > cell // 2)
+        blocks = lambda t: F.ceil(t / F.lit(cell)).cast("int")
+        plan = team.groupBy("g").agg(
+            F.count("*").alias("teams"), F.collect_list(F.when(F.col("large"), F.struct(F.col("root").alias("team"), blocks(F.col("t")).alias("n")))).alias("large"), F.sum(F.when(~F.col("large"), F.col("t"))).alias("rest")
+        ).filter("teams > 1")
+        plan = stash(plan.select("g", "large", blocks(F.coalesce("rest", F.lit(0))).alias("rest")), "jaccard-open", held_bytes(members))
+        # A block: whether it is of one component, which one, and its number there.
+        block = "named_struct('own', {own}, 'team', {team}, 'k', {k})"
+        every = f"concat(flatten(transform(large, x -> transform(sequence(0, x.n - 1), k -> {block.format(own='true', team='x.team', k='k')}))), transform(IF(rest > 0, sequence(0, rest - 1), cast(array() AS array<int>)), k -> {block.format(own='false', team='0L', k='k')}))"
+        placed = members.join(slight(plan), "g").withColumn("_mine", F.expr("get(filter(large, x -> x.team = root), 0)"))
+        mine = "CASE WHEN _mine IS NULL THEN " + block.format(own="false", team="0L", k="cast(pmod(xxhash64(sid), greatest(rest, 1)) AS int)") + " ELSE " + block.format(own="true", team="root", k="cast(pmod(xxhash64(sid), _mine.n) AS int)") + " END"
+        placed = placed.withColumn("mine", F.expr(mine)).withColumn("other", F.explode(F.expr(f"filter({every}, x -> NOT (x.own AND mine.own AND x.team = mine.team))")))
+        placed = placed.select("sid", "root", F.xxhash64("g", F.least("mine", "other"), F.greatest("mine", "other")).alias("p"), F.expr("mine <= other").alias("first"), F.expr("mine = other").alias("twice"))
+        placed = stash(placed, "jaccard-blocks", held_bytes(members))
+        if placed.limit(1).count():
+            asked = placed.join(fetch(placed.select("sid"), placed), "sid").select("p", "sid", "root", "first", "twice", "text")
+            more = stash(asked.repartition("p").sortWithinPartitions("p").mapInArrow(compare, "a long, b long"), "jaccard-more")
+            before = roots
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "jaccard-roots", held_bytes(roots, more))
+            unstash(before, more)
+        unstash(members, plan, placed)
+    unstash(records, links)
+    release(spark)
+
+    placed = rows.join(slight(roots), F.col("sid") == F.col("node"), "left").select("id", "th", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("root"))
+    least = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "th")).alias("least"))
+    many = placed.filter("root IS NOT NULL").join(least, "root").select("id", "th", "n", F.col("least.id").alias("component"), "root", (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("th") == F.col("least.th"))).alias("first"))
+    alone = placed.filter("root IS NULL").select("id", "th", "n", F.col("id").alias("component"), "root", F.lit(True).alias("first"))
+    named = [F.col(c).alias(name) for c, name in (("root", group_col), ("first", first_col)) if name]
+    return many.union(alone).select(F.col("id").alias(id_col), F.col("th").alias("text_hash"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), *named)
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -498,11 +585,6 @@ def cuts(k: np.ndarray) -> list[int]:
     return (np.flatnonzero(k[1:] != k[:-1]) + 1).tolist()
 
 
-def _sets(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    data, at = utf8(column)
-    return np.frombuffer(data.tobytes(), np.uint64), at // 8
-
-
 def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
     """Links, the smaller id (unsigned) first."""
     x, y = np.array(a, np.int64), np.array(b, np.int64)
@@ -510,10 +592,16 @@ def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.where(less, x, y)), pa.array(np.where(less, y, x))], names=["a", "b"])
 
 
-def _spanning(sid: np.ndarray, root: np.ndarray, tokens: np.ndarray, at: np.ndarray, percent: int) -> pa.RecordBatch:
-    """Links that join the components of a group's records; pairs that are together by then aren't compared."""
-    n = np.diff(at)
-    order = np.argsort(n, kind="stable").tolist()
+def _spanning(sid: np.ndarray, root: np.ndarray, first: np.ndarray, within: bool, sets: list[np.ndarray], percent: int) -> pa.RecordBatch:
+    """Links that join the components of records of two blocks, or `within` one; pairs that are together by then aren't compared."""
+    n = np.array([len(x) for x in sets], np.int64)
+    least = int(n.min())
+    # Sketches of one length for all, from the numbers that stand for shingles here.
+    k = max(3, least.bit_length() - 1)
+    cards = np.zeros((len(sets), 1 << k), np.uint8)
+    for i, x in enumerate(sets):
+        h = mix(x.view(np.uint64))
+        cards[i] = np.bincount((h >> _U(64 - k)).astype(np.int64), weights=((h & _U(255)) | _U(1)).astype(np.float64), minlength=1 << k).astype(np.int64).astype(np.uint8)
     team = {r: r for r in root.tolist()}
 
     def find(x: int) -> int:
@@ -521,78 +609,24 @@ def _spanning(sid: np.ndarray, root: np.ndarray, tokens: np.ndarray, at: np.ndar
             team[x] = x = team[team[x]]
         return x
 
+    order = np.argsort(n, kind="stable")
+    theirs = order if within else order[~first[order]]
+    lengths = n[theirs]
+    now = root.copy()
     out: tuple[list[int], list[int]] = ([], [])
-    for i, u in enumerate(order):
-        for v in order[i + 1 :]:
-            if 100 * n[u] < percent * n[v]:
-                break
-            x, y = find(int(root[u])), find(int(root[v]))
-            if x != y and (100 + percent) * _shared(tokens[at[u] : at[u + 1]], tokens[at[v] : at[v + 1]]) >= percent * (n[u] + n[v]):
-                team[x] = y
-                out[0].append(int(sid[u]))
-                out[1].append(int(sid[v]))
-    return _pairs(*out)
-
-
-def _first_links(sid: np.ndarray, asks: np.ndarray, tokens: np.ndarray, at: np.ndarray, percent: int) -> pa.RecordBatch:
-    """For each record that asks, its first link to one of the others, if it has any."""
-    n = np.diff(at)
-    held = np.flatnonzero(~asks)
-    out: tuple[list[int], list[int]] = ([], [])
-    for u in np.flatnonzero(asks).tolist():
-        mine = tokens[at[u] : at[u + 1]]
-        for v in held[(100 * np.minimum(n[held], n[u]) >= percent * np.maximum(n[held], n[u]))].tolist():
-            if (100 + percent) * _shared(mine, tokens[at[v] : at[v + 1]]) >= percent * (n[u] + n[v]):
+    for place, u in enumerate(theirs.tolist() if within else np.flatnonzero(first).tolist()):
+        lo = place + 1 if within else int(np.searchsorted(lengths, -(-n[u] * percent // 100)))
+        hi = int(np.searchsorted(lengths, n[u] * 100 // percent, "right"))
+        v = theirs[lo:hi]
+        v = v[now[v] != now[u]]
+        if not len(v):
+            continue
+        v = v[_may_link(n[u], n[v], (cards[v] != cards[u]).sum(1), percent)]
+        for w in v.tolist():
+            x, y = find(int(root[u])), find(int(root[w]))
+            if x != y and (100 + percent) * _shared(sets[u], sets[w]) >= percent * (n[u] + n[w]):
+                team[max(x, y)] = min(x, y)
+                now[now == max(x, y)] = min(x, y)
                 out[0].append(int(sid[u]))
-                out[1].append(int(sid[v]))
-                break
+                out[1].append(int(sid[w]))
     return _pairs(*out)
-
-
-def _across(g: int, sid: np.ndarray, root: np.ndarray, big: np.ndarray, n: np.ndarray, data: np.ndarray, at: np.ndarray, percent: int, block: int = 256) -> Iterator[pa.RecordBatch]:
-    """What one group leaves to verify between its components, as sizes and sketches allow; no more rows than a few for each record.
-
-    (1, a, b): a pair of records of small components; (2, group, record): a record of such a pair, where they are more
-    than four to a record; (3, record, root): a record and another, big component.
-    """
-    order = np.argsort(n, kind="stable")
-    sid, root, big, n = sid[order], root[order], big[order], n[order]
-    width = np.diff(at)[order]
-    starts = at[:-1][order]
-    fold = lambda rows, w: np.stack([_fold(data[starts[r] : starts[r] + width[r]], w) for r in rows])
-    a, b, total = [], [], 0
-    crowd, asking = np.zeros(len(sid), bool), set()
-    for i in range(0, len(sid), block):
-        u = np.arange(i, min(i + block, len(sid)))
-        end = int(np.searchsorted(n, n[u[-1]] * 100 // percent, "right"))
-        for j in range(i, end, block):
-            v = np.arange(j, min(j + block, end))
-            ok = (root[u][:, None] != root[v]) & (u[:, None] < v) & (100 * n[u][:, None] >= percent * n[v])
-            if not ok.any():
-                continue
-            w = int(min(width[u].min(), width[v].min()))
-            x, y = fold(u, w), fold(v, w)
-            for r in np.flatnonzero(ok.any(1)).tolist():
-                ok[r] &= _may_link(n[u[r]], n[v], (x[r] != y).sum(1), percent)
-            p, q = np.nonzero(ok)
-            p, q = u[p], v[q]
-            for s, t in ((p, q), (q, p)):
-                to = big[t]
-                asking.update(zip(sid[s[to]].tolist(), root[t[to]].tolist(), strict=True))
-            small = ~(big[p] | big[q])
-            p, q = p[small], q[small]
-            crowd[p] = crowd[q] = True
-            total += len(p)
-            if total <= 4 * len(sid):
-                a.append(p)
-                b.append(q)
-    rows = []
-    if total > 4 * len(sid):
-        rows.append((2, np.full(int(crowd.sum()), g), sid[crowd]))
-    elif total:
-        pairs = _pairs(sid[np.concatenate(a)].tolist(), sid[np.concatenate(b)].tolist())
-        rows.append((1, pairs.column(0).to_numpy(), pairs.column(1).to_numpy()))
-    if asking:
-        rows.append((3, *np.array(sorted(asking), np.int64).T))
-    for what, x, y in rows:
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), what, np.int32)), pa.array(np.ascontiguousarray(x)), pa.array(np.ascontiguousarray(y))], names=["what", "a", "b"])

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from florilege.llm import jaccard
-from florilege.llm.jaccard import Bands, jaccard_groups
+from florilege.llm.jaccard import Bands, exact_shingles, jaccard_groups
 
 
 def brute(rows, percent=80, width=5):
@@ -84,7 +84,7 @@ def test_no_pair_escapes_the_signatures(size):
         found = [jaccard.entries(tokens, offsets, bands, band, use, True)]
         found += [jaccard.entries(tokens, offsets, bands, np.maximum(band - s, 0), use & can, False) for s, can in enumerate(bands.below(sizes), 1)]
         sig, row = (np.concatenate(x) for x in zip(*found))
-        x, y, _, _ = jaccard.group_pairs(sig, row.astype(np.uint64), sizes[row], 80)
+        x, y, _, _, _ = jaccard.group_pairs(sig, row.astype(np.uint64), sizes[row], 80)
         assert (0, 1) in set(zip(x.tolist(), y.tolist()))
 
 
@@ -102,7 +102,6 @@ def test_null_ids_and_repeated_rows(spark):
 def test_families_that_fall_apart(spark, monkeypatch, small):
     """Families whose members are about as similar as the threshold, as pairs, crowds and big components."""
     monkeypatch.setattr(jaccard, "SMALL", small)
-    monkeypatch.setattr(jaccard, "CELL", 500)
     r = random.Random(small)
     texts = []
     for _ in range(3):
@@ -115,22 +114,47 @@ def test_families_that_fall_apart(spark, monkeypatch, small):
     rows = list(enumerate(texts))
     expected = brute(rows)
     assert 3 < len({c for _, _, c in expected}) < len(rows)
-    assert run(spark, rows, buckets=4) == expected
+    assert run(spark, rows, buckets=4, cell=500) == expected
 
 
-def test_spanning_and_first_links_match_all_pairs():
+@pytest.mark.parametrize("within", [True, False])
+def test_spanning_links_join_what_all_pairs_join(within):
     rng = np.random.default_rng(3)
-    base = np.unique(rng.integers(0, 1 << 62, 60, dtype=np.uint64))
-    sets = [np.unique(np.concatenate((rng.choice(base, 54, replace=False), rng.integers(0, 1 << 62, k, dtype=np.uint64)))) for k in rng.integers(0, 9, 30)]
-    tokens, at = np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-    sid = np.arange(30)
-    linked = {(i, j) for i, j in combinations(range(30), 2) if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))}
-    got = jaccard._spanning(sid, sid, tokens, at, 80)
+    base = np.arange(60)
+    sets = [np.unique(np.concatenate((rng.choice(base, 54, replace=False), rng.integers(100, 1 << 40, k)))) for k in rng.integers(0, 9, 30)]
+    sid, first = np.arange(30), np.arange(30) % 3 == 0
+    linked = {(i, j) for i, j in combinations(range(30), 2) if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j])) and (within or first[i] != first[j])}
+    got = jaccard._spanning(sid, sid, first, within, sets, 80)
     pairs = set(zip(*(c.to_pylist() for c in got.columns)))
-    assert pairs <= linked and len(pairs) == 30 - len(_classes(30, linked))
-    asks = sid % 3 == 0
-    got = jaccard._first_links(sid, asks, tokens, at, 80)
-    assert {x for p in zip(*(c.to_pylist() for c in got.columns)) for x in p if asks[x]} == {i for i in range(0, 30, 3) if any((min(i, j), max(i, j)) in linked for j in range(30) if j % 3)}
+    assert pairs <= linked and len(pairs) == 30 - len(_classes(30, linked)) > 5
+
+
+def test_words_that_a_polynomial_hash_confuses_are_two_components(spark):
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    assert run(spark, [(1, word), (2, word.translate(str.maketrans("ab", "ba")))]) == [(1, 1, 1), (2, 1, 2)]
+
+
+def test_sets_whose_ids_collide_are_told_apart(spark):
+    rows = corpus(5, families=6, copies=6)
+    assert run(spark, rows, buckets=4, sid_mask=7) == brute(rows)
+
+
+def test_exact_shingles_are_equal_where_the_words_are():
+    texts = [b"a b c d e f", b"A b  c d e\x0bf", b"a b c d e", b"a b", b"a B", b"b a", b"", b"a b c d e f a b c d e f"]
+    sets = exact_shingles(texts, 5)
+    assert [len(s) for s in sets] == [2, 2, 1, 1, 1, 1, 0, 6]
+    assert sets[0].tolist() == sets[1].tolist() and sets[2][0] in sets[0] and sets[3].tolist() == sets[4].tolist() != sets[5].tolist()
+    assert set(sets[0]) < set(sets[7])
+
+
+@pytest.mark.parametrize("forest_bytes", [0, 1 << 20])
+def test_components_in_one_task_and_in_rounds(spark, forest_bytes):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150), (300, 300), (-5, 7)]
+    random.Random(1).shuffle(edges)
+    got = {r.node: r.root for r in jaccard.components(spark.createDataFrame(edges, "a long, b long").repartition(5), "t", forest_bytes=forest_bytes).collect()}
+    assert got == {**{i: -5 for i in range(61)}, -5: -5, 100: 100, 150: 100, 200: 100}
 
 
 def _classes(n, linked):
