@@ -20,9 +20,9 @@ def frame(spark, texts, **more):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, _len string, count long")
 
 
-@pytest.mark.parametrize("groups", [0, 1000])
-def test_exact_dedup(spark, groups):
-    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(frame(spark, TEXTS), prefix_chars=3, broadcast_groups=groups).collect()}
+@pytest.mark.parametrize("bits", [1 << 15, exact_dedup.MOST_BITS])
+def test_exact_dedup(spark, bits):
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(frame(spark, TEXTS), prefix_chars=3, most_bits=bits).collect()}
     of = {}
     for i, t in enumerate(TEXTS):
         of.setdefault(t or "", []).append(i)
