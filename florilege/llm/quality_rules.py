@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, whole
+from .common import held_bytes, slight, stash, whole
 
 #: Signal of each rule over the base counts; a document is rejected above the cutoff.
 RULES = {
@@ -66,7 +66,7 @@ def base_failed(risk: Risk) -> Column:
     return F.expr(f"n_words < {risk.min_words} OR 100 * n_repeat_words > {risk.max_repeat_pct} * n_words")
 
 
-def certify(good: DataFrame, stratum: str, risk: Risk = Risk()) -> DataFrame:
+def certify(good: DataFrame, stratum: str, risk: Risk = Risk(), from_bytes: int | None = None) -> DataFrame:
     """(stratum, a cutoff column for each rule): the strictest cutoffs that the holdout certifies, null where none is.
 
     `good` holds the signals of documents labelled good. A cutoff that falsely rejects k of n is certified when a binomial
@@ -78,21 +78,23 @@ def certify(good: DataFrame, stratum: str, risk: Risk = Risk()) -> DataFrame:
     p = risk.alpha / len(RULES)
     aggs = [F.count_if(F.expr(f"({sql}) > {c}D")).alias(f"{r}__{i}") for r, sql in RULES.items() for i, c in enumerate(CUTOFFS)]
     counts = good.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), *aggs)
-    counts = stash(counts, "rules-counts")
+    counts = stash(counts, "rules-counts", from_bytes)
     tests = max(1, counts.count() * len(RULES))
-    stack = ", ".join(f"'{r}', {i}, {c}D, `{r}__{i}`" for r in RULES for i, c in enumerate(CUTOFFS))
-    rows = counts.select("stratum", "n", F.expr(f"stack({len(RULES) * len(CUTOFFS)}, {stack}) AS (rule, i, cutoff, k)"))
     odds = f"ln({p!r}D) - ln(1D - {p!r}D)"
     # Log terms and their log sum from 0 to k; only where k is under the mean, as the tail is no longer small beyond it.
-    tail = f"""CASE WHEN k >= n * {p!r}D THEN 0D ELSE aggregate(sequence(0L, k),
+    tail = f"""CASE WHEN x.k >= n * {p!r}D THEN 0D ELSE aggregate(sequence(0L, x.k),
         named_struct('t', 0D, 's', 0D),
         (a, i) -> CASE WHEN i = 0 THEN named_struct('t', n * ln(1D - {p!r}D), 's', n * ln(1D - {p!r}D))
             ELSE named_struct('t', a.t + ln((n - i + 1) / cast(i AS double)) + {odds},
                 's', greatest(a.s, a.t + ln((n - i + 1) / cast(i AS double)) + {odds}) + ln(1D + exp(-abs(a.s - (a.t + ln((n - i + 1) / cast(i AS double)) + {odds}))))) END,
         a -> a.s) END"""
-    rows = rows.withColumn("ok", F.expr(f"{tail} <= ln({risk.delta!r}D / {tests})"))
-    rows = rows.withColumn("so_far", F.expr("bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY i)"))
-    return rows.groupBy("stratum").agg(*(F.min(F.when(F.expr(f"so_far AND rule = '{r}'"), F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
+    cuts = []
+    for r in RULES:
+        tried = ", ".join(f"named_struct('cutoff', {c}D, 'k', `{r}__{i}`)" for i, c in enumerate(CUTOFFS))
+        cuts.append(f"""aggregate(array({tried}), named_struct('open', true, 'cut', cast(NULL AS double)),
+            (s, x) -> CASE WHEN s.open AND {tail} <= ln({risk.delta!r}D / {tests}) THEN named_struct('open', true, 'cut', x.cutoff) ELSE named_struct('open', false, 'cut', s.cut) END,
+            s -> s.cut) AS cut_{r}""")
+    return counts.selectExpr("stratum", *cuts)
 
 
 def quality_rules(
@@ -104,15 +106,16 @@ def quality_rules(
     labels for any cutoff has no rule beyond the base. Texts are read once; everything after works on their counts. The
     table of cutoffs, one row for each stratum, is broadcast up to `max_strata` rows, else joined by a shuffle.
 
-    Null text counts as empty (so base_failed); a null stratum is one of its own; labels that are null, of unknown
+    Null text counts as empty (so base_failed); a null stratum counts as that of the empty name; labels that are null, of unknown
     documents, or for a null id are ignored; a document labelled twice counts once, and as good only if no label says
     otherwise. Repeated rows get equal verdicts. Empty tables give an empty result or no rules. Other columns don't matter.
     """
     rows = stash(signals(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("_stratum"), F.xxhash64(whole(text_col)).alias("_hash"), F.col(text_col).alias("_text")), "_text"), "rules-signals")
-    rows = rows.withColumn("base_failed", base_failed(risk))
+    size, rows = held_bytes(rows), rows.withColumn("base_failed", base_failed(risk))
     labelled = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(label_col).alias("_good")).filter("_good = 1").select("_id")
-    good = rows.filter("NOT base_failed").join(labelled, "_id", "left_semi")
-    cuts = stash(certify(good, "_stratum", risk).withColumnRenamed("stratum", "_stratum"), "rules-cuts")
+    labelled = stash(labelled, "rules-labelled", size)
+    good = rows.filter("NOT base_failed").join(slight(labelled), "_id", "left_semi")
+    cuts = stash(certify(good, "_stratum", risk, size).withColumnRenamed("stratum", "_stratum"), "rules-cuts")
     rows = rows.join(F.broadcast(cuts) if cuts.limit(max_strata + 1).count() <= max_strata else cuts, "_stratum", "left")
     passed = F.lit(True)
     for r, sql in RULES.items():
