@@ -23,7 +23,7 @@ def _one(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
     Only the texts of repeated rows are compared as whole rows, the least of which stays.
     """
-    keys = common.stash(kept.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")), "pipeline-keys")
+    keys = common.stash(kept.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")), "pipeline-keys", common.plan_bytes(docs, 1 << 40))
     once, again = _only(docs, keys.filter("n = 1")), keys.filter("n > 1")
     few = again.limit(100_001).count()
     if not few:
@@ -48,10 +48,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words are in no group.
     """
-    groups = common.stash(jaccard.jaccard_groups(docs, group_col="group_id").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))), "pipeline-groups")
-    least = groups.filter("group_id IS NOT NULL").groupBy("group_id").agg(F.min("text_hash").alias("least"))
-    first = groups.join(least, "group_id", "left").filter("group_id IS NULL OR text_hash = least")
-    return _one(docs, first)
+    return _one(docs, jaccard.jaccard_groups(docs, first_col="first").filter("first"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
