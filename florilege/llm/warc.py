@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html as entities
 import re
@@ -17,13 +18,48 @@ CRLF = b"\r\n"
 #: Record ids are name-based, so that a job run again after a lost executor names the same records.
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "florilege/warc")
 
-_drop = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<head\b[^>]*>.*?</head\s*>", re.S | re.I)
-_title = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_lang = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_dropped = re.compile(r"<!--|<(script|style|noscript|template|head)\b", re.I)
+_ends = {None: re.compile("-->")} | {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "noscript", "template", "head", "title")}
+_title = re.compile(r"<title\b[^>]*>", re.I)
+_html = re.compile(r"<html\b([^>]*)>", re.I)
+_lang = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _break = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|blockquote|pre|hr|title|body|html)\b[^>]*>", re.I)
 _tag = re.compile(r"<[A-Za-z/!?][^>]*>")
-_href = re.compile(r"<a\b[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_link = re.compile(r"<a\b([^>]*)>", re.I)
+_href = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _blank = re.compile(r"[ \t\r\f\v]+")
+_number = re.compile(r"&#(?:0*[1-9][0-9]{7,}|[xX]0*[1-9a-fA-F][0-9a-fA-F]{6,});?")
+
+
+def _tags(page: str) -> str:
+    """The page up to its last >. No tag is complete after it, and before it a search for a tag's end never runs to the page's end in vain."""
+    return page[: page.rfind(">") + 1]
+
+
+def without_hidden(page: str) -> str:
+    """The page with a space for each comment, script, style, noscript, template and head; one that isn't closed stays.
+
+    One pass: where an element's end is missing, it is missing for all later ones of its kind, which aren't searched again.
+    """
+    out, at, look, unclosed = [], 0, 0, set()
+    while m := _dropped.search(page, look):
+        kind = m[1].lower() if m[1] else None
+        look = m.end()
+        begin = look if kind is None else page.find(">", look) + 1
+        if kind in unclosed or not begin:
+            continue
+        end = _ends[kind].search(page, begin)
+        if not end:
+            unclosed.add(kind)
+            continue
+        out += [page[at : m.start()], " "]
+        at = look = end.end()
+    return "".join((*out, page[at:]))
+
+
+def unescape(text: str) -> str:
+    """Entities resolved; numbers beyond Unicode become U+FFFD, however long."""
+    return entities.unescape(_number.sub("\ufffd", text))
 
 
 def digest(block: bytes) -> str:
@@ -36,8 +72,10 @@ def record_id(*parts: str) -> str:
 
 def plain_text(page: str) -> str:
     """Visible text: no scripts, styles, head or comments; block tags end lines; entities resolved; white space collapsed."""
-    text = _tag.sub("", _break.sub("\n", _drop.sub(" ", page)))
-    lines = (_blank.sub(" ", x).strip() for x in entities.unescape(text).split("\n"))
+    text = without_hidden(page)
+    tags = _tags(text)
+    text = _tag.sub("", _break.sub("\n", tags)) + text[len(tags) :]
+    lines = (_blank.sub(" ", x).strip() for x in unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
@@ -77,10 +115,14 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tupl
     http, _, body = block.partition(CRLF * 2)
     page = body.decode("utf-8", "replace")
     text = plain_text(page)
-    title, lang = _title.search(page), _lang.search(page)
-    links = [entities.unescape(next(x for x in m if x)) for m in _href.findall(page) if any(m)]
-    fields = [("source-headers", " | ".join(http.decode("latin-1").split("\r\n"))), ("source-payload-digest", source["WARC-Payload-Digest"]), ("source-block-digest", source["WARC-Block-Digest"])]
-    fields += [("title", " ".join(plain_text(title[1]).split()))] if title else []
+    tags = _tags(page)
+    title = (m := _title.search(tags)) and (end := _ends["title"].search(tags, m.end())) and tags[m.end() : end.start()]
+    lang = (m := _html.search(tags)) and _lang.search(m[1])
+    found = [_href.findall(m[1]) for m in _link.finditer(tags)]
+    links = [unescape(next(x for x in every[-1] if x)) for every in found if every and any(every[-1])]
+    kept = [("Source-Headers", " | ".join(http.decode("latin-1").split("\r\n"))), ("Source-Payload-Digest", source.get("WARC-Payload-Digest") or digest(body)), ("Source-Block-Digest", source.get("WARC-Block-Digest") or digest(block))]
+    fields = [(k.lower(), v) for k, v in kept]
+    fields += [("title", " ".join(plain_text(title).split()))] if title is not None else []
     fields += [("language", lang[1].lower())] if lang else []
     fields += [("outlink", " ".join(x.split())) for x in links]
     meta = "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace")
@@ -91,7 +133,7 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tupl
             (
                 [
                     ("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, source["WARC-Record-ID"])), ("WARC-Refers-To", source["WARC-Record-ID"]), ("WARC-Target-URI", source["WARC-Target-URI"]),
-                    ("WARC-Date", source["WARC-Date"]), ("WARC-Refers-To-Date", source["WARC-Date"]), ("WARC-Block-Digest", digest(new)), ("Content-Type", mime),
+                    ("WARC-Date", source["WARC-Date"]), ("WARC-Refers-To-Date", source["WARC-Date"]), ("WARC-Block-Digest", digest(new)), ("Content-Type", mime), *((f"X-{k}", v) for k, v in kept),
                 ],
                 new,
             )
@@ -99,13 +141,33 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tupl
     return out
 
 
+def archive_derivatives(archives: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """(path, warc_type, record_id, refers_to, record) of the metadata and conversion records of each response record of whole WARC files, plain or gzipped, as spark.read.format("binaryFile") gives them.
+
+    A file is held in one task, as its format has it. Other records give nothing; null or empty content neither; bytes that are no record are an error.
+    """
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "warc_type", "record_id", "refers_to", "record"]
+        for batch in batches:
+            for path, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = gzip.decompress(data) if data and data[:2] == b"\x1f\x8b" else data or b""
+                for headers, block in parse(data):
+                    if headers.get("WARC-Type") == "response":
+                        made = [(dict(h), serialise(h, new)) for h, new in derive(list(headers.items()), block)]
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * 2), *(pa.array([h[k] for h, _ in made]) for k in ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To")), pa.array([r for _, r in made], pa.binary())], names=names)
+
+    return archives.select(F.col(path_col).cast("string").alias("path"), F.col(content_col).alias("content")).mapInArrow(build, "path string, warc_type string, record_id string, refers_to string, record binary")
+
+
 def derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Three rows per page (response, metadata, conversion): id, warc_type, record_id, refers_to, target_uri, content_type,
     block_digest, payload_digest, source_digest (of the response's payload), n_bytes (of the block) and record, the WARC/1.1 bytes.
 
     Each page is handled on its own in a map over Arrow batches: nothing is shuffled and no group can be hot. `date` is the
     time of capture where the table has none. Null HTML counts as an empty body; a null URL as urn:unknown; a null id is
-    kept. Repeated rows give records with equal ids: they are the same capture. Other columns don't matter.
+    kept. Repeated rows give records with equal ids: they are the same capture. A page of any length is read in linear time
+    and held once or twice. Other columns don't matter.
     """
     schema = f"{id_col} {dict(pages.dtypes)[id_col]}, warc_type string, record_id string, refers_to string, target_uri string, content_type string, block_digest string, payload_digest string, source_digest string, n_bytes long, record binary"
     names = [x.split()[0] for x in schema.split(", ")]
