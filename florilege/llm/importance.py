@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix, pieces, span_hashes, stash, utf8
@@ -103,12 +103,13 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per row of docs: id, n_grams, log_ratio (mean over the text's n-grams), score (with Gumbel noise), kept.
 
     Features are words and adjacent pairs hashed into `buckets`. The raw model is fitted on every document, the target model on
-    those labelled good (bounded, see Model); log_ratio is the mean of log(target / raw). Gumbel noise that depends on
+    those labelled good (bounded, see Model); log_ratio is the mean of log(target / raw), not the sum, whose size would follow a text's
+    length and leave nothing to the noise. Gumbel noise that depends on
     id and seed makes the k largest scores a sample without replacement in proportion to the exponential of log_ratio / temperature.
     k is the share of all rows, rounded up. Only models, of fixed size, and histogram counts pass through the driver.
 
     Null or blank text has log_ratio 0 and no n-grams. A null id gets the noise of its own hash; rows that repeat have equal
-    scores, and of equal scores at the boundary those with the smallest ids are kept, of repeated ids as many as fit.
+    scores, and of equal scores at the boundary those with the smallest ids are kept (null last), of one id's rows as many as fit: k rows in all.
     Empty docs give an empty result; without good labels the target is the raw model, so that noise decides alone.
     Null labels are ignored. Other columns don't matter.
     """
@@ -142,12 +143,20 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     rows = base.mapInArrow(score, f"id {dict(base.dtypes)['id']}, n_grams long, log_ratio double")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(model.seed), "id"), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
-    rows = stash(rows.withColumn("score", F.col("log_ratio") - F.lit(model.temperature) * F.log(-F.log(uniform))), "importance-scores")
+    rows = stash(rows.withColumn("score", F.col("log_ratio") - F.lit(model.temperature) * F.log(-F.log(uniform))).withColumn("row", F.monotonically_increasing_id()), "importance-scores")
     k = int(np.ceil(share * rows.count()))
     if not k:
         return rows.select(F.col("id").alias(id_col), "n_grams", "log_ratio", "score", F.lit(False).alias("kept"))
     bound, ties = kth_largest(rows, k)
-    tied = rows.filter(F.col("score") == bound).select("id").orderBy(F.asc_nulls_last("id")).limit(ties)
-    last = tied.agg(F.max("id"), F.count("id")).first()[0]
-    kept = (F.col("score") > bound) | ((F.col("score") == bound) & (F.col("id") <= F.lit(last) if last is not None else F.lit(True)))
+    # Of rows with just that score: whole ids in order, and of the last id as many rows as are left, in the order of their numbers.
+    same = rows.filter(F.col("score") == bound)
+    order = Window.orderBy(F.asc_nulls_last("id"))
+    ids = same.groupBy("id").agg(F.count("*").alias("n")).orderBy(F.asc_nulls_last("id")).limit(ties)
+    last = ids.withColumn("upto", F.sum("n").over(order)).filter(F.col("upto") - F.col("n") < ties).orderBy(F.desc("upto")).first()
+    mine = F.col("id").eqNullSafe(F.lit(last["id"]))
+    left, cut = ties - (last["upto"] - last["n"]), F.lit(True)
+    if left < last["n"]:
+        cut = F.col("row") <= -kth_largest(same.filter(mine).select((-F.col("row")).cast("double").alias("score")), left)[0]
+    before = F.col("id").isNotNull() if last["id"] is None else F.col("id") < F.lit(last["id"])
+    kept = (F.col("score") > bound) | ((F.col("score") == bound) & (F.coalesce(before, F.lit(False)) | (mine & cut)))
     return rows.select(F.col("id").alias(id_col), "n_grams", "log_ratio", "score", F.coalesce(kept, F.lit(False)).alias("kept"))
