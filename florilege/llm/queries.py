@@ -17,11 +17,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, shard, its rows: documents after their arrival shards have been compacted."""
-    store = sharding.shard(common.read(spark, sf_dir, "documents"), f"{common.scratch(spark)}/shards-{uuid.uuid4().hex}")
-    rows = store.read().select("doc_id", F.col("_shard").alias("shard"), F.octet_length(common.whole("text")).cast("long").alias("n_bytes"))
-    sizes = rows.groupBy("shard").agg(F.count("*").alias("shard_rows"))
-    return rows.join(sizes, "shard").withColumn("version", F.lit(store.version()))
+    """doc_id, shard (the least doc_id that it holds), its rows, the version: documents after four arrivals have been committed and their shards compacted."""
+    tiers = sharding.Tiers(target_bytes=32 << 20)
+    store = sharding.shard(common.read(spark, sf_dir, "documents"), f"{common.scratch(spark)}/shards-{uuid.uuid4().hex}", tiers, arrivals=4)
+    rows = store.read().select("doc_id", F.col(store.shard_col()).alias("file"), F.octet_length(common.whole("text")).cast("long").alias("n_bytes"))
+    files = rows.groupBy("file").agg(F.min("doc_id").alias("shard"), F.count("*").alias("shard_rows"))
+    return rows.join(F.broadcast(files), "file").drop("file").withColumn("version", F.lit(store.version()))  # a row for each file of at least half the target, and a few
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

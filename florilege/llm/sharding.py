@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -92,9 +93,18 @@ class ShardStore:
 
     def append(self, df: DataFrame) -> dict:
         """Arrivals become small shards, one for each partition in which they arrive, and a new version."""
-        shards = self._written(df)
-        base = self.manifest()
-        return self.commit(base, base["shards"] + shards, df.schema.json())
+        return self._change(set(), self._written(df), df.schema.json())
+
+    def _change(self, gone: set[str], new: list[dict], schema: str) -> dict:
+        """Commit the removal of `gone` and the addition of `new`, again on the newest version where another writer was faster. Conflict if that one has dropped a shard of `gone`: its rows are in another shard by then."""
+        while True:
+            base = self.manifest()
+            if not gone <= {s["path"] for s in base["shards"]}:
+                raise Conflict(f"version {base['version']} no longer has the shards to be replaced")
+            try:
+                return self.commit(base, [s for s in base["shards"] if s["path"] not in gone] + new, schema)
+            except Conflict:
+                continue
 
     def plan(self, shards: list[dict]) -> list[list[dict]]:
         """Runs to merge: within each tier, `fanout` files at a time in order of size, never over the target; a rest waits."""
@@ -118,50 +128,62 @@ class ShardStore:
         files = [f"{self.root}/{s['path']}" for s in run]
         return self._written(self.spark.read.schema(schema).parquet(*files).coalesce(1))
 
-    def compact(self) -> dict:
-        """Merge tier by tier until no tier holds `fanout` runs; each round is one commit. Merged files go once no version needs them (vacuum)."""
+    def compact(self, keep_versions: int = 2) -> dict:
+        """Merge tier by tier until no tier holds `fanout` runs; each round is one commit. Files go once none of the last `keep_versions` versions names them: a reader of the version before the last round isn't disturbed."""
         while runs := self.plan((base := self.manifest())["shards"]):
             schema = self._schema(base)
             with ThreadPoolExecutor(self.tiers.parallel_jobs) as pool:
                 merged = [s for out in pool.map(lambda r: self._merge(r, schema), runs) for s in out]
             gone = {s["path"] for r in runs for s in r}
-            self.commit(base, [s for s in base["shards"] if s["path"] not in gone] + merged, base["schema"])
-            self.vacuum()
+            self._change(gone, merged, base["schema"])
+            self.vacuum(keep_versions)
         return self.manifest()
 
-    def vacuum(self, keep_versions: int = 1) -> None:
-        """Delete shards that only versions older than the last `keep_versions` name."""
+    def vacuum(self, keep_versions: int = 2, grace: float = 86_400) -> None:
+        """Delete the shards that only versions older than the last `keep_versions` name, and folders of data that no version names once they are `grace` seconds old: what jobs lost before their commit have left."""
         last = self.version()
-        live = {s["path"] for v in range(max(1, last - keep_versions + 1), last + 1) for s in self.manifest(v)["shards"]}
-        old = self.manifest(last - keep_versions)["shards"] if last > keep_versions else []
-        for s in old:
-            if s["path"] not in live:
-                self._fs.delete(self._path(f"{self.root}/{s['path']}"), False)
+        first = max(1, last - keep_versions + 1)
+        live = {s["path"] for v in range(first, last + 1) for s in self.manifest(v)["shards"]}
+        old = {s["path"] for v in range(max(1, first - 1), first) for s in self.manifest(v)["shards"]}
+        for path in old - live:
+            self._fs.delete(self._path(f"{self.root}/{path}"), False)
+        folders = {p.split("/")[1] for p in live | old}
+        for status in self._fs.listStatus(self._path(f"{self.root}/data")):
+            if status.getPath().getName() not in folders and status.getModificationTime() / 1000 < time.time() - grace:
+                self._fs.delete(status.getPath(), True)
 
     def _schema(self, manifest: dict):
         from pyspark.sql.types import StructType
 
         return StructType.fromJson(json.loads(manifest["schema"]))
 
+    def shard_col(self, version: int | None = None) -> str:
+        """_shard, with as many more underscores in front as it takes to be no column of the rows (in any case of letters)."""
+        name, taken = "_shard", {c.lower() for c in self._schema(self.manifest(version)).names}
+        while name in taken:
+            name = "_" + name
+        return name
+
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version (the last one), with _shard, the path of the shard that holds them."""
+        """The rows of a version (the last one), with the path of the shard that holds them: the column self.shard_col(), _shard unless the rows have one of that name."""
         m = self.manifest(version)
         if not m["schema"]:
             raise ValueError("nothing has been appended")
         schema = self._schema(m)
         if not m["shards"]:
-            return self.spark.createDataFrame([], schema).withColumn("_shard", F.lit(None).cast("string"))
+            return self.spark.createDataFrame([], schema).withColumn(self.shard_col(version), F.lit(None).cast("string"))
         df = self.spark.read.schema(schema).parquet(*(f"{self.root}/{s['path']}" for s in m["shards"]))
-        return df.withColumn("_shard", F.regexp_extract(F.input_file_name(), r"(data/[^/]+/[^/]+)$", 1))
+        return df.withColumn(self.shard_col(version), F.regexp_extract(F.input_file_name(), r"(data/[^/]+/[^/]+)$", 1))
 
 
-def shard(docs: DataFrame, root: str, tiers: Tiers = Tiers()) -> ShardStore:
-    """Append docs to the store at root and compact it; the store.
+def shard(docs: DataFrame, root: str, tiers: Tiers = Tiers(), arrivals: int = 1) -> ShardStore:
+    """Append docs to the store at root, as one arrival or several (rows are dealt by their hash), and compact it; the store.
 
     Every row is kept as it is: nulls, empty or very long texts and repeated rows make no difference, and columns may have any
-    names. A row larger than the target makes a shard larger than the target. An empty table commits a version without rows.
+    names (see read). A row larger than the target makes a shard larger than the target. An empty table commits a version without rows.
     """
     store = ShardStore(docs.sparkSession, root, tiers)
-    store.append(docs)
+    for i in range(arrivals):
+        store.append(docs.filter(F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)), F.lit(arrivals)) == i) if arrivals > 1 else docs)
     store.compact()
     return store

@@ -275,3 +275,57 @@ def test_quality_rules_edges(spark):
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.kept) for r in quality_rules.quality_rules(df, labels).collect())
     assert got == [(-1, 0, False), (0, 60, True), (0, 60, True), (2, 1, False)]
     assert quality_rules.quality_rules(df.limit(0), labels).count() == 0 and quality_rules.quality_rules(df, labels.limit(0)).count() == 4
+
+
+@pytest.mark.parametrize("bad", ["<!--", "<script>", "<script", "<a <a", "<title>", "<html lang lang", "</script ", "<a href='", "&#9"])
+def test_pages_are_read_in_linear_time(bad):
+    import time
+
+    times = []
+    for n in (20_000, 320_000):
+        page = bad * (n // len(bad))
+        began = time.process_time()
+        warc.derive(*warc.response("1", "http://a/", page, "2024"))
+        times.append(time.process_time() - began)
+    assert times[1] < 60 * times[0] + 2
+
+
+def test_hidden_parts_go_and_what_is_not_closed_stays():
+    page = "<HEAD><title>t</title></HEAD>a<!-- x --><script>1</script >b<style>c<style>d</style>e<script>f<!--g"
+    assert warc.without_hidden(page) == " a  b e<script>f<!--g"
+    assert warc.plain_text("x &#" + "9" * 6000 + "; &#65;") == "x \ufffd A"
+
+
+def test_archives_give_the_records_of_their_pages(spark):
+    import gzip
+
+    pages = spark.createDataFrame([(1, "http://a/", "<p>x</p>"), (2, None, None)], "page_id long, url string, html string")
+    rows = warc.derivatives(pages).collect()
+    data = b"".join(bytes(r.record) for r in rows if r.warc_type == "response")
+    files = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(gzip.compress(data))), ("c", None)], "path string, content binary")
+    got = warc.archive_derivatives(files).collect()
+    want = {(r.record_id, r.refers_to, bytes(r.record)) for r in rows if r.warc_type != "response"}
+    assert len(got) == 8 and {(r.record_id, r.refers_to, bytes(r.record)) for r in got} == want
+    assert all(b"X-Source-Headers: HTTP/1.1 200 OK" in x and b"X-Source-Payload-Digest: sha1:" in x for *_, x in want)
+
+
+@pytest.mark.parametrize("ids,k", [([1] * 10, 3), ([None] * 6 + [5], 3), ([1, 1, None, None], 2)])
+def test_importance_keeps_just_k_of_tied_rows(spark, ids, k):
+    docs = spark.createDataFrame([(i, "a b c") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(99, 1)], "doc_id long, quality int")
+    assert importance.resample(docs, labels, model=importance.Model(share=k / len(ids))).filter("kept").count() == k
+
+
+def test_columns_named_like_the_shards_stay_and_readers_of_the_last_version_too(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"v{i}") for i in range(40)], "doc_id long, _shard string").repartition(4)
+    store = sharding.shard(docs, f"file://{tmp_path}/s", sharding.Tiers(target_bytes=1 << 20), arrivals=3)
+    assert store.shard_col() == "__shard" and store.version() > 3
+    got = store.read().collect()
+    assert sorted((r.doc_id, r._shard) for r in got) == sorted((i, f"v{i}") for i in range(40)) and len({r["__shard"] for r in got}) < 12
+    assert store.read(store.version() - 1).count() == 40
+    lost = tmp_path / "s/data/lost"
+    lost.mkdir()
+    store.vacuum(grace=-5)
+    assert not lost.exists() and store.read().count() == 40
+    with pytest.raises(sharding.Conflict):
+        store._change({"data/none"}, [], docs.schema.json())
