@@ -5,12 +5,13 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import profiles, similarity
 from ..functions.tokens import words
+from . import verify
 from .retrieve import dedupe_first, postings, token_candidates, top_k
 
 #: Fixed value: the in-band word for "no valid correction", written by sinks only; inside the engine it is null.
@@ -94,3 +95,93 @@ def snap(prediction: Column, passage: Column, low: float = 0.7, high: float = 1.
     clean = profiles.drop_lone_marker(prediction)
     ratio = F.length(clean) / F.nullif(F.length(passage), F.lit(0))
     return F.when(ratio.between(low, high), passage).otherwise(crop(clean, passage))
+
+
+def consecutive_runs(passages: DataFrame, group: str, number: str, text_col: str, least: int = 2, most: int = 5) -> DataFrame:
+    """(group, first, n, plain, joined): `least` to `most` passages whose numbers follow each other without a gap, plain with spaces and with each number in parentheses."""
+    w = Window.partitionBy(group).orderBy(number)
+    # Numbers without a gap differ from their rank by one constant.
+    solid = passages.withColumn("_solid", F.col(number) - F.row_number().over(w))
+    ahead = F.collect_list(F.struct(F.col(number).alias("i"), F.col(text_col).alias("t"))).over(Window.partitionBy(group, "_solid").orderBy(number).rowsBetween(0, most - 1))
+    runs = solid.withColumn("_a", ahead).filter(F.size("_a") >= least)
+    runs = runs.select(group, F.col(number).alias("first"), F.explode(F.transform(F.sequence(F.lit(least), F.size("_a")), lambda k: F.slice("_a", 1, k))).alias("_r"))
+    joined = F.transform("_r", lambda x: F.concat(x["t"], F.lit("("), x["i"].cast("string"), F.lit(")")))
+    return runs.select(group, "first", F.size("_r").alias("n"), F.array_join(F.transform("_r", lambda x: x["t"]), " ").alias("plain"), F.array_join(joined, " ").alias("joined"))
+
+
+def cross_passages(spans: DataFrame, span_id: str, span_col: str, passages: DataFrame, group: str, number: str, text_col: str, threshold: float = 0.85, starts: int = 30, k: int = 5) -> DataFrame:
+    """(span, group, first, n, similarity, correction, rank): runs of two to five passages as one text.
+
+    A run starts at one of the `starts` passages that share most of the span's first eight words (a quarter of them at least, words of two
+    characters and more); spans of under four words have none. The best k by similarity, then fewer passages (O2); ties by place.
+    """
+    q = spans.select(span_id, profiles.matcher_key(F.col(span_col)).alias("_q")).withColumn("_w", words(F.col("_q"))).filter(F.size("_w") >= 4)
+    search = F.slice("_w", 1, 8)
+    need = F.greatest(F.lit(1), F.floor(F.size(search) / 4))
+    asked = q.select(span_id, need.alias("_need"), F.explode(search).alias("token")).filter(F.length("token") >= 2)
+    held = passages.select(group, F.col(number).alias("first"), F.explode(F.array_distinct(words(profiles.matcher_key(F.col(text_col))))).alias("token"))
+    hits = asked.join(held, "token").groupBy(span_id, "_need", group, "first").agg(F.count("*").alias("_hits")).filter(F.col("_hits") >= F.col("_need"))
+    hits = top_k(hits, span_id, starts, F.desc("_hits"), F.col(group), F.col("first")).select(span_id, group, "first")
+    runs = consecutive_runs(passages, group, number, text_col)
+    keyed = consecutive_runs(passages.withColumn(text_col, profiles.matcher_key(F.col(text_col))), group, number, text_col).select(group, "first", "n", F.col("plain").alias("_c"))
+    pairs = hits.join(keyed, [group, "first"]).join(q.select(span_id, "_q"), span_id)
+    # A ratio of at least the threshold needs lengths that allow it.
+    bound = 2 * F.least(F.length("_q"), F.length("_c")) / (F.length("_q") + F.length("_c"))
+    pairs = pairs.filter(bound >= threshold - 1e-9).withColumn("similarity", similarity.sequence_ratio(F.col("_q"), F.col("_c"))).filter(F.col("similarity") >= threshold)
+    best = top_k(pairs, span_id, k, F.desc("similarity"), F.col("n"), F.col(group), F.col("first")).select(span_id, group, "first", "n", "similarity", "rank")
+    return best.join(runs.select(group, "first", "n", F.col("joined").alias("correction")), [group, "first", "n"])
+
+
+def canonical(predictions: DataFrame, key: str, prediction: str, corpus: DataFrame, passage_id: str, passage_col: str, verse: bool = True, floor: float = 0.55) -> DataFrame:
+    """(key, passage, passage_col, similarity) of the passage nearest to a prediction, null under `floor`; ties by id.
+
+    Candidates share max(2, a quarter) of a prediction's distinct words with it as verses and 30 % in any case; both are counts of
+    an equi-join, so narrations need no loop over the corpus either: 30 % of some words is at least one of them. For verses pass the
+    runs of neighbours as the corpus. Blank predictions and the sentinel have none.
+    """
+    p = predictions.filter(F.trim(prediction) != SENTINEL).select(key, profiles.no_diacritics(F.trim(F.col(prediction))).alias("_q"))
+    p = p.withColumn("_w", F.array_distinct(words(F.col("_q")))).filter(F.size("_w") > 0)
+    c = corpus.select(passage_id, passage_col, profiles.no_diacritics(F.col(passage_col)).alias("_c"))
+    held = c.select(passage_id, F.explode(F.array_distinct(words(F.col("_c")))).alias("token"))
+    hits = p.select(key, F.size("_w").alias("_n"), F.explode("_w").alias("token")).join(held, "token").groupBy(key, "_n", passage_id).agg(F.count("*").alias("_hits"))
+    least = F.greatest(F.lit(2), F.floor(F.col("_n") / 4)) if verse else F.lit(1)
+    hits = hits.filter((F.col("_hits") >= least) & (F.col("_hits") / F.col("_n") >= 0.30)).select(key, passage_id)
+    pairs = hits.join(p.select(key, "_q"), key).join(c, passage_id)
+    bound = 2 * F.least(F.length("_q"), F.length("_c")) / (F.length("_q") + F.length("_c"))
+    pairs = pairs.filter(bound >= floor - 1e-9).withColumn("similarity", similarity.sequence_ratio(F.col("_q"), F.col("_c"))).filter(F.col("similarity") >= floor)
+    best = pairs.groupBy(key).agg(F.max_by(F.struct(passage_id, passage_col, "similarity"), F.struct(F.col("similarity"), -F.col(passage_id))).alias("_b"))
+    return predictions.select(key).join(best.select(key, "_b.*"), key, "left")
+
+
+def snapped(predictions: DataFrame, key: str, prediction: str, corpus: DataFrame, passage_id: str, passage_col: str, verse: bool = True) -> DataFrame:
+    """(key, correction): a prediction snapped to its canonical passage, itself where it has none."""
+    near = canonical(predictions, key, prediction, corpus, passage_id, passage_col, verse)
+    rows = predictions.select(key, prediction).join(near.select(key, passage_col), key)
+    return rows.select(key, F.when(F.col(passage_col).isNull(), F.col(prediction)).otherwise(snap(F.col(prediction), F.col(passage_col))).alias("correction"))
+
+
+def corrections(spans: DataFrame, span_id: str, span_col: str, kind_col: str, corpora: dict[str, DataFrame], passage_id: str, passage_col: str, thresholds: dict[str, float] | None = None) -> DataFrame:
+    """(span, kind, correction, detail): a row for each span, its parts (P4) corrected each on its own and joined.
+
+    corpora: the passages of each kind. detail: source, threshold, confidence, n_parts, and passage_id and match_type of the first part. The
+    correction is null, the sinks' sentinel, for blank spans, the sentinel itself and where nothing reaches its threshold.
+    """
+    thresholds = thresholds or {"Ayah": 0.85, "Hadith": 0.75}
+    outs = []
+    for kind, corpus in corpora.items():
+        mine = spans.filter((F.col(kind_col) == kind) & (F.trim(span_col) != "") & (F.trim(span_col) != SENTINEL))
+        parts = mine.select(span_id, F.posexplode(verify.split_parts(F.trim(F.col(span_col)))).alias("_i", "_part")).withColumn("part_key", F.struct(span_id, "_i"))
+        ranked = candidates(parts.select("part_key", "_part"), "part_key", "_part", corpus, passage_id, passage_col)
+        strong = ranked.filter((F.col("rank") == 1) & (F.col("similarity") >= thresholds[kind])).select("part_key")
+        weak = parts.join(strong, "part_key", "left_anti").select("part_key", "_part")
+        united = unite("part_key", passage_id, thresholds[kind], ranked, fallback(weak, "part_key", "_part", corpus, passage_id, passage_col)).filter("rank = 1").join(corpus.select(passage_id, passage_col), passage_id)
+        kept = united.filter(F.col("similarity") >= thresholds[kind]).join(strong.withColumn("_s", F.lit("similarity")), "part_key", "left")
+        rows = parts.join(kept.select("part_key", "similarity", passage_id, F.col(passage_col).alias("_text"), F.coalesce("_s", F.lit("fallback")).alias("match_type")), "part_key", "left")
+        done = decide_parts(rows, span_id, "_i", "_text", passage_id)
+        first = rows.filter("_text IS NOT NULL").groupBy(span_id).agg(F.min_by(F.struct(passage_id, "match_type"), "_i").alias("_f"))
+        detail = F.struct(F.lit("quran" if kind == "Ayah" else "hadith").alias("source"), F.lit(thresholds[kind]).alias("threshold"), "confidence", "n_parts", f"_f.{passage_id}", "_f.match_type")
+        outs.append(done.join(first, span_id).select(span_id, "correction", detail.alias("detail")))
+    found = outs[0]
+    for o in outs[1:]:
+        found = found.unionByName(o)
+    return spans.select(span_id, F.col(kind_col).alias("kind")).join(found, span_id, "left")

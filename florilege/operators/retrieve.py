@@ -83,6 +83,17 @@ def adjacent_passages(passages: DataFrame, group: str, position: str, text_col:
     return runs.select(group, "first", F.size("_run").alias("n"), F.element_at("_run", -1)["p"].alias("last"), F.array_join(joined, " ").alias("joined"))
 
 
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """rows with their place from 1 in a total order: sorted by ranges, numbered within each, and moved by the sizes of the ranges before (a row for each range, on the driver)."""
+    ranged = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_p", F.spark_partition_id())
+    sizes = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()}
+    before, total = {}, 0
+    for p in sorted(sizes):
+        before[p], total = total, total + sizes[p]
+    moved = F.try_element_at(F.create_map(*(F.lit(x) for item in before.items() for x in item)), F.col("_p")) if before else F.lit(0)
+    return ranged.withColumn(name, (F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + moved).cast("long")).drop("_p")
+
+
 def dedupe_first(rows: DataFrame, key: Column, *order: Column) -> DataFrame:
     """One row of each key, the first in order."""
     return rows.withColumn("_key", key).withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy(*order))).filter("_r = 1").drop("_r", "_key")

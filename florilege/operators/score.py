@@ -69,3 +69,54 @@ def correction_accuracy(refs: DataFrame, preds: DataFrame, key: str, corpus: Dat
     known = corpus.select(normal(F.col(passage_col)).alias("_t")).distinct().withColumn("_in", F.lit(True))
     rows = refs.join(p.drop("_n"), key, "left").withColumns({"_r": normal(F.col("correction")), "_t": normal(F.col("prediction"))}).join(known, "_t", "left")
     return rows.select(key, F.coalesce((F.col("_r") == F.col("_t")) | (F.contains("_t", F.col("_r")) & F.coalesce("_in", F.lit(False))), F.lit(False)).alias("is_right"))
+
+
+def official_scores(refs: DataFrame, preds: DataFrame, texts: DataFrame, key: str, length: str, inclusive: bool = False) -> DataFrame:
+    """(key, score) for each question of refs: null where preds lack it, so that means leave it out.
+
+    refs: key, span_no, label, span_start, span_end (end exclusive); preds: key, span_no, span_type, span_start, span_end. The first row decides: a reference
+    of NoAnnotation scores 1 against No_Spans and 0 against spans; No_Spans against spans scores 0; else macro F1 over characters, later spans
+    over earlier ones. Types other than Ayah, Hadith and No_Spans, bounds outside the text and ends before starts are errors. inclusive: ends of preds are the last character.
+    """
+    first = lambda df, c, name: df.groupBy(key).agg(F.min_by(c, "span_no").alias(name))
+    known = F.col("span_type").isin("Ayah", "Hadith", "No_Spans")
+    preds = preds.withColumn("span_type", F.when(known, F.col("span_type")).otherwise(F.raise_error(F.lit("span_type must be Ayah, Hadith or No_Spans")).cast("string")))
+    heads = first(refs, "label", "_ref").join(first(preds, "span_type", "_pred"), key, "left")
+    plain = F.when(F.col("_ref") == "NoAnnotation", (F.col("_pred") == "No_Spans").cast("double")).when(F.col("_pred") == "No_Spans", 0.0)
+    heads = heads.withColumn("_plain", F.when(F.col("_pred").isNotNull(), plain))
+    judged = heads.filter("_pred IS NOT NULL AND _plain IS NULL").select(key)
+    end = F.col("span_end") + (1 if inclusive else 0)
+    bounds = (F.col("span_start") >= 0) & (end <= F.col(length)) & (F.col("span_start") <= F.col("span_end"))
+    p = preds.join(judged, key, "left_semi").join(texts.select(key, length), key).filter(F.col("span_type") != "No_Spans")
+    p = p.withColumn("span_end", F.when(bounds, end).otherwise(F.raise_error(F.lit("a span's bounds lie outside its text")).cast("long")))
+    g = refs.join(judged, key, "left_semi").filter(F.col("label").isin("Ayah", "Hadith"))
+    counts = overlap_counts(paint(g, key), paint(p, key, "span_type"), texts.join(judged, key, "left_semi"), key, length)
+    return heads.join(macro_f1(counts, key), key, "left").select(key, F.coalesce("_plain", "macro_f1").alias("score"))
+
+
+def ensemble_f1(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
+    """(key, macro_f1, f1_ayah, f1_hadith, f1_neither): a text is as long as its last span's end and one more character; equal sides score 1 for every class, absent ones too."""
+    both = gold.select(key, "span_end").union(pred.select(key, "span_end"))
+    lengths = both.groupBy(key).agg((F.max("span_end") + 1).alias("_len"))
+    counts = overlap_counts(paint(gold, key), paint(pred, key), lengths, key, "_len")
+    equal = counts.groupBy(key).agg((F.count_if(F.col("gold") != F.col("pred")) == 0).alias("_equal"))
+    out = macro_f1(counts, key).join(class_f1(counts, key, ["Ayah", "Hadith", "Neither"]), key).join(equal, key)
+    return out.select(key, "macro_f1", *(F.when(F.col("_equal"), 1.0).otherwise(F.col(c)).alias(c) for c in ("f1_ayah", "f1_hadith", "f1_neither")))
+
+
+def composite_id(question: Column, start: Column, end: Column) -> Column:
+    """question@start-end."""
+    return F.concat(question, F.lit("@"), start.cast("string"), F.lit("-"), end.cast("string"))
+
+
+def composite_accuracy(refs: DataFrame, preds: DataFrame, right, kind: str = "kind") -> DataFrame:
+    """Accuracy overall (kind null) and by kind of refs (question, span_start, span_end, correction, kind) against preds (id, prediction); a missing prediction is wrong. Of several predictions of an id the last by text counts."""
+    p = preds.groupBy("id").agg(F.max("prediction").alias("prediction"))
+    rows = refs.withColumn("id", composite_id(F.col("question"), F.col("span_start"), F.col("span_end"))).join(p, "id", "left")
+    return accuracy(rows, F.coalesce(right(F.col("correction"), F.col("prediction")), F.lit(False)), kind)
+
+
+def rescored(rows: DataFrame, snapped: Column, gold: Column, kind: Column, verse_form, narration_form) -> DataFrame:
+    """Accuracy overall and by kind, rounded to four places, of snapped corrections: narrations are compared in one form, verses in another."""
+    right = F.when(kind == "Hadith", narration_form(gold) == narration_form(snapped)).otherwise(verse_form(F.trim(gold)) == verse_form(F.trim(snapped)))
+    return accuracy(rows.withColumn("kind", kind), F.coalesce(right, F.lit(False)), "kind").withColumn("accuracy", F.round("accuracy", 4))

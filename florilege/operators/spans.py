@@ -17,10 +17,21 @@ def verbatim_spans(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id",
     return found.select(doc_id, passage_id, start.cast("long").alias("span_start"), (start + F.length(passage_col)).cast("long").alias("span_end"))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _places(text: pd.Series, part: pd.Series) -> pd.Series:
+    def one(t: str | None, p: str | None) -> list[int]:
+        out, at = [], t.find(p) if t and p else -1
+        while at >= 0:
+            out.append(at)
+            at = t.find(p, at + 1)
+        return out
+
+    return pd.Series([one(t, p) for t, p in zip(text, part, strict=True)])
+
+
 def occurrences(text: Column, part: Column) -> Column:
-    """Every start of part in text, overlapping ones too."""
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - F.length(part) + 1)), lambda i: F.substr(text, i, F.length(part)) == part)
-    return F.when((F.length(part) > 0) & F.contains(text, part), F.transform(at, lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
+    """Every start of part in text, overlapping ones too, each search going on after the last place. Texts without the part aren't searched in Python."""
+    return _places(F.when(F.contains(text, part), text), part)
 
 
 def repair(text: Column, part: Column, guess: Column) -> Column:
@@ -46,10 +57,12 @@ def number_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id") -> D
 
 
 def json_block(answer: Column) -> Column:
-    """A10: the JSON text in an answer: without code fences, else from the first brace to the last, else null."""
+    """A10: the JSON text in an answer: without code fences, else from the first brace to the last, if it parses; else null."""
     plain = F.regexp_replace(F.regexp_replace(F.trim(answer), r"^```[A-Za-z]*\s*", ""), r"\s*```$", "")
-    whole = F.when(plain.rlike(r"(?s)^[\[{].*[\]}]$"), plain)
-    return F.coalesce(whole, F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit("")))
+    inner = F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit(""))
+    # One value and nothing after it: amid brackets it is an array of one.
+    parses = lambda c: F.coalesce(F.try_parse_json(c).isNotNull() & (F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1), F.lit(False))
+    return F.when(plain.rlike(r"(?s)^[\[{].*[\]}]$") & parses(plain), plain).when(parses(inner), inner)
 
 
 def tag_kind(tag: Column) -> Column:
@@ -89,33 +102,46 @@ def quoted(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", leas
 def bracketed(source: pd.Series, answer: pd.Series) -> pd.Series:
     """A1, A2, A3: spans of an answer that repeats its source with [ text | tag ] around quotations, nested ones too, mapped to the source.
 
-    Answer words are aligned with source words at least cost: 0 for equal, 1 - ratio for a pair, 1 for a gap; of equal costs
-    pairs before gaps. Offsets are those of the source's own words, whatever the white space.
+    Answer words are aligned with source words at least cost: 0 for equal, 1 - Levenshtein ratio (M15) for a pair, 1 for a gap; of equal costs
+    pairs before gaps. Words that begin and end both texts alike are pairs at once. Offsets are those of the source's own words, whatever the white space.
+    A quotation with several tags, [ text | a | b ], is a span for each.
     """
     import re
-    from difflib import SequenceMatcher
+
+    import numpy as np
+
+    def unlike(x: str, y: str, known: dict) -> float:
+        """1 - 2 * longest common subsequence / length of both: a substitution counts as a deletion and an insertion."""
+        if (x, y) not in known:
+            row = [0] * (len(y) + 1)
+            for a in x:
+                last = 0
+                for j, b in enumerate(y, 1):
+                    last, row[j] = row[j], last + 1 if a == b else max(row[j], row[j - 1])
+            known[x, y] = 1 - 2 * row[-1] / (len(x) + len(y))
+        return known[x, y]
 
     def align(x: list[str], y: list[str]) -> list[int | None]:
-        n, m = len(x), len(y)
-        cost = [[0.0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n + 1):
-            for j in range(m + 1):
-                if i and j:
-                    same = 0.0 if x[i - 1] == y[j - 1] else 1 - SequenceMatcher(None, x[i - 1], y[j - 1]).ratio()
-                    cost[i][j] = min(cost[i - 1][j - 1] + same, cost[i - 1][j] + 1, cost[i][j - 1] + 1)
-                else:
-                    cost[i][j] = float(i + j)
-        to: list[int | None] = [None] * n
+        head = tail = 0
+        while head < min(len(x), len(y)) and x[head] == y[head]:
+            head += 1
+        while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
+            tail += 1
+        a, b = x[head : len(x) - tail], y[head : len(y) - tail]
+        n, m = len(a), len(b)
+        known: dict = {}
+        cost, step = np.zeros((n + 1, m + 1)), np.zeros((n + 1, m + 1), np.int8)
+        cost[0], cost[:, 0], step[0], step[:, 0] = np.arange(m + 1), np.arange(n + 1), 2, 1
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                same = 0.0 if a[i - 1] == b[j - 1] else unlike(a[i - 1], b[j - 1], known)
+                cost[i, j], step[i, j] = min((cost[i - 1, j - 1] + same, 0), (cost[i - 1, j] + 1, 1), (cost[i, j - 1] + 1, 2))
+        to: list[int | None] = [*range(head), *[None] * n, *range(len(y) - tail, len(y))]
         i, j = n, m
         while i and j:
-            same = 0.0 if x[i - 1] == y[j - 1] else 1 - SequenceMatcher(None, x[i - 1], y[j - 1]).ratio()
-            if abs(cost[i][j] - cost[i - 1][j - 1] - same) < 1e-12:
-                to[i - 1] = j - 1
-                i, j = i - 1, j - 1
-            elif abs(cost[i][j] - cost[i - 1][j] - 1) < 1e-12:
-                i -= 1
-            else:
-                j -= 1
+            if step[i, j] == 0:
+                to[head + i - 1] = head + j - 1
+            i, j = i - (step[i, j] != 2), j - (step[i, j] != 1)
         return to
 
     def one(s: str | None, a: str | None) -> list[dict]:
@@ -124,18 +150,19 @@ def bracketed(source: pd.Series, answer: pd.Series) -> pd.Series:
             if t == "[":
                 open_at.append([len(words), None, None])
             elif t == "|" and open_at:
-                open_at[-1][1], open_at[-1][2] = len(words), ""
+                open_at[-1][1] = len(words) if open_at[-1][1] is None else open_at[-1][1]
+                open_at[-1][2] = [*(open_at[-1][2] or []), ""]
             elif t == "]" and open_at:
-                b, e, tag = open_at.pop()
-                spans.append((b, len(words) if e is None else e, tag))
+                b, e, tags = open_at.pop()
+                spans += [(b, len(words) if e is None else e, tag) for tag in tags or [None]]
             elif open_at and open_at[-1][2] is not None:
-                open_at[-1][2] = f"{open_at[-1][2]} {t}".strip()
+                open_at[-1][2][-1] = f"{open_at[-1][2][-1]} {t}".strip()
             else:
                 words.append(t)
         places = [m.span() for m in re.finditer(r"\S+", s or "")]
         to = align(words, [(s or "")[b:e] for b, e in places])
         out = []
-        for b, e, tag in sorted(spans, key=lambda x: x[:2]):
+        for b, e, tag in sorted(spans, key=lambda x: (x[0], x[1])):
             at = [to[i] for i in range(b, e) if to[i] is not None]
             if at:
                 out.append({"span_start": places[at[0]][0], "span_end": places[at[-1]][1], "tag": tag})

@@ -90,20 +90,98 @@ def split_parts(span: Column) -> Column:
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(span))
 
 
+# The characters of each rule, and the codes with their descriptions.
+FORBIDDEN = '*()[]{}﴾﴿"«»'
+FORBIDDEN_END = ".,،;؛:؞؍!؟?﴾﴿)]}…"
+DELIMITERS = "()[]{}﴾﴿"
+QUOTES = '"«»'
 ISSUES = {
-    "empty": "The span is empty.", "edge_space": "White space at an end.", "double_space": "Runs of white space.", "line_break": "Line breaks inside.", "brackets": "Brackets inside.", "quotes": "Quotation marks inside.",
-    "end_punctuation": "Punctuation at the end.", "start_punctuation": "Punctuation at the start.", "digits": "Digits inside.", "latin": "Latin letters inside.", "short": "Fewer than three words.",
-}
+    "empty_or_whitespace": "Verse span is empty or contains only whitespace",
+    "starts_with_non_arabic": "Verse span starts with non-Arabic character",
+    "ends_with_non_arabic": "Verse span ends with non-Arabic character",
+    "contains_forbidden_chars": "Contains forbidden characters (parentheses, brackets, quotes, etc.)",
+    "ends_with_forbidden_punctuation": "Ends with punctuation that should not be in Quranic text",
+    "contains_verse_separator": "Contains asterisk (*) which is used as verse separator",
+    "contains_delimiters": "Contains parentheses, brackets, or similar delimiters",
+    "contains_quotes": "Contains quotation marks",
+    "contains_non_arabic_chars": "Contains non-Arabic characters in the text",
+    "excessive_whitespace": "Contains excessive whitespace (multiple consecutive spaces)",
+    "leading_trailing_whitespace": "Contains leading or trailing whitespace",
+}
+# End of fixed values.
+
+
+def _class(chars: str) -> str:
+    return "".join(f"\\u{ord(c):04X}" for c in chars)
+
+
+def stripped(span: Column) -> Column:
+    return F.regexp_replace(F.coalesce(span, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
+def is_arabic(chars: Column) -> Column:
+    """Whether all of a text's characters, of which there is one at least, are Arabic or white space."""
+    return F.coalesce(chars.rlike(rf"(?U)^[{ARABIC_BLOCKS}\s]+$"), F.lit(False))
+
+
+def separator_chars(span: Column) -> Column:
+    """How many characters belong to separators: asterisks, commas, numbers in parentheses, runs of three or more that are neither Arabic nor white space."""
+    kept = F.regexp_replace(F.coalesce(span, F.lit("")), rf"(?U)\*|[،,]|{_MARKER}|[^{ARABIC_BLOCKS}\s]{{3,}}", "")
+    return F.length(F.coalesce(span, F.lit(""))) - F.length(kept)
 
 
 def issues(span: Column) -> Column:
-    """The codes of ISSUES that apply."""
-    text = F.coalesce(span, F.lit(""))
+    """The codes of ISSUES that apply, in their order. Rules look at the stripped span, so the last code never does."""
+    t = stripped(span)
+    first, last = F.substring(t, 1, 1), F.substring(t, -1, 1)
     tests = {
-        "empty": F.length(profiles.collapse(text)) == 0, "edge_space": text.rlike(r"(?U)^\s|\s$"), "double_space": text.rlike(r"(?U)[^\S\n]{2,}"), "line_break": F.contains(text, F.lit("\n")), "brackets": text.rlike(r"[()\[\]{}]"),
-        "quotes": text.rlike("[\"'«»“”‘’]"), "end_punctuation": text.rlike(r"[.,،;؛:!?؟]$"), "start_punctuation": text.rlike(r"^[.,،;؛:!?؟]"), "digits": text.rlike("[0-9]"), "latin": text.rlike("[A-Za-z]"), "short": F.size(words(text)) < 3,
+        "starts_with_non_arabic": ~is_arabic(first), "ends_with_non_arabic": ~is_arabic(last), "contains_forbidden_chars": t.rlike(f"[{_class(FORBIDDEN)}]"), "ends_with_forbidden_punctuation": last.rlike(f"[{_class(FORBIDDEN_END)}]"),
+        "contains_verse_separator": F.contains(t, F.lit("*")), "contains_delimiters": t.rlike(f"[{_class(DELIMITERS)}]"), "contains_quotes": t.rlike(f"[{_class(QUOTES)}]"),
+        "contains_non_arabic_chars": t.rlike(rf"(?U)[^{ARABIC_BLOCKS}\s{_class(FORBIDDEN)}]"), "excessive_whitespace": F.contains(t, F.lit("  ")),
     }
-    return F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]))
+    return F.when(t == "", F.array(F.lit("empty_or_whitespace"))).otherwise(F.array_compact(F.array(*[F.when(test, F.lit(code)) for code, test in tests.items()])))
+
+
+def describe(issue: Column) -> Column:
+    """The description of a code."""
+    known = F.create_map(*(F.lit(x) for item in ISSUES.items() for x in item))
+    return F.coalesce(F.try_element_at(known, issue), F.concat(F.lit("Unknown issue: "), issue))
+
+
+def span_report(span: Column, most: int = 10) -> Column:
+    """Struct of issues, is_valid, n_chars and n_arabic of the stripped span, and its first `most` characters that are neither Arabic, white space nor forbidden, with places and names."""
+    t = stripped(span)
+    bad = F.filter(F.transform(F.split(t, ""), lambda c, i: F.struct(c.alias("char"), i.alias("place"))), lambda x: x["char"].rlike(rf"(?U)[^{ARABIC_BLOCKS}\s{_class(FORBIDDEN)}]"))
+    bad = F.slice(bad, 1, most)
+    names = character_names(F.array_join(F.transform(bad, lambda x: x["char"]), ""))
+    return F.struct(issues(span).alias("issues"), (F.size(issues(span)) == 0).alias("is_valid"), F.length(t).alias("n_chars"), F.length(F.regexp_replace(t, f"[^{ARABIC_BLOCKS}]", "")).alias("n_arabic"), bad.alias("bad"), names.alias("bad_names"))
+
+
+def dataset_report(spans: DataFrame, span_col: str) -> tuple[DataFrame, DataFrame]:
+    """(one row of total, valid, invalid and validation_rate, 0 without spans; a row for each code with its count)."""
+    rows = spans.select(issues(F.col(span_col)).alias("_i"))
+    total, valid = F.count("*"), F.count_if(F.size("_i") == 0)
+    counts = rows.agg(total.alias("total_spans"), valid.alias("valid_spans"), (total - valid).alias("invalid_spans"), F.coalesce(F.try_divide(valid, total), F.lit(0.0)).alias("validation_rate"))
+    return counts, rows.select(F.explode("_i").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+
+
+def separator_report(span: Column) -> Column:
+    """P5: struct of the separator types in a span, their counts, the reason why commas count (null if they don't) and the runs of three or more characters that are neither Arabic nor white space.
+
+    Commas count if there are several; else, over 200 characters, by their place; else before a long clause that waw begins.
+    """
+    t = F.coalesce(span, F.lit(""))
+    n, stars, arabic, plain = F.length(t), *(F.regexp_count(t, F.lit(x)) for x in (r"\*", "،", ","))
+    numbers, runs = F.regexp_extract_all(t, F.lit(_MARKER), F.lit(0)), F.regexp_extract_all(t, F.lit(_FOREIGN), F.lit(0))
+    at = F.regexp_instr(t, F.lit("[،,]")) - 1
+    tail = F.regexp_extract(t, r"(?sU)[،,]\s*و(.*)$", 1)
+    single = F.when(n > 200, F.when((at / n > 0.2) & (at / n < 0.8), "long_text_middle_comma").when(at > n * 0.8, "comma_near_end")).when(F.length(stripped(tail)) > 15, "comma_followed_by_waw")
+    reason = F.when(arabic + plain >= 2, "multiple_commas").when(arabic + plain == 1, single)
+    types = F.array_compact(F.array(
+        F.when(stars > 0, "asterisk"), F.when(F.size(numbers) > 0, "parenthetical_numbers"), F.when(reason.isNotNull() & (arabic > 0), "arabic_comma_smart"), F.when(reason.isNotNull() & (plain > 0), "regular_comma_smart"),
+        F.when(F.size(runs) > 0, "non_arabic_sequences"),
+    ))
+    return F.struct(types.alias("types"), stars.alias("n_asterisks"), numbers.alias("numbers"), arabic.alias("n_arabic_commas"), plain.alias("n_commas"), reason.alias("comma_reason"), runs.alias("runs"))
 
 
 @F.pandas_udf(T.StringType())

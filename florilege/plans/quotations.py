@@ -92,18 +92,25 @@ def _chain(c: str) -> str:
     return c
 
 
-@query(f"SELECT s, {_chain('s')} AS plain FROM (VALUES {', '.join(f'($${x}$$)' for x in _DIAC)}) AS v(s)")
+def vowelled(t) -> DataFrame:
+    """The texts of all documents, each followed by one of the vowelled words."""
+    texts = F.array(*map(F.lit, _DIAC))
+    return t("documents").select("doc_id", F.concat("text", F.lit(" "), F.element_at(texts, (F.col("doc_id") % len(_DIAC) + 1).cast("int"))).alias("s"))
+
+
+@query(f"SELECT doc_id, md5({_chain('s')}) AS plain, {_chain('s')} != s AS changed FROM (SELECT doc_id, text || ' ' || {_DIAC}[doc_id % {len(_DIAC)} + 1] AS s FROM documents)")
 def default_diac(t, spark):
-    rows = spark.createDataFrame([(x,) for x in _DIAC], "s string")
-    return rows.select("s", profiles.official_diacritics(F.col("s")).alias("plain"))
+    plain = profiles.official_diacritics(F.col("s"))
+    return vowelled(t).select("doc_id", F.md5(plain.cast("binary")).alias("plain"), (plain != F.col("s")).alias("changed"))
 
 
 _MARKED = ["a b (12)", "a (1) b (2)", "(3)", "a (x)", "a(4)  "]
 
 
-@query(f"SELECT s, CASE WHEN regexp_matches(r, '\\([0-9]+\\)') THEN s ELSE r END AS stripped FROM (SELECT s, regexp_replace(s, '\\s*\\([0-9]+\\)\\s*$', '') AS r FROM (VALUES {', '.join(f'($${x}$$)' for x in _MARKED)}) AS v(s))")
+@query(f"SELECT doc_id, md5(CASE WHEN regexp_matches(r, '\\([0-9]+\\)') THEN s ELSE r END) AS stripped FROM (SELECT doc_id, s, regexp_replace(s, '\\s*\\([0-9]+\\)\\s*$', '') AS r FROM (SELECT doc_id, text || ' ' || {_MARKED}[doc_id % {len(_MARKED)} + 1] AS s FROM documents))")
 def strip_markers(t, spark):
-    return spark.createDataFrame([(x,) for x in _MARKED], "s string").select("s", profiles.drop_lone_marker(F.col("s")).alias("stripped"))
+    marked = F.concat("text", F.lit(" "), F.element_at(F.array(*map(F.lit, _MARKED)), (F.col("doc_id") % len(_MARKED) + 1).cast("int")))
+    return t("documents").select("doc_id", F.md5(profiles.drop_lone_marker(marked).cast("binary")).alias("stripped"))
 
 
 _POST = f"p AS (SELECT DISTINCT doc_id, unnest({_WORDS.format('text')}) AS token FROM documents)"
@@ -175,9 +182,11 @@ def ngram_jaccard(t, spark):
     return pairs60(t).select("item_id", "doc_id", r6(similarity.ngram_jaccard(F.col("passage"), F.col("text"))).alias("jaccard"))
 
 
-@query(_CAND + f""" SELECT item_id, doc_id, round(0.3 * len(list_intersect(list_distinct(string_split(p, '')), list_distinct(string_split(t, ''))))::DOUBLE / len(list_distinct(string_split(p, '')))
-  + 0.4 * len(list_intersect(list_distinct({_WORDS.format('p')}), list_distinct({_WORDS.format('t')})))::DOUBLE / len(list_distinct({_WORDS.format('p')})) + 0.3 * CASE WHEN contains(t, p) THEN 1.0 WHEN contains(p, t) THEN 0.8 ELSE 0.0 END, 6) AS contained
-  FROM (SELECT item_id, doc_id, b.text AS p, d.text AS t FROM cand JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id))""")
+@query("WITH RECURSIVE " + _CAND.removeprefix("WITH ") + f""", pair AS (SELECT item_id, doc_id, b.text AS p, d.text AS t FROM cand JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)),
+  g AS (SELECT item_id, doc_id, p, t, 0 AS k FROM pair WHERE NOT contains(t, p) UNION ALL SELECT item_id, doc_id, p, t, k + 1 FROM g WHERE k < length(p) AND len(list_filter(range(1, length(p) - k + 1), lambda i: contains(t, substr(p, i, k + 1)))) > 0),
+  lcs AS (SELECT item_id, doc_id, max(k) AS k FROM g GROUP BY ALL)
+  SELECT item_id, doc_id, round(0.3 * len(list_intersect(list_distinct(string_split(p, '')), list_distinct(string_split(t, ''))))::DOUBLE / len(list_distinct(string_split(p, '')))
+  + 0.4 * len(list_intersect(list_distinct({_WORDS.format('p')}), list_distinct({_WORDS.format('t')})))::DOUBLE / len(list_distinct({_WORDS.format('p')})) + 0.3 * CASE WHEN contains(t, p) THEN 1.0 WHEN contains(p, t) THEN 0.8 WHEN k >= 3 THEN k::DOUBLE / length(p) ELSE 0.0 END, 6) AS contained FROM pair LEFT JOIN lcs USING (item_id, doc_id)""")
 def containment_words_chars(t, spark):
     return pairs60(t).select("item_id", "doc_id", r6(similarity.containment(F.col("passage"), F.col("text"))).alias("contained"))
 
@@ -267,22 +276,6 @@ def split_parts(t, spark):
     return t("benchmark").select("item_id", F.posexplode(verify.split_parts(F.replace("text", F.lit("e"), F.lit("*")))).alias("part", "piece"))
 
 
-_ISSUES = f"""WITH s AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations), i AS (SELECT conv_id, turn, unnest(list_filter([
-  CASE WHEN trim(regexp_replace(t, '\\s+', ' ', 'g')) = '' THEN 'empty' END, CASE WHEN regexp_matches(t, '^\\s|\\s$') THEN 'edge_space' END, CASE WHEN regexp_matches(t, '[ \\t\\r\\f\\v]{{2,}}') THEN 'double_space' END,
-  CASE WHEN contains(t, chr(10)) THEN 'line_break' END, CASE WHEN regexp_matches(t, '[()\\[\\]{{}}]') THEN 'brackets' END, CASE WHEN regexp_matches(t, '["''«»“”‘’]') THEN 'quotes' END, CASE WHEN regexp_matches(t, '[.,،;؛:!?؟]$') THEN 'end_punctuation' END,
-  CASE WHEN regexp_matches(t, '^[.,،;؛:!?؟]') THEN 'start_punctuation' END, CASE WHEN regexp_matches(t, '[0-9]') THEN 'digits' END, CASE WHEN regexp_matches(t, '[A-Za-z]') THEN 'latin' END, CASE WHEN len({_WORDS.format('t')}) < 3 THEN 'short' END], lambda x: x IS NOT NULL)) AS issue FROM s)"""
-
-
-@query(_ISSUES + " SELECT conv_id, turn, issue FROM i")
-def issue_codes(t, spark):
-    return t("conversations").select("conv_id", "turn", F.explode(verify.issues(F.col("text"))).alias("issue"))
-
-
-@query(_ISSUES + " SELECT issue, count(*) AS n FROM i GROUP BY issue")
-def issue_histogram(t, spark):
-    return t("conversations").select(F.explode(verify.issues(F.col("text"))).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
-
-
 @query()
 def correct_best_passage(t, spark):
     q, c = lines(t), passages(t)
@@ -323,10 +316,16 @@ def xml_questions(t, spark):
     )
 
 
-@query("SELECT event_id, props AS block FROM events WHERE event_id % 3 != 2 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 3 = 2")
+_ANSWER = "CASE event_id % 4 WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 1 THEN 'Here it is: ' || props || ' Done.' WHEN 2 THEN 'It is {' || props ELSE 'no answer' END"
+
+
+@query(f"""SELECT event_id, CASE WHEN json_valid(plain) AND regexp_matches(plain, '^[\\[{{]') THEN plain WHEN json_valid(part) THEN part END AS block
+  FROM (SELECT event_id, regexp_replace(regexp_replace(answer, '^```[A-Za-z]*\\s*', ''), '\\s*```$', '') AS plain, nullif(regexp_extract(answer, '(?s)\\{{.*\\}}'), '') AS part FROM (SELECT event_id, {_ANSWER} AS answer FROM events))""")
 def json_repair(t, spark):
+    """Answers in fences, amid prose, broken, and without JSON."""
     e = t("events")
-    answer = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Here it is: "), "props", F.lit(" Done."))).otherwise("no answer")
+    answer = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit("Here it is: "), "props", F.lit(" Done.")))
+    answer = answer.when(F.col("event_id") % 4 == 2, F.concat(F.lit("It is {"), "props")).otherwise("no answer")
     return e.select("event_id", spans.json_block(answer).alias("block"))
 
 
@@ -338,7 +337,7 @@ def no_spans_rows(t, spark):
 
 def gold_and_pred(t) -> tuple[DataFrame, DataFrame]:
     """Verbatim spans as gold, with the item's parity as type; predictions are moved by five characters and lack every seventh item."""
-    v = verbatim(t).persist().withColumn("label", F.when(F.col("item_id") % 2 == 0, "Ayah").otherwise("Hadith")).withColumn("span_no", F.col("item_id"))
+    v = verbatim(t).withColumn("label", F.when(F.col("item_id") % 2 == 0, "Ayah").otherwise("Hadith")).withColumn("span_no", F.col("item_id"))
     return v, v.filter("item_id % 7 != 0").withColumns({"span_start": F.col("span_start") + 5, "span_end": F.col("span_end") + 5, "label": F.when(F.col("item_id") % 5 == 0, "Ayah").otherwise(F.col("label"))})
 
 
@@ -413,7 +412,7 @@ _VOTED = """, m AS (SELECT doc_id, span_start AS s, span_end AS e, item_id, CASE
 
 @query(_VERB + _VOTED + " SELECT doc_id, min(c)::BIGINT AS start, (max(c) + 1)::BIGINT AS stop, label FROM (SELECT doc_id, c, label, c - row_number() OVER (PARTITION BY doc_id, label ORDER BY c) AS g FROM y WHERE label IS NOT NULL) GROUP BY doc_id, label, g")
 def weighted_char_vote(t, spark):
-    v = verbatim(t).persist().withColumn("label", F.when(F.col("item_id") % 2 == 0, "q").otherwise("h"))
+    v = verbatim(t).withColumn("label", F.when(F.col("item_id") % 2 == 0, "q").otherwise("h"))
     rows = v.select("doc_id", F.lit(1).alias("model"), "label", "span_start", "span_end").union(v.select("doc_id", F.lit(2), "label", F.col("span_start") + 5, F.col("span_end") + 5))
     rows = rows.union(v.filter("item_id % 3 != 0").select("doc_id", F.lit(3), F.lit("q"), "span_start", F.col("span_end") - 7))
     models = spark.createDataFrame([(1, 0.9), (2, 0.8), (3, 0.5)], "model int, weight double")
@@ -465,9 +464,8 @@ def repair_offsets(t, spark):
 
 @query("SELECT (row_number() OVER (ORDER BY doc_id))::BIGINT AS position, CASE WHEN quality = 1 THEN 'Correct' ELSE 'Incorrect' END AS verdict FROM labels")
 def verdict_lines(t, spark):
-    ranked = t("labels").select("quality", F.struct("doc_id").alias("k")).orderBy("k")
-    numbered = ranked.select("quality", (F.row_number().over(Window.orderBy("k")) - 1).cast("long").alias("pos"))
-    return io.verdict_lines(numbered, "pos", F.col("quality") == 1)
+    placed = retrieve.numbered(t("labels").select("doc_id", "quality"), "place", "doc_id")
+    return io.verdict_lines(placed.withColumn("pos", F.col("place") - 1), "pos", F.col("quality") == 1)
 
 
 @query()

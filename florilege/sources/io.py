@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 QUESTION = r"(?s)<Question>(.*?)</Question>"
 SPAN_SCHEMA = "Question_ID string, Annotation_ID int, Label string, Span_Start int, Span_End int, Original_Span string"
@@ -36,6 +38,67 @@ def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = True) -
     return spark.read.csv(path, schema=schema, sep="\t", header=header, quote="", enforceSchema=True)
 
 
+def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
+    """S8, K4's reader: a table with header, quotes and any separator; quoted fields may hold line breaks."""
+    return spark.read.csv(path, schema=schema, sep=sep, header=True, quote='"', escape='"', multiLine=True, enforceSchema=True)
+
+
+def read_first(spark: SparkSession, schema: str, table: str | None, alternative: str | None) -> DataFrame:
+    """The prepared CSV table where it exists, else the TSV one; without both an error."""
+    for path, read in ((table, read_csv), (alternative, read_tsv)):
+        if path and _exists(spark, path):
+            return read(spark, path, schema)
+    raise FileNotFoundError(f"neither {table} nor {alternative} exists")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def body_slice(documents: DataFrame, question: Column, start: Column, end: Column, xml_col: str = "xml") -> Column:
+    """The slice of the Body of the Question whose ID attribute is `question` in a document; null where there is none or the XML is broken."""
+    body = _body(F.col(xml_col), question)
+    return F.nullif(F.substr(body, start + 1, end - start), F.lit(""))
+
+
+@F.pandas_udf(T.StringType())
+def _body(xml: pd.Series, question: pd.Series) -> pd.Series:
+    from xml.etree import ElementTree
+
+    def one(x: str | None, q: str | None) -> str | None:
+        try:
+            return next((found.findtext(".//Body") for found in ElementTree.fromstring(x).iter("Question") if found.get("ID") == q), None)
+        except (ElementTree.ParseError, TypeError):
+            return None
+
+    return pd.Series([one(x, q) for x, q in zip(xml, question, strict=True)])
+
+
+def write_index(postings: DataFrame, statistics: DataFrame, path: str) -> None:
+    """The tables of an index in a folder, for read_index()."""
+    postings.write.mode("overwrite").parquet(f"{path}/postings")
+    statistics.write.mode("overwrite").parquet(f"{path}/statistics")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None] | None:
+    """(postings, statistics) of an index folder; statistics may be missing (None), without postings there is no index (None)."""
+    if not _exists(spark, f"{path}/postings"):
+        return None
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/statistics") if _exists(spark, f"{path}/statistics") else None
+
+
+def submission_file(spark: SparkSession, folder: str, ending: str = ".tsv") -> str:
+    """The first file by name that has the ending, else the first that isn't hidden; an error in a folder without one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = sorted(s.getPath().toString() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if s.isFile())
+    shown = [n for n in names if not n.rsplit("/", 1)[-1].startswith(".")]
+    found = [n for n in shown if n.endswith(ending)] or shown
+    if not found:
+        raise FileNotFoundError(f"no {ending} file in {folder}")
+    return found[0]
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Corpora kept as one JSON array; null items drop."""
     fields = ", ".join(f"{n}: {k}" for n, k in (x.split() for x in schema.split(", ")))
@@ -55,10 +118,15 @@ def read_results(spark: SparkSession, pattern: str, subtasks: tuple[str, ...] =
 
 
 def write_tsv(df: DataFrame, path: str, header: bool, sentinel: str | None = None, mode: str = "errorifexists") -> None:
-    """K1-K4: null text columns get the sentinel here and nowhere else."""
+    """K1-K3: null text columns get the sentinel here and nowhere else."""
     (df.na.fill(sentinel) if sentinel is not None else df).write.mode(mode).csv(path, sep="\t", header=header, quote="")
 
 
+def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists") -> None:
+    """K4: with header; fields that need it are quoted."""
+    df.write.mode(mode).csv(path, sep=sep, header=True, quote='"', escape='"')
+
+
 def verdict_lines(rows: DataFrame, position: str, verdict: Column) -> DataFrame:
     """K3: (1-based position, Correct or Incorrect); rows without verdict are skipped but keep their number."""
     out = rows.select((F.col(position) + 1).alias("position"), F.when(verdict, "Correct").when(~verdict, "Incorrect").alias("verdict"))
