@@ -361,8 +361,8 @@ def jaccard_groups(
     meet there; candidates lose those whose sketches differ too much, and the rest are verified word by word on their texts. A group of
     more than SMALL records with one signature gives a star and a chain at first; if the verified links leave it in several
     components, its records are cut into blocks of about `cell` shingles, a large component into blocks of its own, and a task
-    compares the texts of two blocks, across components only: it holds two blocks and gives a link for each
-    component that it joins. Blocks of one component don't meet.
+    compares two blocks, across components only. It holds two blocks, and gives their records that have a partner by the sketches; of
+    these another one compares the texts, and gives a link for each component that it joins. Blocks of one component don't meet.
 
     Null text counts as empty; a row without words links with nothing and has its own id. Null ids never are a component_id
     unless all are null. Repeated rows are copies. An empty table gives an empty result. Other columns don't matter.
@@ -503,6 +503,23 @@ def jaccard_groups(
                 ok = [(100 + percent) * _shared(x, y) >= percent * (len(x) + len(y)) for x, y in zip(sets[: j - i], sets[j - i :], strict=True)]
                 yield pa.RecordBatch.from_arrays([c.slice(i, j - i).filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
 
+    def glance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The records of two blocks that have a partner there, as sizes and sketches tell."""
+        for table in _by_group(batches, "p"):
+            data, at = utf8(table.column("sketch"))
+            sizes = np.diff(at)
+            width = int(sizes.min())
+            cards = np.zeros((len(sizes), width), np.uint8)
+            for w in np.unique(sizes).tolist():
+                i = np.flatnonzero(sizes == w)
+                cards[i] = _fold(data[at[i][:, None] + np.arange(w)], width)
+            first, twice = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("first", "twice"))
+            hit = np.zeros(len(sizes), bool)
+            for u, others in _partners(table.column("n").to_numpy().astype(np.int64), table.column("root").to_numpy(), first, bool(twice[0]), cards, percent):
+                hit[u] = hit[others] = True
+            if hit.any():
+                yield from table.select(["p", "sid", "root", "first", "twice"]).filter(pa.array(hit)).to_batches()
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_group(batches, "p"):
             data, at = utf8(table.column("text"))
@@ -537,11 +554,13 @@ def jaccard_groups(
         placed = placed.select("sid", "root", F.xxhash64("g", F.least("mine", "other"), F.greatest("mine", "other")).alias("p"), F.expr("mine <= other").alias("first"), F.expr("mine = other").alias("twice"))
         placed = stash(placed, "jaccard-blocks", held_bytes(members))
         if placed.limit(1).count():
-            asked = placed.join(fetch(placed.select("sid"), placed), "sid").select("p", "sid", "root", "first", "twice", "text")
+            seen = placed.join(slight(records.select("sid", "n", "sketch"), records), "sid").select("p", "sid", "root", "first", "twice", "n", "sketch")
+            seen = stash(seen.repartition("p").sortWithinPartitions("p").mapInArrow(glance, "p long, sid long, root long, first boolean, twice boolean"), "jaccard-seen")
+            asked = slight(seen).join(fetch(seen.select("sid"), seen), "sid").select("p", "sid", "root", "first", "twice", "text")
             more = stash(asked.repartition("p").sortWithinPartitions("p").mapInArrow(compare, "a long, b long"), "jaccard-more")
             before = roots
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "jaccard-roots", held_bytes(roots, more))
-            unstash(before, more)
+            unstash(before, more, seen)
         unstash(members, plan, placed)
     unstash(records, links)
     release(spark)
@@ -592,40 +611,36 @@ def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.where(less, x, y)), pa.array(np.where(less, y, x))], names=["a", "b"])
 
 
+def _partners(n: np.ndarray, now: np.ndarray, first: np.ndarray, within: bool, cards: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(u, others): for the records of one block those of the other, or of all `within` one, that sizes and sketches (of one length) let link, across components as `now` has them when asked."""
+    order = np.argsort(n, kind="stable")
+    theirs = order if within else order[~first[order]]
+    lengths = n[theirs]
+    for place, u in enumerate(theirs.tolist() if within else np.flatnonzero(first).tolist()):
+        lo = place + 1 if within else int(np.searchsorted(lengths, -(-n[u] * percent // 100)))
+        v = theirs[lo : int(np.searchsorted(lengths, n[u] * 100 // percent, "right"))]
+        v = v[now[v] != now[u]]
+        if len(v):
+            v = v[_may_link(n[u], n[v], (cards[v] != cards[u]).sum(1), percent)]
+            if len(v):
+                yield u, v
+
+
 def _spanning(sid: np.ndarray, root: np.ndarray, first: np.ndarray, within: bool, sets: list[np.ndarray], percent: int) -> pa.RecordBatch:
     """Links that join the components of records of two blocks, or `within` one; pairs that are together by then aren't compared."""
     n = np.array([len(x) for x in sets], np.int64)
-    least = int(n.min())
     # Sketches of one length for all, from the numbers that stand for shingles here.
-    k = max(3, least.bit_length() - 1)
+    k = max(3, int(n.min()).bit_length() - 1)
     cards = np.zeros((len(sets), 1 << k), np.uint8)
     for i, x in enumerate(sets):
         h = mix(x.view(np.uint64))
         cards[i] = np.bincount((h >> _U(64 - k)).astype(np.int64), weights=((h & _U(255)) | _U(1)).astype(np.float64), minlength=1 << k).astype(np.int64).astype(np.uint8)
-    team = {r: r for r in root.tolist()}
-
-    def find(x: int) -> int:
-        while team[x] != x:
-            team[x] = x = team[team[x]]
-        return x
-
-    order = np.argsort(n, kind="stable")
-    theirs = order if within else order[~first[order]]
-    lengths = n[theirs]
     now = root.copy()
     out: tuple[list[int], list[int]] = ([], [])
-    for place, u in enumerate(theirs.tolist() if within else np.flatnonzero(first).tolist()):
-        lo = place + 1 if within else int(np.searchsorted(lengths, -(-n[u] * percent // 100)))
-        hi = int(np.searchsorted(lengths, n[u] * 100 // percent, "right"))
-        v = theirs[lo:hi]
-        v = v[now[v] != now[u]]
-        if not len(v):
-            continue
-        v = v[_may_link(n[u], n[v], (cards[v] != cards[u]).sum(1), percent)]
-        for w in v.tolist():
-            x, y = find(int(root[u])), find(int(root[w]))
+    for u, others in _partners(n, now, first, within, cards, percent):
+        for w in others.tolist():
+            x, y = now[u], now[w]
             if x != y and (100 + percent) * _shared(sets[u], sets[w]) >= percent * (n[u] + n[w]):
-                team[max(x, y)] = min(x, y)
                 now[now == max(x, y)] = min(x, y)
                 out[0].append(int(sid[u]))
                 out[1].append(int(sid[w]))
