@@ -35,6 +35,13 @@ def diacritics_rejected(given: Column, reference: Column, accuracy: float = 0.8)
     return F.coalesce(judged & (right < F.size(marked)) & (right / F.size(marked) < accuracy), F.lit(False))
 
 
+def letters(text: Column) -> Column:
+    """How often each of a to z and the space occurs, and last how many other characters there are: what two texts share is at most the sum of the lesser counts."""
+    signs = [*"abcdefghijklmnopqrstuvwxyz "]
+    counts = [F.length(text) - F.length(F.translate(text, x, "")) for x in signs]
+    return F.array(*counts, F.length(F.translate(text, "".join(signs), "")))
+
+
 def verify_verses(spans: DataFrame, span_id: str, span_col: str, corpus: DataFrame, passage_id: str, passage_col: str, threshold: float = 0.85) -> DataFrame:
     """V1: (span, is_match, similarity, passage, match_type): exact on normalised texts first, then the best accepted candidate that shares a word.
 
@@ -45,12 +52,19 @@ def verify_verses(spans: DataFrame, span_id: str, span_col: str, corpus: DataFra
     q = spans.select(span_id, F.col(span_col).alias("_s"), profiles.verse_key(F.col(span_col)).alias("_q"))
     c = corpus.select(passage_id, F.col(passage_col).alias("_p"), profiles.verse_key(F.col(passage_col)).alias("_c"))
     exact = q.join(c.groupBy("_c").agg(F.min(passage_id).alias(passage_id)), F.col("_q") == F.col("_c")).select(span_id, F.lit(1.0).alias("similarity"), passage_id, F.lit("exact").alias("match_type"))
-    rest = q.join(exact, span_id, "left_anti")
-    tokens = lambda df, i, t: df.select(i, F.explode(F.array_distinct(words(F.col(t), 3))).alias("token"))
-    pairs = tokens(rest, span_id, "_q").join(tokens(c, passage_id, "_c"), "token").select(span_id, passage_id).distinct()
-    pairs = pairs.join(rest, span_id).join(c, passage_id).withColumn("_sub", F.contains("_c", "_q") & (F.size(words(F.col("_q"))) > 2))
-    bound = 2 * F.least(F.length("_q"), F.length("_c")) / (F.length("_q") + F.length("_c"))
-    pairs = pairs.filter(F.contains("_c", "_q") | (bound >= threshold - 1e-9)).filter(~diacritics_rejected(F.col("_s"), F.col("_p"))).withColumn("_r", similarity.sequence_ratio_over(F.col("_q"), F.col("_c"), F.when(F.contains("_c", "_q"), 0.0).otherwise(threshold)))
+    rest = q.join(exact, span_id, "left_anti").withColumn("_marked", profiles.has_diacritics(F.col("_s")))
+    # How often each letter occurs, once for a text: what two texts have in common of them bounds the ratio.
+    rest, c = rest.withColumn("_nq", letters(F.col("_q"))), c.withColumn("_nc", letters(F.col("_c")))
+    tokens = lambda df, i, t, n: df.select(i, F.length(t).alias(n), F.explode(F.array_distinct(words(F.col(t), 3))).alias("token"))
+    pairs = tokens(rest, span_id, "_q", "_lq").join(tokens(c, passage_id, "_c", "_lc"), "token")
+    near = 2 * F.least("_lq", "_lc") / (F.col("_lq") + F.col("_lc")) >= threshold - 1e-9
+    pairs = pairs.filter(near | (F.col("_lq") <= F.col("_lc"))).select(span_id, passage_id, near.alias("_near")).distinct()
+    pairs = pairs.join(rest, span_id).join(c, passage_id)
+    shared = F.aggregate(F.zip_with("_nq", "_nc", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    inside = F.contains("_c", "_q")
+    close = F.col("_near") & (2 * shared / (F.length("_q") + F.length("_c")) >= threshold - 1e-9)
+    pairs = pairs.filter(inside | close).withColumn("_sub", inside & (F.size(words(F.col("_q"))) > 2))
+    pairs = pairs.filter(~F.col("_marked") | ~diacritics_rejected(F.col("_s"), F.col("_p"))).withColumn("_r", similarity.sequence_ratio_over(F.col("_q"), F.col("_c"), F.when(inside, 0.0).otherwise(threshold)))
     score = F.when(F.col("_sub"), F.greatest(F.col("_r"), F.lit(threshold))).otherwise(F.col("_r"))
     found = pairs.withColumn("similarity", score).filter(F.col("_sub") | F.contains("_c", "_q") | (F.col("_r") >= threshold))
     best = found.groupBy(span_id).agg(F.max_by(F.struct("similarity", passage_id, F.when(F.col("_sub"), "substring").otherwise("fuzzy").alias("match_type")), F.struct("similarity", -F.col(passage_id))).alias("_b"))
