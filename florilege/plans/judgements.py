@@ -105,15 +105,15 @@ def _cut() -> F.Column:
     return F.when(F.length("passage") < 190, F.regexp_replace("passage", r"^\S+\s", "")).otherwise(F.col("passage"))
 
 
-@query("SELECT item_id AS key, item_id, item_id % 2 = 0 AS verse FROM benchmark UNION ALL SELECT item_id + 1000000, NULL, true FROM benchmark")
+@query("SELECT item_id AS key, item_id, item_id % 2 = 0 AS verse FROM benchmark UNION ALL SELECT item_id + 1000000, -1, true FROM benchmark")
 def canonical_passages(t, spark):
-    """C14: passages cut as _cut() does, as verses and as narrations by turns, and words of none."""
+    """C14: passages cut as _cut() does, as verses and as narrations by turns, and words of none, whose passage is written as -1."""
     p = passages(t).select(F.col("item_id").alias("key"), _cut().alias("prediction"))
     none = p.select(F.col("key") + 1000000, F.lit("zq zw zx"))
     verse = F.col("key") % 2 == 0
     a = correct.canonical(p.filter(verse).union(none), "key", "prediction", passages(t), "item_id", "passage", True).withColumn("verse", F.lit(True))
     b = correct.canonical(p.filter(~verse), "key", "prediction", passages(t), "item_id", "passage", False).withColumn("verse", F.lit(False))
-    return a.union(b).select("key", "item_id", "verse")
+    return a.union(b).select("key", F.coalesce("item_id", F.lit(-1)).cast("long").alias("item_id"), "verse")
 
 
 @query("SELECT CASE WHEN item_id % 2 = 0 THEN 'Ayah' ELSE 'Hadith' END AS kind, count(*) AS n, count(*) FILTER (item_id % 5 != 0) AS n_right, round(avg((item_id % 5 != 0)::INTEGER), 4) AS accuracy FROM benchmark GROUP BY ROLLUP (CASE WHEN item_id % 2 = 0 THEN 'Ayah' ELSE 'Hadith' END)")
