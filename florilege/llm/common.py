@@ -30,16 +30,17 @@ def scratch(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
-def stash(df: DataFrame, tag: str, from_bytes: int | None = None) -> DataFrame:
+def stash(df: DataFrame, tag: str, from_bytes: int | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here, and lost executors cost nothing.
 
     from_bytes: size of the tables that df is made from; it is then written by a task for each FILE_BYTES of them, not one for each shuffle partition.
+    options: the writer's.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
     if from_bytes is not None:
         df = df.coalesce(-(-from_bytes // FILE_BYTES) + 1)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._florilege_path = path
     return out
