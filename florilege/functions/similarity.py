@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import repeat
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,19 +27,103 @@ def sequence_ratio(query: Column, reference: Column, autojunk: bool = True) -> C
     return ratio(query, reference)
 
 
-def sequence_ratio_over(query: Column, reference: Column, least: Column) -> Column:
-    """M1, or 0 where the characters that both have, wherever they stand, keep it under `least`: alignment is the dear part."""
-
-    @F.pandas_udf(T.DoubleType())
-    def ratio(a: pd.Series, b: pd.Series, floor: pd.Series) -> pd.Series:
-        def one(x: str | None, y: str | None, f: float) -> float:
-            if not x or not y or 2.0 * sum((Counter(x) & Counter(y)).values()) / (len(x) + len(y)) < f:
-                return 0.0
-            return SequenceMatcher(None, x, y).ratio()
-
-        return pd.Series([one(x, y, f) for x, y, f in zip(a, b, floor, strict=True)])
-
-    return ratio(query, reference, least)
+def places_of(text: str) -> dict[str, int]:
+    """The places of each character of a text, as the bits of a number."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def common_subsequence(places: dict[str, int], n: int, b: str, least: int = 0) -> int:
+    """Length of the longest common subsequence of b and a text of n characters, given by its places; -1 once it can't reach `least`."""
+    full = free = (1 << n) - 1
+    for done in range(0, len(b), 32):
+        for held in map(places.get, b[done : done + 32], repeat(0)):
+            if held := held & free:
+                free = free + held | free - held  # bits over n are carried along unread
+        free &= full
+        if n - free.bit_count() + len(b) - done - 32 < least and done + 32 < len(b):
+            return -1
+    return n - free.bit_count()
+
+
+_BINS = 64
+
+
+def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, counts of characters in bins) of texts."""
+    length = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % _BINS
+    row = np.repeat(np.arange(len(texts)), length)
+    return length, np.bincount(row * _BINS + codes, minlength=len(texts) * _BINS).reshape(len(texts), _BINS).astype(np.int32)
+
+
+class Near:
+    """A part of the texts, by length, to be asked which of them have at least a ratio (M1) of `threshold` with a query that they don't contain."""
+
+    def __init__(self, texts: list[str], threshold: float, least_word: int):
+        self.order = np.argsort([len(t) for t in texts], kind="stable")
+        self.texts, self.threshold, self.least_word = [texts[i] for i in self.order.tolist()], threshold, least_word
+        self.length, self.letters = _letters(self.texts)
+        self.words = [self._kinds(t) for t in self.texts]
+
+    def _kinds(self, text: str) -> frozenset[str]:
+        return frozenset(w for w in text.split() if len(w) >= self.least_word)
+
+    def of(self, query: str, letters: np.ndarray) -> list[tuple[int, float]]:
+        """(text, ratio). The ratio counts characters in common order, so that it is bounded by the lengths, by the letters that both have wherever
+        they stand, and by the longest common subsequence, in the order of what the bounds cost."""
+        t, n, out = self.threshold, len(query), []
+        low, high = np.searchsorted(self.length, [np.ceil(n * t / (2 - t) - 1e-9), np.floor(n * (2 - t) / t + 1e-9) + 1])
+        if low >= high:
+            return out
+        shared = np.minimum(self.letters[low:high], letters).sum(axis=1)
+        close = np.flatnonzero(2 * shared >= t * (n + self.length[low:high]) - 1e-9) + low
+        kinds = self._kinds(query) if len(close) and self.least_word else None
+        places = places_of(query) if len(close) else {}
+        for k in close.tolist():
+            text = self.texts[k]
+            if kinds is not None and kinds.isdisjoint(self.words[k]) or query in text:
+                continue
+            need = t * (n + len(text)) / 2 - 1e-9
+            if common_subsequence(places, n, text, int(np.ceil(need))) < need:
+                continue
+            ratio = SequenceMatcher(None, query, text).ratio()
+            if ratio >= t:
+                out.append((int(self.order[k]), ratio))
+        return out
+
+
+def near_texts(queries: DataFrame, query: str, texts: DataFrame, text_id: str, text: str, threshold: float, least_word: int = 0, part_rows: int = 10_000) -> DataFrame:
+    """(query, text id, ratio) with a ratio (M1, query first) of at least `threshold`, of pairs where the text doesn't contain the query and, with least_word, that share a word of so many characters.
+
+    The texts, a corpus to be asked about, are broadcast in parts of about `part_rows` by length; each part is asked for all queries, in a pass of its own, and pairs
+    are made only where the ratio is reached. Null and empty sides have no pairs.
+    """
+    q = queries.select(query).filter(F.length(query) > 0)
+    t = texts.select(text_id, text).filter(F.length(text) > 0)
+    n_rows, n_bytes = t.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    parts = max(1, -(-n_rows // part_rows), -(-n_bytes // (16 << 20)))
+    schema = T.StructType([q.schema[query], t.schema[text_id], T.StructField("ratio", T.DoubleType())])
+    found = None
+    for part in range(parts):
+        held = t.filter(F.pmod(F.xxhash64(text), F.lit(parts)) == part).toArrow()
+        asked = q.sparkSession.sparkContext.broadcast((held[text_id].combine_chunks(), Near(held[text].to_pylist(), threshold, least_word)))
+
+        def ask(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            ids, near = asked.value
+            for batch in batches:
+                rows = batch.column(0).to_pylist()
+                _, letters = _letters(rows)
+                hits = [(i, k, r) for i, row in enumerate(rows) for k, r in near.of(row, letters[i])]
+                if hits:
+                    at, which, ratios = zip(*hits, strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), ids.take(pa.array(which)), pa.array(ratios, pa.float64())], names=[query, text_id, "ratio"])
+
+        made = q.mapInArrow(ask, schema)
+        found = made if found is None else found.unionByName(made)
+    return found
 
 
 def ngram_jaccard(a: Column, b: Column, weights: tuple[tuple[int, float], ...] = ((2, 0.3), (3, 0.4), (4, 0.3))) -> Column:

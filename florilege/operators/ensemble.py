@@ -41,7 +41,7 @@ def consensus(answers: DataFrame, gold: Column, *key: str) -> DataFrame:
     """Keys where some answer differs from gold: the commonest answer (the least of equals), its share, whether all agree, and how many differ. Unanimous first by order columns."""
     a = answers.withColumn("_differs", F.col("answer") != gold)
     per = a.groupBy(*key, "answer").agg(F.count("*").alias("_n"), F.count_if("_differs").alias("_d"))
-    out = per.groupBy(*key).agg(F.max_by("answer", F.struct(F.col("_n"), -F.col("answer"))).alias("consensus"), F.max("_n").alias("n_consensus"), F.sum("_n").alias("n_answers"), F.sum("_d").alias("n_differ"), F.count("*").alias("_kinds"))
+    out = per.groupBy(*key).agg(F.min_by("answer", F.struct(-F.col("_n"), F.col("answer"))).alias("consensus"), F.max("_n").alias("n_consensus"), F.sum("_n").alias("n_answers"), F.sum("_d").alias("n_differ"), F.count("*").alias("_kinds"))
     return out.filter("n_differ > 0").withColumn("unanimous", F.col("_kinds") == 1).drop("_kinds")
 
 

@@ -45,7 +45,7 @@ def verify_narrations(spans: DataFrame, span_id: str, span_col: str, corpus: Dat
     of = lambda k: F.when(F.col("match_type") == k, F.col("_c"))  # noqa: E731  # null: the measure doesn't run
     score = F.greatest(F.when(F.col("match_type") == "substring", similarity.substring_score(F.col("_q"), F.col("_c"))).otherwise(0.0), similarity.window_score(F.col("_q"), of("fuzzy_substring")), similarity.sequence_ratio(F.col("_q"), of("full_similarity")))
     pairs = pairs.withColumn("similarity", score).filter("similarity > 0")
-    best = pairs.groupBy(span_id, "_n").agg(F.max_by(F.struct("similarity", passage_id, "match_type"), F.struct(F.col("similarity"), -F.col(passage_id))).alias("_b"))
+    best = pairs.groupBy(span_id, "_n").agg(F.min_by(F.struct("similarity", passage_id, "match_type"), F.struct(-F.col("similarity"), F.col(passage_id))).alias("_b"))
     best = best.filter(F.col("_b.similarity") >= similarity.adaptive_threshold(threshold, F.col("_n"), F.col("_b.match_type")))
     found = exact.unionByName(best.select(span_id, "_b.similarity", f"_b.{passage_id}", "_b.match_type"))
     return spans.select(span_id).join(found, span_id, "left").select(span_id, F.col("match_type").isNotNull().alias("is_match"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), passage_id, "match_type")

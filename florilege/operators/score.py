@@ -6,22 +6,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _blocks(start: Column, stop: Column) -> Column:
+    """[start, stop) as dyadic blocks (level, number): disjoint, at most two of a level; block number i of a level k is [i * 2**k, (i + 1) * 2**k)."""
+
+    def level(k: Column) -> Column:
+        low, high = -F.call_function("shiftright", -start, k), F.call_function("shiftright", stop, k)
+        odd = F.pmod(low, F.lit(2))
+        block = lambda ok, i: F.when(ok, F.struct(k.alias("level"), i.cast("long").alias("at")))
+        return F.array(block((odd == 1) & (low < high), low), block((F.pmod(high, F.lit(2)) == 1) & (high - 1 >= low + odd), high - 1))
+
+    levels = F.sequence(F.lit(0), F.length(F.bin(F.greatest(F.lit(0).cast("long"), stop - start))).cast("int"))
+    return F.array_compact(F.flatten(F.transform(levels, level)))
+
+
 def paint(spans: DataFrame, doc_id: str, label: str = "label", order: str = "span_no") -> DataFrame:
-    """(doc, start, stop, label) stretches of one label, later spans over earlier ones; only boundaries are exploded, never characters."""
-    edges = spans.select(doc_id, F.explode(F.array("span_start", "span_end")).alias("p")).distinct()
-    cells = edges.withColumn("q", F.lead("p").over(Window.partitionBy(doc_id).orderBy("p"))).filter("q IS NOT NULL")
-    s = spans.select(F.col(doc_id).alias("_d"), "span_start", "span_end", F.col(label).alias("_l"), F.col(order).alias("_o"))
-    hit = cells.join(s, (cells[doc_id] == s["_d"]) & (F.col("p") >= F.col("span_start")) & (F.col("q") <= F.col("span_end")))
-    return hit.groupBy(doc_id, F.col("p").alias("start"), F.col("q").alias("stop")).agg(F.max_by("_l", "_o").alias("label"))
+    """(doc, start, stop, label) stretches of one label, later spans over earlier ones; only boundaries are exploded, never characters.
+
+    What covers a stretch between two boundaries is found by equality, not by comparing spans with stretches: a span is cut into dyadic blocks,
+    two a level at most, and the latest span of a block covers all stretches inside it, which meet it as one of the blocks that hold
+    their begin. So the work is spans and stretches times the levels of the longest span, in keys that spread over all tasks, also within one document.
+    """
+    s = spans.select(doc_id, F.col("span_start").cast("long").alias("_a"), F.col("span_end").cast("long").alias("_b"), F.struct(F.col(order).alias("o"), F.col(label).alias("l")).alias("_x")).filter("_a < _b")
+    blocks = s.withColumn("_k", F.explode(_blocks(F.col("_a"), F.col("_b")))).groupBy(doc_id, F.col("_k.level").alias("_level"), F.col("_k.at").alias("_at")).agg(F.max("_x").alias("_x"))
+    edges = s.select(doc_id, F.explode(F.array("_a", "_b")).alias("start")).distinct()
+    cells = edges.withColumn("stop", F.lead("start").over(Window.partitionBy(doc_id).orderBy("start"))).filter("stop IS NOT NULL")
+    highest = s.agg(F.max(F.length(F.bin(F.col("_b") - F.col("_a")))).cast("int").alias("_h"))  # one row
+    held = cells.crossJoin(F.broadcast(highest)).withColumn("_level", F.explode(F.sequence(F.lit(0), "_h"))).drop("_h").withColumn("_at", F.call_function("shiftright", F.col("start"), F.col("_level")))
+    hit = held.join(blocks, [doc_id, "_level", "_at"])
+    return hit.groupBy(doc_id, "start", "stop").agg(F.max("_x").alias("_x")).select(doc_id, "start", "stop", F.col("_x.l").alias("label"))
 
 
 def overlap_counts(gold: DataFrame, pred: DataFrame, lengths: DataFrame, doc_id: str, length: str) -> DataFrame:
-    """(doc, gold label, predicted label, n): characters by label pair, Neither included by arithmetic."""
-    tagged = gold.select(doc_id, "start", "stop", F.col("label").alias("g"), F.lit(None).cast("string").alias("r")).union(pred.select(doc_id, "start", "stop", F.lit(None).cast("string"), "label"))
-    edges = tagged.select(doc_id, F.explode(F.array("start", "stop")).alias("p")).distinct()
-    cells = edges.withColumn("q", F.lead("p").over(Window.partitionBy(doc_id).orderBy("p"))).filter("q IS NOT NULL")
-    cover = cells.join(tagged.withColumnRenamed(doc_id, "_d"), (cells[doc_id] == F.col("_d")) & (F.col("p") >= F.col("start")) & (F.col("q") <= F.col("stop")))
-    both = cover.groupBy(doc_id, "p", "q").agg(F.coalesce(F.max("g"), F.lit("Neither")).alias("gold"), F.coalesce(F.max("r"), F.lit("Neither")).alias("pred"))
+    """(doc, gold label, predicted label, n): characters by label pair, Neither included by arithmetic. The stretches of a side don't overlap, as those of paint()."""
+
+    def moves(side: DataFrame, name: str) -> DataFrame:
+        """Where a side's label changes: to a label, or to Neither where no stretch begins at another's end."""
+        ends = side.select(doc_id, F.col("start").alias("p"), F.col("label").alias("l")).unionByName(side.select(doc_id, F.col("stop").alias("p"), F.lit(None).cast("string").alias("l")))
+        return ends.groupBy(doc_id, "p").agg(F.coalesce(F.max("l"), F.lit("Neither")).alias(name))
+
+    w = Window.partitionBy(doc_id).orderBy("p")
+    edges = moves(gold, "g").join(moves(pred, "r"), [doc_id, "p"], "full")
+    now = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit("Neither"))
+    both = edges.select(doc_id, "p", F.lead("p").over(w).alias("q"), now("g").alias("gold"), now("r").alias("pred")).filter("q IS NOT NULL AND (gold != 'Neither' OR pred != 'Neither')")
     counts = both.groupBy(doc_id, "gold", "pred").agg(F.sum(F.col("q") - F.col("p")).cast("long").alias("n"))
     known = counts.groupBy(doc_id).agg(F.sum("n").alias("_k"))
     rest = lengths.select(doc_id, F.col(length).alias("_len")).join(known, doc_id, "left").select(doc_id, F.lit("Neither").alias("gold"), F.lit("Neither").alias("pred"), (F.col("_len") - F.coalesce("_k", F.lit(0))).cast("long").alias("n"))
@@ -53,10 +79,11 @@ def accuracy(rows: DataFrame, right: Column, kind: str) -> DataFrame:
     return rows.withColumn("_right", right).rollup(kind).agg(F.count("*").alias("n"), F.count_if("_right").alias("n_right"), F.avg(F.col("_right").cast("int")).alias("accuracy"))
 
 
-def confusion(rows: DataFrame, gold: Column, pred: Column, *by: str) -> DataFrame:
-    """Counters and metrics of a binary verdict; rows with a null on either side count nowhere. Divisions by zero give 0."""
+def confusion(rows: DataFrame, gold: Column, pred: Column, *by: str, similarity: Column | None = None) -> DataFrame:
+    """Counters and metrics of a binary verdict; rows with a null on either side count nowhere. Divisions by zero give 0. similarity: its mean over the rows that count, as mean_similarity, 0 without any."""
     base = rows.withColumns({"_g": gold, "_p": pred})
-    out = base.groupBy(*by).agg(*(F.count_if(c).alias(k) for k, c in (("tp", F.col("_g") & F.col("_p")), ("tn", ~F.col("_g") & ~F.col("_p")), ("fp", ~F.col("_g") & F.col("_p")), ("fn", F.col("_g") & ~F.col("_p")))))
+    mean = [] if similarity is None else [F.coalesce(F.avg(F.when(F.col("_g").isNotNull() & F.col("_p").isNotNull(), similarity)), F.lit(0.0)).alias("mean_similarity")]
+    out = base.groupBy(*by).agg(*mean, *(F.count_if(c).alias(k) for k, c in (("tp", F.col("_g") & F.col("_p")), ("tn", ~F.col("_g") & ~F.col("_p")), ("fp", ~F.col("_g") & F.col("_p")), ("fn", F.col("_g") & ~F.col("_p")))))
     safe = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
     return out.withColumns({"accuracy": safe(tp + tn, tp + tn + fp + fn), "precision": safe(tp, tp + fp), "recall": safe(tp, tp + fn), "f1": safe(2 * tp, 2 * tp + fp + fn)})

@@ -13,7 +13,7 @@ from .retrieve import contained
 def verbatim_spans(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", passage_id: str = "item_id", text_col: str = "text", passage_col: str = "passage") -> DataFrame:
     """The first place of each passage in each document that contains it."""
     start = F.instr(F.col(text_col), F.col(passage_col)) - 1
-    found = contained(docs, passages, text_col, passage_col)
+    found = contained(docs, passages, doc_id, passage_id, text_col, passage_col)
     return found.select(doc_id, passage_id, start.cast("long").alias("span_start"), (start + F.length(passage_col)).cast("long").alias("span_end"))
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from ..functions import profiles, similarity
 from ..functions.profiles import ARABIC_BLOCKS
 from ..functions.tokens import words
+from ..sources.tables import store
+from .retrieve import contained, holding
 
 _MARKER = r"\([٠-٩0-9]+\)"
 _FOREIGN = rf"(?U)[^{ARABIC_BLOCKS}\s]{{3,}}"
@@ -35,41 +37,37 @@ def diacritics_rejected(given: Column, reference: Column, accuracy: float = 0.8)
     return F.coalesce(judged & (right < F.size(marked)) & (right / F.size(marked) < accuracy), F.lit(False))
 
 
-def letters(text: Column) -> Column:
-    """How often each of a to z and the space occurs, and last how many other characters there are: what two texts share is at most the sum of the lesser counts."""
-    signs = [*"abcdefghijklmnopqrstuvwxyz "]
-    counts = [F.length(text) - F.length(F.translate(text, x, "")) for x in signs]
-    return F.array(*counts, F.length(F.translate(text, "".join(signs), "")))
-
-
 def verify_verses(spans: DataFrame, span_id: str, span_col: str, corpus: DataFrame, passage_id: str, passage_col: str, threshold: float = 0.85) -> DataFrame:
-    """V1: (span, is_match, similarity, passage, match_type): exact on normalised texts first, then the best accepted candidate that shares a word.
+    """(span, is_match, similarity, passage, match_type): exact on normalised texts first, then the best accepted candidate. Ties by id.
 
-    Only spans without an exact match, and pairs that share a word of three characters and that the bound of the ratio by their
-    lengths lets reach the threshold, or where the passage contains the span, come to the Python measure, which aligns only what the
-    bound by their characters leaves; no match is lost by either.
+    A candidate shares a word of three characters with the span. It is accepted if it contains the span, with at least the threshold as its
+    similarity if the span has over two words; or if its ratio (M1) reaches the threshold; unless its marks contradict the span's (V4). Passages that contain
+    a span are found by its rarest gram, those near it by a threshold join (similarity.near_texts); spans of equal key are compared once.
     """
     q = spans.select(span_id, F.col(span_col).alias("_s"), profiles.verse_key(F.col(span_col)).alias("_q"))
     c = corpus.select(passage_id, F.col(passage_col).alias("_p"), profiles.verse_key(F.col(passage_col)).alias("_c"))
     exact = q.join(c.groupBy("_c").agg(F.min(passage_id).alias(passage_id)), F.col("_q") == F.col("_c")).select(span_id, F.lit(1.0).alias("similarity"), passage_id, F.lit("exact").alias("match_type"))
-    rest = q.join(exact, span_id, "left_anti").withColumn("_marked", profiles.has_diacritics(F.col("_s")))
-    # How often each letter occurs, once for a text: what two texts have in common of them bounds the ratio.
-    rest, c = rest.withColumn("_nq", letters(F.col("_q"))), c.withColumn("_nc", letters(F.col("_c")))
-    tokens = lambda df, i, t, n: df.select(i, F.length(t).alias(n), F.explode(F.array_distinct(words(F.col(t), 3))).alias("token"))
-    pairs = tokens(rest, span_id, "_q", "_lq").join(tokens(c, passage_id, "_c", "_lc"), "token")
-    near = 2 * F.least("_lq", "_lc") / (F.col("_lq") + F.col("_lc")) >= threshold - 1e-9
-    pairs = pairs.filter(near | (F.col("_lq") <= F.col("_lc"))).select(span_id, passage_id, near.alias("_near")).distinct()
-    pairs = pairs.join(rest, span_id).join(c, passage_id)
-    shared = F.aggregate(F.zip_with("_nq", "_nc", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
-    inside = F.contains("_c", "_q")
-    close = F.col("_near") & (2 * shared / (F.length("_q") + F.length("_c")) >= threshold - 1e-9)
-    pairs = pairs.filter(inside | close).withColumn("_sub", inside & (F.size(words(F.col("_q"))) > 2))
-    pairs = pairs.filter(~F.col("_marked") | ~diacritics_rejected(F.col("_s"), F.col("_p"))).withColumn("_r", similarity.sequence_ratio_over(F.col("_q"), F.col("_c"), F.when(inside, 0.0).otherwise(threshold)))
-    score = F.when(F.col("_sub"), F.greatest(F.col("_r"), F.lit(threshold))).otherwise(F.col("_r"))
-    found = pairs.withColumn("similarity", score).filter(F.col("_sub") | F.contains("_c", "_q") | (F.col("_r") >= threshold))
-    best = found.groupBy(span_id).agg(F.max_by(F.struct("similarity", passage_id, F.when(F.col("_sub"), "substring").otherwise("fuzzy").alias("match_type")), F.struct("similarity", -F.col(passage_id))).alias("_b"))
-    best = best.select(span_id, "_b.similarity", f"_b.{passage_id}", "_b.match_type")
-    out = spans.select(span_id).join(exact.unionByName(best), span_id, "left")
+    rest = store(q.join(exact, span_id, "left_anti").filter("_q != ''"), "spans")
+    keys = rest.select("_q").distinct()
+    inside = holding(keys, "_q", "_q", c, passage_id, "_c").join(c.select(passage_id, "_c"), passage_id)
+    inside = inside.filter(F.arrays_overlap(words(F.col("_q"), 3), words(F.col("_c"), 3))).select("_q", passage_id, similarity.sequence_ratio(F.col("_q"), F.col("_c")).alias("_r"), (F.size(words(F.col("_q"))) > 2).alias("_sub"))
+    near = similarity.near_texts(keys, "_q", c, passage_id, "_c", threshold, least_word=3).select("_q", passage_id, F.col("ratio").alias("_r"), F.lit(False).alias("_sub"))
+    pairs = rest.join(inside.unionByName(near), "_q").join(c.select(passage_id, "_p"), passage_id)
+    found = pairs.filter(~profiles.has_diacritics(F.col("_s")) | ~diacritics_rejected(F.col("_s"), F.col("_p")))
+    found = found.withColumn("similarity", F.when(F.col("_sub"), F.greatest(F.col("_r"), F.lit(threshold))).otherwise(F.col("_r"))).withColumn("match_type", F.when(F.col("_sub"), "substring").otherwise("fuzzy"))
+    best = found.groupBy(span_id).agg(F.min_by(F.struct("similarity", passage_id, "match_type"), F.struct(-F.col("similarity"), F.col(passage_id))).alias("_b"))
+    out = spans.select(span_id).join(exact.unionByName(best.select(span_id, "_b.similarity", f"_b.{passage_id}", "_b.match_type")), span_id, "left")
+    return out.select(span_id, F.col("match_type").isNotNull().alias("is_match"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), passage_id, "match_type")
+
+
+def verify_strictly(spans: DataFrame, span_id: str, span_col: str, corpus: DataFrame, passage_id: str, passage_col: str) -> DataFrame:
+    """V3 for verses: (span, is_match, similarity, passage, match_type): a passage of equal normalised text, else the one with the highest ratio (M1) among those that contain the span. Ties by id."""
+    q = store(spans.select(span_id, profiles.verse_key(F.col(span_col)).alias("_q")).filter("_q != ''"), "spans")
+    c = corpus.select(passage_id, profiles.verse_key(F.col(passage_col)).alias("_c"))
+    pairs = contained(c, q.select("_q").distinct(), passage_id, "_q", "_c", "_q")
+    pairs = pairs.select("_q", passage_id, F.when(F.col("_q") == F.col("_c"), 1.0).otherwise(similarity.sequence_ratio(F.col("_q"), F.when(F.col("_q") != F.col("_c"), F.col("_c")))).alias("similarity"), F.when(F.col("_q") == F.col("_c"), "exact").otherwise("substring").alias("match_type"))
+    best = pairs.groupBy("_q").agg(F.min_by(F.struct("similarity", passage_id, "match_type"), F.struct(F.col("match_type"), -F.col("similarity"), F.col(passage_id))).alias("_b"))
+    out = spans.select(span_id).join(q.join(best, "_q").select(span_id, "_b.*"), span_id, "left")
     return out.select(span_id, F.col("match_type").isNotNull().alias("is_match"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), passage_id, "match_type")
 
 

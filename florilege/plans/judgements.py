@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import profiles
 from ..functions.tokens import words
 from ..operators import answers, correct, parts, report, retrieve, score, verify
-from .quotations import _KEY, _METRICS, _PAINT, _RULES, _VERB, _WORDS, metrics, passages, query, r6, ruled, verbatim
+from ..sources.tables import store
+from .quotations import _KEY, _METRICS, _MKEY, _PAINT, _RULES, _VERB, _WORDS, metrics, passages, query, r6, ruled, verbatim
 
 #: Passages numbered within groups of four, as verses within a chapter.
 _GROUPED = "SELECT item_id // 4 AS grp, item_id AS num, text FROM benchmark"
@@ -125,21 +128,54 @@ def rescored_corrections(t, spark):
     return score.rescored(fixed, F.col("correction"), F.col("passage"), F.col("kind"), profiles.snapped_diacritics, profiles.lenient_key)
 
 
-def _corrected(t) -> DataFrame:
-    spans = passages(t).select(F.col("item_id").alias("span_id"), F.when(F.col("item_id") % 4 == 3, F.lit("zq zw zx")).otherwise(F.col("passage")).alias("span"), F.when(F.col("item_id") % 2 == 0, "Ayah").otherwise("Hadith").alias("kind"))
-    held = passages(t)
-    return correct.corrections(spans, "span_id", "span", "kind", {"Ayah": held, "Hadith": held}, "item_id", "passage")
+#: Of each passage: five of its words; it and the next one of its group as one text (verses only); words that none has; and five words of it and of the next as two parts.
+_FRAGMENTS = f"""WITH g AS (SELECT item_id, text, item_id // 4 AS grp, CASE WHEN item_id // 4 % 2 = 0 THEN 'Ayah' ELSE 'Hadith' END AS kind, {_MKEY.format('text')} AS k, {_WORDS.format('text')}[3:7] AS five FROM benchmark),
+  f AS (SELECT g.item_id, min(p.item_id) AS found FROM g JOIN (SELECT item_id, k FROM g) AS p ON contains(p.k, {_MKEY.format("array_to_string(g.five, ' ')")}) GROUP BY g.item_id),
+  n AS (SELECT a.item_id, a.kind, a.text || '(' || a.item_id || ') ' || b.text || '(' || b.item_id || ')' AS run, a.k || ' ' || b.k AS k, x.found AS fa, y.found AS fb FROM g a JOIN g b ON a.grp = b.grp AND b.item_id = a.item_id + 1 JOIN f x ON x.item_id = a.item_id JOIN f y ON y.item_id = b.item_id),
+  done AS (SELECT item_id * 10 AS span_id, kind, t.text AS correction, 1 AS n_parts, 1 AS n_combined, 'exact_normalized' AS match_type FROM g JOIN f USING (item_id) JOIN (SELECT item_id AS found, text FROM benchmark) AS t USING (found)
+   UNION ALL SELECT item_id * 10 + 1, kind, coalesce((SELECT arg_min(text, item_id) FROM g WHERE contains(g.k, n.k)), run), 1, CASE WHEN EXISTS (FROM g WHERE contains(g.k, n.k)) THEN 1 ELSE 2 END, CASE WHEN EXISTS (FROM g WHERE contains(g.k, n.k)) THEN 'exact_normalized' ELSE 'cross_passage' END FROM n WHERE kind = 'Ayah'
+   UNION ALL SELECT item_id * 10 + 2, kind, NULL, NULL, NULL, NULL FROM g
+   UNION ALL SELECT n.item_id * 10 + 3, n.kind, CASE WHEN n.kind = 'Ayah' THEN x.text || '(' || fa || ') ' || y.text || '(' || fb || ')' ELSE x.text || ' ' || y.text END, 2, 1, 'multiple_parts' FROM n JOIN benchmark x ON x.item_id = fa JOIN benchmark y ON y.item_id = fb)"""
 
 
-@query("SELECT item_id AS span_id, CASE WHEN item_id % 2 = 0 THEN 'Ayah' ELSE 'Hadith' END AS kind, CASE WHEN item_id % 4 != 3 THEN text END AS correction, CASE WHEN item_id % 4 != 3 THEN CASE WHEN item_id % 2 = 0 THEN 'quran' ELSE 'hadith' END END AS source FROM benchmark")
+def _corrected(t) -> DataFrame:
+    five = F.slice(words(F.col("passage")), 3, 5)
+    g = grouped(t).withColumn("kind", F.when(F.col("grp") % 2 == 0, "Ayah").otherwise("Hadith")).withColumn("five", F.array_join(five, " "))
+    after = g.select("grp", (F.col("num") - 1).alias("num"), F.col("passage").alias("next"), F.col("five").alias("next_five"))
+    two = g.join(after, ["grp", "num"])
+    made = [
+        g.select((F.col("num") * 10).alias("span_id"), F.col("five").alias("span"), "kind"),
+        two.filter("kind = 'Ayah'").select(F.col("num") * 10 + 1, F.concat("passage", F.lit(" "), "next"), "kind"),
+        g.select(F.col("num") * 10 + 2, F.array_join(F.transform(five, lambda x: F.repeat(F.reverse(x), 3)), " "), "kind"),
+        two.select(F.col("num") * 10 + 3, F.concat("five", F.lit(" * "), "next_five"), "kind"),
+    ]
+    spans = reduce(DataFrame.union, made)
+    held = grouped(t).withColumnRenamed("num", "item_id")
+    # The table of all passages is the corpus of both kinds; only verses have runs.
+    return correct.corrections(spans, "span_id", "span", "kind", {"Ayah": held.withColumn("num", F.col("item_id")), "Hadith": held}, "item_id", "passage", runs={"Ayah": ("grp", "num")})
+
+
+@query(_FRAGMENTS + " SELECT span_id, kind, correction, n_parts::INTEGER AS n_parts, n_combined::INTEGER AS n_combined, match_type, CASE WHEN correction IS NOT NULL THEN CASE kind WHEN 'Ayah' THEN 'quran' ELSE 'hadith' END END AS source, CASE WHEN correction IS NOT NULL THEN 1.0::DOUBLE END AS confidence FROM done")
 def correct_table(t, spark):
-    return _corrected(t).select("span_id", "kind", "correction", "detail.source")
+    """Fragments, pairs of passages, misses and spans of two parts."""
+    return _corrected(t).select("span_id", "kind", "correction", "detail.n_parts", "detail.n_combined", "detail.match_type", "detail.source", r6(F.col("detail.confidence")).alias("confidence"))
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (item_id % 4 != 3) AS corrected, count(*) FILTER (item_id % 4 = 3) AS uncorrected, round(100 * avg((item_id % 4 != 3)::INTEGER), 6) AS corrected_pct, 1.0::DOUBLE AS mean_confidence FROM benchmark")
+@query(_FRAGMENTS + " SELECT count(*) AS total, count(correction) AS corrected, count(*) - count(correction) AS uncorrected, round(100.0 * count(correction) / count(*), 6)::DOUBLE AS corrected_pct, 1.0::DOUBLE AS mean_confidence, count(*) FILTER (n_combined > 1) AS crossing FROM done")
 def correction_stats(t, spark):
-    s = report.correction_statistics(_corrected(t).withColumn("confidence", F.col("detail.confidence")))
-    return s.select("total", "corrected", "uncorrected", r6(F.col("corrected_pct")).alias("corrected_pct"), r6(F.col("mean_confidence")).alias("mean_confidence"))
+    s = report.correction_statistics(_corrected(t).withColumn("confidence", F.col("detail.confidence")), crossing=F.coalesce("detail.is_cross", F.lit(False)))
+    return s.select("total", "corrected", "uncorrected", r6(F.col("corrected_pct")).alias("corrected_pct"), r6(F.col("mean_confidence")).alias("mean_confidence"), "crossing")
+
+
+@query(f"""WITH l AS (SELECT doc_id, (i - 1)::INTEGER AS line, {_KEY.format('s[i]')} AS k FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))),
+  p AS (SELECT item_id, {_KEY.format('text')} AS k FROM benchmark)
+  SELECT doc_id, line, count(DISTINCT p.item_id) FILTER (l.k = p.k) > 0 AS exact, min(p.item_id) FILTER (l.k = p.k) AS same FROM l JOIN p ON l.k != '' AND contains(p.k, l.k) GROUP BY doc_id, line""")
+def strict_verses(t, spark):
+    """V3: each line of each document that a passage contains: whether one equals it, and the first that does."""
+    d = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "span")).withColumn("key", F.struct("doc_id", "line"))
+    out = verify.verify_strictly(d, "key", "span", passages(t), "item_id", "passage").filter("is_match")
+    exact = F.col("match_type") == "exact"
+    return out.select("key.doc_id", "key.line", exact.alias("exact"), F.when(exact, F.col("item_id")).alias("same"))
 
 
 @query(_VERB + """, m AS (SELECT doc_id, item_id, d.text AS t, b.text AS p, span_start + (item_id % 3) * 20 AS s, span_end + (item_id % 3) * 20 AS e, CASE WHEN item_id % 2 = 0 THEN 'q' ELSE 'h' END AS kind FROM v JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)),
@@ -177,7 +213,7 @@ def numbered_prompts(t, spark):
 
 def _questions(t) -> tuple[DataFrame, DataFrame, DataFrame]:
     """References, predictions and texts: verbatim spans and, of documents without any, each twentieth as NoAnnotation."""
-    v = verbatim(t).withColumn("label", F.when(F.col("item_id") % 2 == 0, "Ayah").otherwise("Hadith")).withColumn("span_no", F.col("item_id"))
+    v = store(verbatim(t), "verbatim").withColumn("label", F.when(F.col("item_id") % 2 == 0, "Ayah").otherwise("Hadith")).withColumn("span_no", F.col("item_id"))
     bare = t("documents").filter("doc_id % 20 = 0").select("doc_id").join(v.select("doc_id").distinct(), "doc_id", "left_anti")
     zero = [F.lit(0).cast("long").alias(c) for c in ("span_start", "span_end")]
     refs = v.select("doc_id", "span_no", "label", "span_start", "span_end").union(bare.select("doc_id", F.lit(0).cast("long"), F.lit("NoAnnotation"), *zero))

@@ -102,7 +102,7 @@ def test_canonical_passage_needs_shared_words(spark):
     verse = {r.k: r.p for r in correct.canonical(preds, "k", "x", corpus, "p", "t").collect()}
     assert verse == {0: 0, 1: None, 2: None, 3: None, 4: None}
     fixed = {r.k: r.correction for r in correct.snapped(preds, "k", "x", corpus, "p", "t").collect()}
-    assert fixed[0] == BASE[0] and fixed[4] == "whoever believes zzzz"
+    assert fixed[0] == BASE[0] and fixed[4] is None and fixed[1] is None
 
 
 def test_spans_are_put_in_place(spark):
