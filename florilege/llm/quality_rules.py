@@ -108,13 +108,15 @@ def quality_rules(
 
     Null text counts as empty (so base_failed); a null stratum counts as that of the empty name; labels that are null, of unknown
     documents, or for a null id are ignored; a document labelled twice counts once, and as good only if no label says
-    otherwise. Repeated rows get equal verdicts. Empty tables give an empty result or no rules. Other columns don't matter.
+    otherwise. So does a text of a stratum: repeated rows and copies are one trial of the holdout, whatever their ids, as the
+    bound is one for independent trials. Repeated rows get equal verdicts. Empty tables give an empty result or no rules. Other columns don't matter.
     """
     rows = stash(signals(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("_stratum"), F.xxhash64(whole(text_col)).alias("_hash"), F.col(text_col).alias("_text")), "_text"), "rules-signals")
     size, rows = held_bytes(rows), rows.withColumn("base_failed", base_failed(risk))
-    labelled = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(label_col).alias("_good")).filter("_good = 1").select("_id")
+    labelled = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(label_col).alias("_good"))
     labelled = stash(labelled, "rules-labelled", size)
-    good = rows.filter("NOT base_failed").join(slight(labelled), "_id", "left_semi")
+    counts = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+    good = rows.filter("NOT base_failed").join(slight(labelled), "_id").groupBy("_stratum", "_hash").agg(F.min("_good").alias("_good"), *(F.first(c).alias(c) for c in counts)).filter("_good = 1")
     cuts = stash(certify(good, "_stratum", risk, size).withColumnRenamed("stratum", "_stratum"), "rules-cuts")
     rows = rows.join(F.broadcast(cuts) if cuts.limit(max_strata + 1).count() <= max_strata else cuts, "_stratum", "left")
     passed = F.lit(True)

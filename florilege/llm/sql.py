@@ -43,13 +43,14 @@ WITH words AS (
 ), lines AS (
   SELECT doc_id, count(*) AS n_lines, count(DISTINCT line) AS kinds FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words) AS l WHERE regexp_matches(line, '{_W}') GROUP BY doc_id
 ), counted AS (
-  SELECT doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  SELECT doc_id, stratum, text, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_lines - kinds, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM words LEFT JOIN repeated USING (doc_id) LEFT JOIN lines USING (doc_id)
 ), base AS (
   SELECT *, n_words < {_risk.min_words} OR 100 * n_repeat_words > {_risk.max_repeat_pct} * n_words AS base_failed FROM counted
 ), good AS (
-  SELECT * FROM base WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)
+  SELECT stratum, text, any_value(n_words) AS n_words, any_value(word_chars) AS word_chars, any_value(n_symbols) AS n_symbols, any_value(n_lines) AS n_lines, any_value(n_dup_lines) AS n_dup_lines, any_value(n_repeat_words) AS n_repeat_words
+  FROM base JOIN (SELECT doc_id, min(quality) AS label FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed GROUP BY stratum, text HAVING min(label) = 1
 ), tests AS ({_tests}), tried AS (
   SELECT *, CASE WHEN k >= n * {_p!r} THEN false ELSE
     list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_p!r}) + (n - j) * ln(1 - {_p!r}))))

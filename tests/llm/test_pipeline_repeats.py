@@ -59,3 +59,12 @@ def test_run_with_repeated_rows_and_null_ids(spark, tmp_path):
     n = quality_brute(want[lost])[0]
     assert total.pop(None) in (n, n + 1)
     assert total == {i: max(1, quality_brute(t)[0]) for i, t in want.items() if i != lost}
+
+
+def test_passages_keeps_the_signs_that_a_text_has_and_no_half_character(spark):
+    shared = "é" * 150
+    rows = [(1, "alpha � beta " + "a" + shared, "en"), (2, "gamma � " + "b" + shared + "�", "en"), (3, "x" * 250, "en"), (4, "p Ḁ" + text(9, 40), "en"), (5, "q ἀ" + text(9, 40), "en")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.passages(spark, frame(spark, rows), DATA).collect()}
+    # The last byte of Ḁ and of ἀ is the same, and stands before the passage that both texts have.
+    assert got[1] == "alpha � beta a" and got[2] == "gamma � b�" and got[4] == "p " and got[5] == "q "
+    assert 3 not in got
