@@ -54,9 +54,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings of 200 bytes or more that occur elsewhere; a character cut in two goes, and a document of which nothing is left."""
     rest = [c for c in docs.columns if c != "text"]
-    out = suffix_dedup.remove_repeats(docs, keep=tuple(c for c in rest if c != "doc_id"))
-    text = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
-    out = out.withColumn("text", text).filter("n_removed = 0 OR text != ''")
+    out = suffix_dedup.remove_repeats(docs, keep=tuple(c for c in rest if c != "doc_id"), whole_chars=True)
+    out = out.withColumn("text", F.col("kept").cast("string")).filter("n_removed = 0 OR text != ''")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
