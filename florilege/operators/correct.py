@@ -236,7 +236,7 @@ def corrections(spans: DataFrame, span_id: str, span_col: str, kind_col: str, co
         parts = parts.select(span_id, F.size("_all").alias("_n"), F.posexplode("_all").alias("_i", "_part")).withColumn("part_key", F.struct(span_id, "_i"))
         run = (runs or {}).get(kind)
         first = matches(parts.select("part_key", "_part"), "part_key", "_part", corpus, passage_id, passage_col, thresholds[kind], run, score).filter("rank = 1")
-        rows = parts.join(first, "part_key").filter((F.col("similarity") >= thresholds[kind]) | (F.col("_n") == 1) & (F.coalesce("rerank_score", F.lit(0.0)) > 0.5))
+        rows = store(parts.join(first, "part_key").filter((F.col("similarity") >= thresholds[kind]) | (F.col("_n") == 1) & (F.coalesce("rerank_score", F.lit(0.0)) > 0.5)), "settled")
         number = passage_id if kind == "Ayah" else None
         if run:
             rows = rows.join(corpus.select(F.col(passage_id).alias("_id"), F.col(run[1]).alias("_no")), F.col("passages")[0] == F.col("_id"), "left")
