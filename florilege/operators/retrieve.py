@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.profiles import bare
+from ..functions.profiles import bare, index_key
 from ..functions.tokens import char_ngrams, words
 from ..sources.tables import store
 
@@ -30,6 +30,35 @@ def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(tokens)).alias("token"), F.col(id_col))
 
 
+def two_form_postings(docs: DataFrame, id_col: str, text: Column, normal=index_key) -> DataFrame:
+    """T4: (token, id, form): each text's different words as they stand (raw), and those of its normalised text that aren't among them (normal)."""
+    raw = F.array_distinct(words(text))
+    both = docs.select(F.col(id_col), raw.alias("_raw"), F.array_except(words(normal(text)), raw).alias("_normal"))
+    of = lambda c, form: F.transform(c, lambda w: F.struct(w.alias("token"), F.lit(form).alias("form")))
+    return both.select(id_col, F.inline(F.concat(of("_raw", "raw"), of("_normal", "normal")))).select("token", id_col, "form")
+
+
+def _forms(word: Column, normal) -> Column:
+    """A query's word as it stands and, if it differs and anything is left, normalised."""
+    other = normal(word)
+    return F.array_compact(F.array(word, F.when((other != "") & (other != word), other)))
+
+
+def two_form_candidates(queries: DataFrame, query_id: str, query_tokens: Column, post: DataFrame, id_col: str, share: float = 0.6, least: int = 1, normal=index_key) -> DataFrame:
+    """(query, id, n_tokens, hits) over two_form_postings: each word of a query, repeats too, counts once for its own form and once for its normalised one, where a text has them;
+    the hits reach max(least, int(share * words))."""
+    q = queries.select(F.col(query_id), F.size(query_tokens).alias("n_tokens"), F.explode(F.flatten(F.transform(query_tokens, lambda w: _forms(w, normal)))).alias("token"))
+    q = q.groupBy(query_id, "n_tokens", "token").agg(F.count("*").alias("times"))
+    hits = post.join(q, "token").groupBy(query_id, "n_tokens", id_col).agg(F.sum("times").alias("hits"))
+    return hits.filter(F.col("hits") >= F.greatest(F.lit(least), F.floor(share * F.col("n_tokens") + 1e-9)))
+
+
+def two_form_query(words_: DataFrame, word: str, post: DataFrame, id_col: str, k: int = 10, normal=index_key) -> DataFrame:
+    """(word, id, rank): the first k texts by id that have a word in either form."""
+    asked = words_.select(word, F.explode(_forms(F.col(word), normal)).alias("token"))
+    return top_k(post.join(asked, "token").select(word, id_col).distinct(), word, k, F.col(id_col))
+
+
 def index_statistics(post: DataFrame, id_col: str) -> DataFrame:
     """Unique tokens, postings, mean postings of a token."""
     per = post.groupBy("token").agg(F.count("*").alias("n"))

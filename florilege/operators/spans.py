@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,6 +83,12 @@ def without_key(schema, key: str):
     return [without_key(v, key) for v in schema] if isinstance(schema, list) else schema
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _running(lengths: pd.Series) -> pd.Series:
+    """Running sums, in one pass: an array grown by aggregate() is copied for each element."""
+    return lengths.map(lambda x: None if x is None else np.cumsum(x))
+
+
 def quoted(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", least_letters: int = 10) -> DataFrame:
     """The offline detector: stretches between quotation marks, of any length and each at its own place, edges trimmed to words, of at least `least_letters` letters, none nested.
 
@@ -89,9 +96,9 @@ def quoted(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", leas
     """
     marks = "\"[^\"]{3,}+\"|«[^»]{3,}+»|“[^”]{3,}+”"
     found = docs.select(doc_id, F.regexp_extract_all(F.col(text_col), F.lit(marks), F.lit(0)).alias("_m"), F.split(F.col(text_col), marks).alias("_gap"))
-    # The text is gap, match, gap, ..., gap: each gap begins where the lengths so far end.
-    begin = F.aggregate(F.arrays_zip("_gap", "_m"), F.array(F.lit(0)), lambda done, x: F.array_append(done, F.element_at(done, -1) + F.length(x["_gap"]) + F.coalesce(F.length(x["_m"]), F.lit(0))))
-    found = found.withColumn("_at", F.zip_with(F.slice(begin, 1, F.size("_gap")), "_gap", lambda at, gap: at + F.length(gap)))
+    # The text is gap, match, gap, ..., gap: each match ends where the lengths so far end.
+    ends = _running(F.transform(F.arrays_zip("_gap", "_m"), lambda x: F.length(x["_gap"]) + F.coalesce(F.length(x["_m"]), F.lit(0))))
+    found = found.filter(F.size("_m") > 0).withColumn("_at", F.zip_with(F.slice(ends, F.lit(1), F.size("_m")), "_m", lambda end, m: end - F.length(m)))
     found = found.select(doc_id, F.inline(F.slice(F.arrays_zip("_m", "_at"), F.lit(1), F.size("_m"))))
     lead, tail = trim_to_words(F.col("_m"), F.lit(0), F.length("_m"))
     out = found.select(doc_id, (F.col("_at") + lead).cast("long").alias("span_start"), (F.col("_at") + tail).cast("long").alias("span_end"), F.substr("_m", lead + 1, tail - lead).alias("span"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -107,6 +108,7 @@ FORBIDDEN = '*()[]{}﴾﴿"«»'
 FORBIDDEN_END = ".,،;؛:؞؍!؟?﴾﴿)]}…"
 DELIMITERS = "()[]{}﴾﴿"
 QUOTES = '"«»'
+CURLY_QUOTES = "“”‘’"
 ISSUES = {
     "empty_or_whitespace": "Verse span is empty or contains only whitespace",
     "starts_with_non_arabic": "Verse span starts with non-Arabic character",
@@ -196,24 +198,54 @@ def separator_report(span: Column) -> Column:
     return F.struct(types.alias("types"), stars.alias("n_asterisks"), numbers.alias("numbers"), arabic.alias("n_arabic_commas"), plain.alias("n_commas"), reason.alias("comma_reason"), runs.alias("runs"))
 
 
-@F.pandas_udf(T.StringType())
-def clean_span(span: pd.Series) -> pd.Series:
-    """Forbidden brackets and quotes go unless they enclose a number; ends are peeled of punctuation until nothing changes."""
-    import re
+_PYTHON_BLOCKS = ARABIC_BLOCKS.encode().decode("unicode_escape")
+_INK = re.compile(rf"[^{_PYTHON_BLOCKS}\s]")
+_SEPARATORS = tuple(re.compile(p) for p in (r"[*،,]", _MARKER, rf"[^{_PYTHON_BLOCKS}\s]{{3,}}"))
+_AT_END = tuple(re.compile(f"(?:{p.pattern})$") for p in _SEPARATORS)
 
-    forbidden = "()[]{}﴾﴿\"«»“”‘’"
-    ends = ".,،;؛:!؟? " + forbidden
 
-    def one(s: str | None) -> str | None:
-        if s is None:
-            return None
-        markers = {i for m in re.finditer(_MARKER, s) for i in range(*m.span())}
-        s = "".join(c for i, c in enumerate(s) if c not in forbidden or i in markers)
-        while s != (t := s.strip().rstrip(ends.replace(")", "")).lstrip(ends.replace("(", ""))):
-            s = t
-        return " ".join(s.split())
+def _peel(text: str, end: bool, applied: list[str]) -> str:
+    """Characters off one end while they are no Arabic, or punctuation that ends no verse, and belong to no separator; white space behind them goes too."""
+    side, place = ("end", -1) if end else ("start", 0)
+    while text and (_INK.match(text[place]) or text[place] in FORBIDDEN_END):
+        if any(p.search(text[-32:]) for p in _AT_END) if end else any(p.match(text) for p in _SEPARATORS):
+            break
+        applied.append(f"removed_{side}_{'punctuation' if text[place] in FORBIDDEN_END else 'non_arabic'}: {text[place]}")
+        text = text[:-1].rstrip() if end else text[1:].lstrip()
+    return text
 
-    return span.map(one)
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("applied", T.ArrayType(T.StringType()))]))
+def clean_span(span: pd.Series) -> pd.DataFrame:
+    """(text, applied): a span without forbidden characters, both ends peeled until nothing changes, trailing dots and repeated white space gone, and what was done, in order.
+
+    Characters of separators (V14: asterisks, commas, numbers in parentheses, runs of three or more that are neither Arabic nor white space) are neither
+    removed nor peeled. The forbidden characters removed are listed once each, in order. A null span is an empty one.
+    """
+    forbidden = set(FORBIDDEN + CURLY_QUOTES)
+
+    def one(s: str | None) -> tuple[str, list[str]]:
+        if not s:
+            return "", ["empty_input"]
+        text, applied = s.strip(), []
+        held = {i for p in _SEPARATORS for m in p.finditer(text) for i in range(*m.span())}
+        gone = [i for i, c in enumerate(text) if c in forbidden and i not in held]
+        if gone:
+            applied.append("removed_forbidden_chars: " + "".join(sorted({text[i] for i in gone})))
+            text = "".join(c for i, c in enumerate(text) if c not in forbidden or i in held)
+        before = None
+        while text != before:
+            before = text
+            text = _peel(_peel(text, False, applied), True, applied)
+            if re.search(r"\.{2,}$", text):
+                text = re.sub(r"\.+$", "", text).rstrip()
+                applied.append("removed_trailing_dots")
+        if re.search(r"\s{2,}", text):
+            text = re.sub(r"\s+", " ", text)
+            applied.append("normalized_whitespace")
+        return text.strip(), applied
+
+    return pd.DataFrame([one(s) for s in span], columns=["text", "applied"])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

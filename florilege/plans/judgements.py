@@ -11,7 +11,8 @@ from ..functions import profiles
 from ..functions.tokens import words
 from ..operators import answers, correct, parts, report, retrieve, score, verify
 from ..sources.tables import store
-from .quotations import _KEY, _METRICS, _MKEY, _PAINT, _RULES, _VERB, _WORDS, metrics, passages, query, r6, ruled, verbatim
+from ..streaming import resume
+from .quotations import _DIAC, _KEY, _METRICS, _MKEY, _PAINT, _RULES, _VERB, _WORDS, metrics, passages, query, r6, ruled, verbatim, vowelled
 
 #: Passages numbered within groups of four, as verses within a chapter.
 _GROUPED = "SELECT item_id // 4 AS grp, item_id AS num, text FROM benchmark"
@@ -300,3 +301,47 @@ def corpus_order(t, spark):
 def narration_candidates(t, spark):
     """R5 without the stop, which no table here reaches (sets of over 1,000): the first 500 documents that share one of the words."""
     return parts.narration_candidates(passages(t), "item_id", "passage", t("documents").select("doc_id", "text"), "doc_id", "text", enough=1 << 60)
+
+
+_N3 = "trim(regexp_replace(regexp_replace(regexp_replace({0}, '[\\x{{064B}}-\\x{{0652}}\\x{{0670}}\\x{{0640}}]', '', 'g'), '[^\\x{{0621}}-\\x{{063A}}\\x{{0641}}-\\x{{064A}}\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+_TWO = f"""WITH s AS (SELECT doc_id, text || ' ' || {_DIAC}[doc_id % {len(_DIAC)} + 1] AS s FROM documents), raw AS (SELECT DISTINCT doc_id, unnest({_WORDS.format('s')}) AS token FROM s),
+  norm AS (SELECT DISTINCT doc_id, unnest({_WORDS.format(_N3.format('s'))}) AS token FROM s), post AS (SELECT doc_id, token, 'raw' AS form FROM raw UNION ALL SELECT n.doc_id, n.token, 'normal' FROM norm n ANTI JOIN raw r ON r.doc_id = n.doc_id AND r.token = n.token)"""
+
+
+@query(_TWO + " SELECT token, form, count(*) AS n_docs FROM post GROUP BY token, form")
+def two_form_index(t, spark):
+    """T4: texts with a vowelled word each, indexed by their words as they stand and as normalised."""
+    return retrieve.two_form_postings(vowelled(t), "doc_id", F.col("s")).groupBy("token", "form").agg(F.count("*").alias("n_docs"))
+
+
+_ASKED = f"""q AS (SELECT i AS query, w FROM (SELECT i, list_concat({_WORDS.format(f"{_DIAC}[i + 1]")}, ['the', 'de']) AS w FROM (SELECT unnest(range(0, {len(_DIAC)})) AS i))),
+  f AS (SELECT query, len(w) AS n, unnest(w) AS w FROM q), forms AS (SELECT query, n, w AS token FROM f UNION ALL SELECT query, n, {_N3.format('w')} FROM f WHERE {_N3.format('w')} NOT IN ('', w))"""
+
+
+@query(_TWO + f", {_ASKED}, times AS (SELECT query, n, token, count(*) AS times FROM forms GROUP BY ALL) SELECT query, doc_id, sum(times)::BIGINT AS hits FROM times JOIN post USING (token) GROUP BY query, n, doc_id HAVING sum(times) >= greatest(1, floor(0.6 * n + 1e-9))")
+def two_form_candidates(t, spark):
+    """Each of the vowelled words with two common ones, asked of all texts; a word that a text has in both forms counts twice."""
+    texts = F.array(*map(F.lit, _DIAC))
+    asked = t("documents").filter("doc_id IS NOT NULL").select((F.col("doc_id") % len(_DIAC)).alias("query")).distinct()
+    asked = asked.withColumn("w", F.concat(words(F.element_at(texts, (F.col("query") + 1).cast("int"))), F.array(F.lit("the"), F.lit("de"))))
+    post = retrieve.two_form_postings(vowelled(t), "doc_id", F.col("s"))
+    return retrieve.two_form_candidates(asked, "query", F.col("w"), post, "doc_id").select("query", "doc_id", "hits")
+
+
+@query()
+def clean_spans(t, spark):
+    """V11 over the turns of all conversations, in quotation marks and with dots at their ends."""
+    marked = F.concat(F.lit("«"), F.col("text"), F.lit("» .."))
+    return t("conversations").select("conv_id", "turn", verify.clean_span(marked).alias("c")).select("conv_id", "turn", F.col("c.text").alias("text"), F.array_join("c.applied", "; ").alias("applied"))
+
+
+@query(f"""WITH r AS ({_RULES}), d AS (SELECT 'a' AS run, a AS v, quality FROM r UNION ALL SELECT 'b', b, quality FROM r WHERE doc_id % 3 != 0), n AS (SELECT count(*) AS n_total FROM r)
+  SELECT w.run, n_total, count(v) AS n_done, count(*) FILTER (v AND quality = 0) AS n_failed, CASE WHEN count(v) >= n_total THEN 'complete' ELSE 'in_progress' END AS status,
+   round(coalesce(avg(v::INTEGER) FILTER (NOT (v AND quality = 0)), 0), 6)::DOUBLE AS share FROM (VALUES ('a'), ('b'), ('c')) AS w(run) CROSS JOIN n LEFT JOIN d ON d.run = w.run GROUP BY w.run, n_total""")
+def run_status(t, spark):
+    """ST1: three runs over the labelled documents: a whole one, one without each third document, one that has only begun."""
+    rows = ruled(t)
+    done = rows.select(F.lit("a").alias("run"), F.col("a").alias("v"), "quality").union(rows.filter("doc_id % 3 != 0").select(F.lit("b"), "b", "quality"))
+    done = done.withColumn("share", F.col("v").cast("int"))
+    runs = rows.agg(F.count("*").alias("n_total")).select(F.explode(F.array(*map(F.lit, "abc"))).alias("run"), "n_total")
+    return resume.run_status(runs, done, error=F.when(F.col("v") & (F.col("quality") == 0), "wrong"), share="share").withColumn("share", r6(F.col("share")))

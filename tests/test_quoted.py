@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from florilege.operators import spans
 
 
@@ -48,3 +50,9 @@ def test_equals_brute_force(spark):
 def test_repeated_rows_each_have_their_spans(spark):
     docs = spark.createDataFrame([(1, '"ten letters here"')] * 2, "doc_id long, text string")
     assert spans.quoted(docs).count() == 2
+
+
+def test_many_quotations_in_one_text(spark):
+    n = 40_000
+    (r,) = spans.quoted(spark.createDataFrame([(1, ' "ten letters x"' * n), (2, "none"), (3, None)], "doc_id long, text string")).agg(F.count("*").alias("n"), F.max("span_start").alias("last"), F.countDistinct("span_start").alias("kinds")).collect()
+    assert (r.n, r.kinds, r.last) == (n, n, 16 * (n - 1) + 2)
