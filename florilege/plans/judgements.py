@@ -345,3 +345,12 @@ def run_status(t, spark):
     done = done.withColumn("share", F.col("v").cast("int"))
     runs = rows.agg(F.count("*").alias("n_total")).select(F.explode(F.array(*map(F.lit, "abc"))).alias("run"), "n_total")
     return resume.run_status(runs, done, error=F.when(F.col("v") & (F.col("quality") == 0), "wrong"), share="share").withColumn("share", r6(F.col("share")))
+
+
+@query(f"""WITH s AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark), t AS (SELECT item_id, CASE WHEN len(w) > 20 THEN w[1:15] ELSE w END AS w FROM s), q AS (SELECT item_id, i AS pos, w[i] AS token FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
+  d AS (SELECT DISTINCT doc_id, unnest({_WORDS.format('text')}) AS token FROM documents), met AS (SELECT item_id, doc_id, min(pos) AS pos FROM q JOIN d USING (token) WHERE length(token) >= 3 GROUP BY item_id, doc_id),
+  upto AS (SELECT item_id, pos, sum(n) OVER (PARTITION BY item_id ORDER BY pos) AS n FROM (SELECT item_id, pos, count(*) AS n FROM met GROUP BY item_id, pos)), stop AS (SELECT item_id, min(pos) AS stop FROM upto WHERE n > 100 GROUP BY item_id)
+  SELECT item_id, doc_id FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS r FROM met LEFT JOIN stop USING (item_id) WHERE stop IS NULL OR pos <= stop) WHERE r <= 500""")
+def narration_candidates_stopped(t, spark):
+    """R5 with its stop: words are taken in order until over 100 documents are found."""
+    return parts.narration_candidates(passages(t), "item_id", "passage", t("documents").select("doc_id", "text"), "doc_id", "text", enough=100)
