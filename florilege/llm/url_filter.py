@@ -28,13 +28,13 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", broadcast_rules: int = 100_000) -> DataFrame:
     """pages with host, path, rule (host and path of the rule that decides, else null) and verdict; one row per row.
 
-    Each distinct (host, path) is expanded into every suffix of the host at a dot times the path's prefixes of the lengths
+    Each distinct (host, path) is expanded into the suffixes of the host at a dot, of the numbers of labels that rules have, times the path's prefixes of the lengths
     that rules have; expressions meet rules on 32 bits of their SHA-256, then the full digest must agree. The longest rule
     wins; of equally long ones that with the longer host, then `block` before `allow`. Without a rule: `default`.
 
     Distinct (host, path) pairs are made first, so a hot host or repeated URL is expanded once. Up to `broadcast_rules` rules
     (about 100 bytes each) the small side is broadcast, beyond that the join is shuffled and AQE splits hot expressions. The
-    path lengths of rules, at most one per possible length, are the only thing collected.
+    path lengths and numbers of labels of rules, at most one per possible value, are the only thing collected.
 
     A null URL, or one without ://, has empty host and path and fits no rule. Empty pages or empty rules give the
     default. Rules with a null host or path never fit; of repeated rules with opposite verdicts, block wins.
@@ -50,9 +50,10 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     few = rules.limit(broadcast_rules + 1).count() <= broadcast_rules
 
     urls = rows.select("_h", "_p").filter("_h != ''").distinct()
-    labels = F.split("_h", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    urls = urls.withColumn("_s", F.explode(suffixes))
+    labels = lambda c: F.length(c) - F.length(F.replace(c, F.lit("."))) + 1
+    counts = sorted(r[0] for r in rules.select(labels(F.col("_rh"))).distinct().collect())
+    suffixes = F.array(*[F.when(labels(F.col("_h")) >= n, F.substring_index("_h", ".", -n)) for n in counts]) if counts else F.array().cast("array<string>")
+    urls = urls.withColumn("_s", F.explode(F.array_compact(suffixes)))
     heads = F.array(*[F.when(F.length("_p") >= n, F.substring("_p", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
     urls = urls.withColumn("_x", F.explode(F.array_compact(heads)))
     urls = urls.withColumn("_digest", F.unhex(F.sha2(F.concat("_s", F.lit("\n"), "_x"), 256))).withColumn("_short", F.substring("_digest", 1, 4))

@@ -195,6 +195,13 @@ def url_brute(url, rules, default="allow"):
     return host, path, best and best[3], best[4] if best else default
 
 
+def test_hosts_of_many_labels(spark):
+    urls = ["http://" + "a." * 50_000 + "example.org/es/x", "http://" + "." * 50_000, "http://a..example.org/es/", "http://org./x", "http://example.org" + ".b" * 20_000]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), url_filter.rules_frame(spark)).collect()}
+    assert got == {i: url_brute(u, url_filter.RULES)[2:] for i, u in enumerate(urls)}
+
+
+
 @pytest.mark.parametrize("limit", [0, 1000])
 def test_url_filter(spark, limit):
     hosts = ["example.org", "a.example.org", "notexample.org", "ORG", "x.com", "com", "", "a..org", "b.de"]
