@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 from collections import Counter
@@ -127,3 +128,39 @@ def test_packing_is_best_fit_over_all_open_bins(spark, seed, capacities):
         assert (name.setdefault(b, r.bin_id), offset, n) == (r.bin_id, r.bin_offset, r.n_tokens)
         assert r.capacity == min(c for c in capacities if c >= bins[b][1])
     assert len(set(name.values())) == len(bins)
+
+
+@pytest.mark.parametrize("seed,capacities,fixed", [(1, (8, 16, 32), 16.0), (2, (5, 12, 40, 100), 3.0), (3, (64,), 0.0), (4, (16, 24, 64, 100, 256), 1.0), (5, (10, 15, 21), 0.0)])
+def test_sizes_are_the_cheapest_of_all_plans(seed, capacities, fixed):
+    """Each plan is packed piece by piece; the planned one costs least."""
+    rng = random.Random(seed)
+    lengths = np.array([min(max(capacities), rng.choice([0, 1, 2, 3, 5, 8, 11, 13, 14, 21, 34, 90, 250])) for _ in range(120)])
+    kinds = [next(k for k, c in enumerate(capacities) if c >= n) for n in lengths]
+    cost = {}
+    for plan in itertools.product(*(range(k, len(capacities)) for k in range(len(capacities)))):
+        bins = []
+        for n, k in sorted(zip(lengths.tolist(), kinds, strict=True), reverse=True):
+            fits = [(room - used, b) for b, (room, used) in enumerate(bins) if room - used >= n and room > used]
+            if fits:
+                bins[min(fits)[1]][1] += n
+            else:
+                bins.append([capacities[plan[k]], n])
+        cost[plan] = sum(min(c for c in capacities if c >= used) + fixed for _, used in bins)
+    assert cost[tuple(packing.plan_sizes(lengths, capacities, fixed).tolist())] == min(cost.values())
+    alone = cost[tuple(packing.plan_sizes(lengths, capacities, fixed, most=0).tolist())]
+    assert min(cost.values()) <= alone <= cost[tuple(range(len(capacities)))]
+    held = packing.pack(lengths, capacities, fixed)
+    assert sum({b: c + fixed for b, c in zip(held[0].tolist(), held[2].tolist(), strict=True)}.values()) == min(cost.values())
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_rows_of_one_id_are_dealt_over_groups(spark, hot):
+    rows = [(hot, 1 + i % 40) for i in range(2_000)] + [(i, 5) for i in range(100, 300)]
+    out = packing.best_fit(spark.createDataFrame(rows, "doc_id long, n int"), F.col("n"), group_rows=100).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in out) == Counter(rows)
+    groups = Counter(r.group_id for r in out)
+    assert len(groups) == 22 and max(groups.values()) < 200
+    used = Counter()
+    for r in out:
+        used[r.bin_id] += r.n_tokens
+    assert all(r.capacity == min(c for c in packing.CAPACITIES if c >= used[r.bin_id]) for r in out)
