@@ -15,11 +15,11 @@ from .common import mix, pieces, span_hashes, stash, utf8
 
 @dataclass(frozen=True)
 class Model:
-    """buckets: size of the hashed feature space. target_rows: at most so many labelled rows, those with the smallest hashed ids, fit the target model. temperature: of the Gumbel noise against the mean log ratio of an n-gram. share: kept part of all documents; None: the part of good ones among the labelled. seed: of the noise."""
+    """buckets: size of the hashed feature space. target_rows: at most so many labelled rows, those with the smallest hashed ids, fit the target model. temperature: of the Gumbel noise; 1 samples in proportion to the likelihood ratio. share: kept part of all documents; None: the part of good ones among the labelled. seed: of the noise."""
 
     buckets: int = 1 << 16
     target_rows: int = 200_000
-    temperature: float = 0.02
+    temperature: float = 1.0
     smoothing: float = 1.0
     share: float | None = None
     seed: int = 7
@@ -100,12 +100,11 @@ def kth_largest(scores: DataFrame, k: int, fine: int = 4096) -> tuple[float, int
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model = Model()) -> DataFrame:
-    """One row per row of docs: id, n_grams, log_ratio (mean over the text's n-grams), score (with Gumbel noise), kept.
+    """One row per row of docs: id, n_grams, log_ratio (summed over the text's n-grams), score (with Gumbel noise), kept.
 
     Features are words and adjacent pairs hashed into `buckets`. The raw model is fitted on every document, the target model on
-    those labelled good (bounded, see Model); log_ratio is the mean of log(target / raw), not the sum, whose size would follow a text's
-    length and leave nothing to the noise. Gumbel noise that depends on
-    id and seed makes the k largest scores a sample without replacement in proportion to the exponential of log_ratio / temperature.
+    those labelled good (bounded, see Model); log_ratio is the log of the text's likelihood under the target model over that under the
+    raw one, the sum of log(target / raw). Gumbel noise that depends on id and seed makes the k largest scores a sample without replacement in proportion to the exponential of log_ratio / temperature.
     k is the share of all rows, rounded up. Only models, of fixed size, and histogram counts pass through the driver.
 
     Null or blank text has log_ratio 0 and no n-grams. A null id gets the noise of its own hash; rows that repeat have equal
@@ -139,7 +138,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 bucket, row = ngram_buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], buckets)
                 n[a:b] += np.bincount(row, minlength=b - a)
                 total[a:b] += np.bincount(row, weights=ratio[bucket].astype(np.float64), minlength=b - a)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.round(total / np.maximum(n, 1), 9))], names=["id", "n_grams", "log_ratio"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.round(total, 9))], names=["id", "n_grams", "log_ratio"])
 
     rows = base.mapInArrow(score, f"id {dict(base.dtypes)['id']}, n_grams long, log_ratio double")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(model.seed), "id"), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
