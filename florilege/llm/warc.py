@@ -6,8 +6,10 @@ import base64
 import gzip
 import hashlib
 import html as entities
+import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -85,18 +87,100 @@ def serialise(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return CRLF.join(head) + CRLF * 2 + block + CRLF * 2
 
 
+#: The names that derive() looks for, as the standard spells them; in archives they may be in any case of letters.
+NAMES = {n.lower(): n for n in ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "WARC-Payload-Digest", "WARC-Block-Digest", "Content-Length", "Content-Type")}
+
+
+def _headers(lines: list[str]) -> dict[str, str]:
+    """Values by name. A line that starts with white space goes on with the one before; a line without a colon is left out."""
+    out: dict[str, str] = {}
+    name = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name is not None:
+            out[name] = f"{out[name]} {line.strip()}".strip()
+            continue
+        key, colon, value = line.partition(":")
+        if colon:
+            name = NAMES.get(key.strip().lower(), key.strip())
+            out[name] = value.strip()
+    return out
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of data."""
-    at = 0
-    while at < len(data):
-        end = data.index(CRLF * 2, at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
+    """(headers, block) of each record of a WARC file, plain or gzipped, one at a time: what is unpacked isn't held. Bytes that are no whole record raise one of DAMAGE."""
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    while first := stream.readline():
+        if not first.strip():  # the lines that end a record
+            continue
+        if not first.startswith(b"WARC/"):
+            raise ValueError("no record where one should start")
+        lines = []
+        while line := stream.readline().rstrip(b"\r\n"):
+            lines.append(line.decode("utf-8", "replace"))
+        headers = _headers(lines)
+        if not re.fullmatch("[0-9]{1,18}", headers.get("Content-Length", "")):
+            raise ValueError("a record without a length")
         n = int(headers["Content-Length"])
-        yield headers, data[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
+        block = stream.read(n)
+        if len(block) < n:
+            raise ValueError("a record that ends too early")
+        yield headers, block
+
+
+#: What parse() raises on bytes that are no whole record.
+DAMAGE = (ValueError, EOFError, OSError, zlib.error)
+
+_chunked = re.compile(rb"^transfer-encoding[ \t]*:[^\r\n]*\bchunked", re.I | re.M)
+_coded = re.compile(rb"^content-encoding[ \t]*:([^\r\n]*)", re.I | re.M)
+_charset = re.compile(rb"^content-type[ \t]*:[^\r\n]*\bcharset[ \t]*=[ \t]*[\"']?([\w.:-]+)", re.I | re.M)
+_chunk = re.compile(rb"([0-9A-Fa-f]{1,15})[^\r\n]*\r\n")
+
+
+def _joined(body: bytes) -> bytes:
+    """The chunks of a body joined; the body itself where it isn't made of chunks, as when they were joined before it was stored."""
+    out, at = [], 0
+    while at < len(body) and (m := _chunk.match(body, at)):
+        n = int(m[1], 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[m.end() : m.end() + n])
+        at = m.end() + n + 2
+    return b"".join(out) if at >= len(body) else body
+
+
+def _inflated(body: bytes, coding: str) -> bytes:
+    """The body without its gzip or deflate coding, as far as it can be read; nothing where the coding is another."""
+    if coding in ("", "identity"):
+        return body
+    if coding not in ("gzip", "x-gzip", "deflate"):
+        return b""
+    out = []
+    while body:
+        plain = coding == "deflate" and (len(body) < 2 or body[0] & 15 != 8 or (body[0] << 8 | body[1]) % 31)
+        reader, at = zlib.decompressobj(-15 if plain else 47), 0
+        try:
+            while at < len(body) and not reader.eof:
+                out.append(reader.decompress(body[at : at + 65_536]))
+                at += 65_536
+        except zlib.error:
+            break
+        body = reader.unused_data + body[at:] if reader.eof else b""
+    return b"".join(out)
+
+
+def page_text(http: bytes, body: bytes) -> str:
+    """The page of an HTTP message: chunks joined, codings undone from the last on, decoded by the stated character set, else as UTF-8."""
+    if _chunked.search(http):
+        body = _joined(body)
+    if m := _coded.search(http):
+        for coding in reversed(m[1].decode("latin-1").lower().split(",")):
+            body = _inflated(body, coding.strip())
+    if m := _charset.search(http):
+        try:
+            return body.decode(m[1].decode("ascii"), "replace")
+        except (LookupError, ValueError):  # no such set, or none for text
+            pass
+    return body.decode("utf-8", "replace")
 
 
 def response(key: str, url: str | None, page: str | None, date: str) -> tuple[list[tuple[str, str]], bytes]:
@@ -110,10 +194,14 @@ def response(key: str, url: str | None, page: str | None, date: str) -> tuple[li
 
 
 def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
-    """The metadata record and the conversion record of a response record; both refer to it and carry its headers."""
+    """The metadata record and the conversion record of a response record; both refer to it and carry its headers.
+
+    A source without a target counts as urn:unknown, one without a date as of 1970, one without an id is named by its digest.
+    """
     source = dict(headers)
     http, _, body = block.partition(CRLF * 2)
-    page = body.decode("utf-8", "replace")
+    page = page_text(http, body)
+    origin, date = source.get("WARC-Record-ID") or record_id("unnamed", digest(block)), source.get("WARC-Date") or "1970-01-01T00:00:00Z"
     text = plain_text(page)
     tags = _tags(page)
     title = (m := _title.search(tags)) and (end := _ends["title"].search(tags, m.end())) and tags[m.end() : end.start()]
@@ -132,8 +220,8 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tupl
         out.append(
             (
                 [
-                    ("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, source["WARC-Record-ID"])), ("WARC-Refers-To", source["WARC-Record-ID"]), ("WARC-Target-URI", source["WARC-Target-URI"]),
-                    ("WARC-Date", source["WARC-Date"]), ("WARC-Refers-To-Date", source["WARC-Date"]), ("WARC-Block-Digest", digest(new)), ("Content-Type", mime), *((f"X-{k}", v) for k, v in kept),
+                    ("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, origin)), ("WARC-Refers-To", origin), ("WARC-Target-URI", source.get("WARC-Target-URI") or "urn:unknown"),
+                    ("WARC-Date", date), ("WARC-Refers-To-Date", date), ("WARC-Block-Digest", digest(new)), ("Content-Type", mime), *((f"X-{k}", v) for k, v in kept),
                 ],
                 new,
             )
@@ -141,21 +229,30 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tupl
     return out
 
 
-def archive_derivatives(archives: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+def archive_derivatives(archives: DataFrame, path_col: str = "path", content_col: str = "content", damaged: str = "report") -> DataFrame:
     """(path, warc_type, record_id, refers_to, record) of the metadata and conversion records of each response record of whole WARC files, plain or gzipped, as spark.read.format("binaryFile") gives them.
 
-    A file is held in one task, as its format has it. Other records give nothing; null or empty content neither; bytes that are no record are an error.
+    A file is held in one task as it is stored, and of what it unpacks to one record. Other records give nothing; null or empty content neither.
+    Where bytes are no whole record the file's reading ends: with a row of warc_type `damaged`, whose record states why, or, with
+    damaged="raise", with an error.
     """
+    if damaged not in ("report", "raise"):
+        raise ValueError(f"damaged: {damaged}")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", "warc_type", "record_id", "refers_to", "record"]
         for batch in batches:
             for path, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = gzip.decompress(data) if data and data[:2] == b"\x1f\x8b" else data or b""
-                for headers, block in parse(data):
-                    if headers.get("WARC-Type") == "response":
-                        made = [(dict(h), serialise(h, new)) for h, new in derive(list(headers.items()), block)]
-                        yield pa.RecordBatch.from_arrays([pa.array([path] * 2), *(pa.array([h[k] for h, _ in made]) for k in ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To")), pa.array([r for _, r in made], pa.binary())], names=names)
+                try:
+                    for headers, block in parse(data or b""):
+                        if headers.get("WARC-Type", "").lower() == "response":
+                            made = [(dict(h), serialise(h, new)) for h, new in derive(list(headers.items()), block)]
+                            yield pa.RecordBatch.from_arrays([pa.array([path] * 2), *(pa.array([h[k] for h, _ in made]) for k in ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To")), pa.array([r for _, r in made], pa.binary())], names=names)
+                except DAMAGE as e:
+                    if damaged == "raise":
+                        raise
+                    none = pa.array([None], pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array(["damaged"]), none, none, pa.array([str(e).encode()], pa.binary())], names=names)
 
     return archives.select(F.col(path_col).cast("string").alias("path"), F.col(content_col).alias("content")).mapInArrow(build, "path string, warc_type string, record_id string, refers_to string, record binary")
 

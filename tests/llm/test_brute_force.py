@@ -1,10 +1,12 @@
 """Whole results of the operators without SQL against plain recomputation: shards, WARC records, importance scores, packing."""
 
 import base64
+import gzip
 import hashlib
 import itertools
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -164,3 +166,52 @@ def test_rows_of_one_id_are_dealt_over_groups(spark, hot):
     for r in out:
         used[r.bin_id] += r.n_tokens
     assert all(r.capacity == min(c for c in packing.CAPACITIES if c >= used[r.bin_id]) for r in out)
+
+
+def stored(headers, block, end=b"\r\n"):
+    return end.join([b"WARC/1.0", *headers, b"Content-Length: %d" % len(block)]) + end * 2 + block + end * 2
+
+
+def test_legal_headers_and_codings_of_archives(spark):
+    page = "<html><title>Caf\u00e9</title><p>d\u00e9j\u00e0 vu</p></html>"
+    raw = page.encode("latin-1")
+    squeezed = gzip.compress(raw)
+    chunks = b"".join(b"%x;x=y\r\n%b\r\n" % (len(squeezed[i : i + 7]), squeezed[i : i + 7]) for i in range(0, len(squeezed), 7)) + b"0\r\n\r\n"
+    kinds = {
+        "plain": (b"Content-Type: text/html; charset=ISO-8859-1", raw),
+        "gzip": (b"content-encoding:gzip\r\nContent-Type: text/html;charset=\"latin-1\"", squeezed),
+        "two members": (b"Content-Encoding: x-gzip\r\nContent-Type: text/html; charset=latin-1", gzip.compress(raw[:20]) + gzip.compress(raw[20:])),
+        "chunked": (b"TRANSFER-ENCODING: gzip, chunked\r\nContent-Encoding: gzip\r\nContent-Type: x; charset=latin-1", chunks),
+        "joined before": (b"Transfer-Encoding: chunked", page.encode()),
+        "deflate": (b"Content-Encoding: deflate", zlib.compress(page.encode())),
+        "raw deflate": (b"Content-Encoding: deflate", zlib.compress(page.encode())[2:-4]),
+        "both": (b"Content-Encoding: deflate, gzip", gzip.compress(zlib.compress(page.encode()))),
+        "no such set": (b"Content-Type: text/html; charset=klingon", page.encode()),
+        "no set for text": (b"Content-Type: text/html; charset=hex", page.encode()),
+        "other coding": (b"Content-Encoding: own", squeezed),
+    }
+    data = b""
+    for i, (name, (http, body)) in enumerate(kinds.items()):
+        block = b"HTTP/1.1 200 OK\r\n" + http + b"\r\n\r\n" + body
+        headers = [b"warc-type:Response", b"WARC-RECORD-ID:<urn:%d>" % i, b"Warc-Target-Uri:  http://a/", b"\tand on", b"X-Note", b"warc-date: 2024"] if i else [b"WARC-Type:response"]
+        data += stored([b"WARC-Type: warcinfo"], b"about") + stored(headers, block, b"\n" if name == "deflate" else b"\r\n")
+    cut = data[: data.rindex(b"HTTP/1.1") + 9]
+    files = {"a": data, "b": gzip.compress(data), "cut": cut, "cut b": gzip.compress(data)[:-200], "none": b"\r\n\r\n", "other": b"<html>", "no length": b"WARC/1.0\r\nWARC-Type: response\r\n\r\n"}
+    frame = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "path string, content binary")
+    of = {}
+    for r in warc.archive_derivatives(frame).collect():
+        of.setdefault(r.path, []).append(r)
+    assert set(of) == set(files) - {"none"}
+    for path in ("a", "b"):
+        texts = [bytes(r.record).split(b"\r\n\r\n", 1)[1][:-4].decode() for r in of[path] if r.warc_type == "conversion"]
+        # Without its head, the page has its title in the metadata and its text in the conversion.
+        assert texts == [warc.plain_text(page)] * 10 + [""]
+        metas = [bytes(r.record).decode() for r in of[path] if r.warc_type == "metadata"]
+        assert all("title: Caf\u00e9\r\n" in m for m in metas[:10]) and "title: " not in metas[10]
+        assert [r.refers_to for r in of[path][2:]] == [f"<urn:{i}>" for i in range(1, 11) for _ in range(2)]
+        assert all("WARC-Target-URI: http://a/ and on\r\n" in m for m in metas[1:]) and "WARC-Target-URI: urn:unknown\r\n" in metas[0]
+    assert len(of["cut"]) == 21 and of["cut"][-1].warc_type == "damaged" and b"too early" in bytes(of["cut"][-1].record)
+    assert [r.record for r in of["cut"][:-1]] == [r.record for r in of["a"][:20]]
+    assert of["cut b"][-1].warc_type == of["other"][0].warc_type == of["no length"][0].warc_type == "damaged"
+    with pytest.raises(Exception, match="too early"):
+        warc.archive_derivatives(frame.filter("path = 'cut'"), damaged="raise").collect()
