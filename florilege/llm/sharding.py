@@ -34,13 +34,14 @@ class Tiers:
 class ShardStore:
     """A folder with data/ (immutable parquet shards) and manifests/ (one JSON document for each version).
 
-    Everything goes through Spark's own file systems, so the folder may be in any store that Spark reaches. A version is
-    committed by renaming a finished manifest to its final name, which fails if that name is taken: readers see the old
-    or the new version, never a mixture, and a job lost before the rename leaves only files that no manifest names.
+    Everything goes through Spark's own file systems. A version is committed by renaming a finished manifest to its final name,
+    which fails if that name is taken where a rename is atomic, as on HDFS and local disks: readers see the old
+    or the new version, never a mixture, and a job lost before the rename leaves only files that no manifest names. Object stores copy
+    instead: there one writer at a time may commit.
     """
 
-    def __init__(self, spark: SparkSession, root: str, tiers: Tiers = Tiers()):
-        self.spark, self.root, self.tiers = spark, root.rstrip("/"), tiers
+    def __init__(self, spark: SparkSession, root: str, tiers: Tiers = Tiers(), attempts: int = 1_000):
+        self.spark, self.root, self.tiers, self.attempts = spark, root.rstrip("/"), tiers, attempts
         self._jvm = spark._jvm
         self._conf = spark._jsc.hadoopConfiguration()
         self._fs = self._path(root).getFileSystem(self._conf)
@@ -96,8 +97,8 @@ class ShardStore:
         return self._change(set(), self._written(df), df.schema.json())
 
     def _change(self, gone: set[str], new: list[dict], schema: str) -> dict:
-        """Commit the removal of `gone` and the addition of `new`, again on the newest version where another writer was faster. Conflict if that one has dropped a shard of `gone`: its rows are in another shard by then."""
-        while True:
+        """Commit the removal of `gone` and the addition of `new`, again on the newest version where another writer was faster, `attempts` times. Conflict if that one has dropped a shard of `gone` (its rows are in another shard by then), or all attempts fail."""
+        for _ in range(self.attempts):
             base = self.manifest()
             if not gone <= {s["path"] for s in base["shards"]}:
                 raise Conflict(f"version {base['version']} no longer has the shards to be replaced")
@@ -105,6 +106,7 @@ class ShardStore:
                 return self.commit(base, [s for s in base["shards"] if s["path"] not in gone] + new, schema)
             except Conflict:
                 continue
+        raise Conflict(f"other writers were faster {self.attempts} times")
 
     def plan(self, shards: list[dict]) -> list[list[dict]]:
         """Runs to merge: within each tier, `fanout` files at a time in order of size, never over the target; a rest waits."""
