@@ -98,21 +98,22 @@ def detect(rows: DataFrame, id_col: str, prompt: str, name: str, make: Callable[
 
 
 def scored(rows: DataFrame, query: str, passage: str, make: Callable[[], Callable[[list[str]], list[float]]], batch: int = 16, words: int = 512) -> DataFrame:
-    """Rows with rerank_score, the sigmoid of what a pluggable model says of `query [SEP] passage`, `words` words at most; all 0 in a batch where it fails."""
-    from pyspark.sql import types as T
+    """Rows with rerank_score, the sigmoid of what a pluggable model says of `query [SEP] passage`, `words` words at most; all 0 in a batch where it fails. The model is made once a task."""
 
-    @F.pandas_udf(T.DoubleType())
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         import math
 
-        texts = [" ".join(f"{x or ''} [SEP] {y or ''}".split()[:words]) for x, y in zip(a, b, strict=True)]
-        out: list[float] = []
-        try:
-            model = make()
-            for i in range(0, len(texts), batch):
-                out += [1 / (1 + math.exp(-x)) for x in model(texts[i : i + batch])]
-        except Exception:  # a model that fails ranks nothing
-            out = [0.0] * len(texts)
-        return pd.Series(out)
+        model = None
+        for a, b in batches:
+            texts = [" ".join(f"{x or ''} [SEP] {y or ''}".split()[:words]) for x, y in zip(a, b, strict=True)]
+            out: list[float] = []
+            try:
+                model = model or make()
+                for i in range(0, len(texts), batch):
+                    out += [1 / (1 + math.exp(-x)) for x in model(texts[i : i + batch])]
+            except Exception:  # a model that fails ranks nothing
+                out = [0.0] * len(texts)
+            yield pd.Series(out)
 
     return rows.withColumn("rerank_score", score(F.col(query), F.col(passage)))

@@ -17,15 +17,22 @@ LEAST_PART = 5
 def narration_candidates(spans: DataFrame, span_id: str, key: str, corpus: DataFrame, passage_id: str, passage_key: str, enough: int = 1000, most: int = 500) -> DataFrame:
     """(span, passage): passages that share a word of three characters, the words taken in order until over `enough` passages are found; the first `most` by id.
 
-    Of spans over 20 words the first 15 words are taken. The stop is told from where each passage is first met, without a loop.
+    Of spans over 20 words the first 15 words are taken. The stop is told from where each passage is first met, without a loop. A word that is in
+    over `enough` passages ends its span's search by itself, so no later word is looked up, and of its passages the first `most` by id are all that
+    can be among the span's: a span meets at most `enough` passages a word and once `most`, however common its words are.
     """
     w = words(F.col(key))
     taken = F.when(F.size(w) > 20, F.slice(w, 1, 15)).otherwise(w)
     q = spans.select(span_id, F.posexplode(taken).alias("_at", "token")).filter(F.length("token") >= 3)
     c = corpus.select(passage_id, F.explode(F.array_distinct(words(F.col(passage_key), 3))).alias("token"))
-    met = q.join(c, "token").groupBy(span_id, passage_id).agg(F.min("_at").alias("_at"))
+    often = c.groupBy("token").agg(F.count_distinct(passage_id).alias("_df")).filter(F.col("_df") > enough).select("token", F.lit(True).alias("_often"))
+    q = q.join(often, "token", "left").withColumn("_end", F.min(F.when(F.col("_often"), F.col("_at"))).over(Window.partitionBy(span_id))).filter("_end IS NULL OR _at <= _end")
+    heads = c.join(often, "token", "left_semi").withColumn("_r", F.dense_rank().over(Window.partitionBy("token").orderBy(passage_id))).filter(F.col("_r") <= most).select("token", passage_id)
+    seldom = q.filter("_often IS NULL").join(c.join(often, "token", "left_anti"), "token").select(span_id, passage_id, "_at")
+    met = seldom.groupBy(span_id, passage_id).agg(F.min("_at").alias("_at"))
     upto = met.groupBy(span_id, "_at").agg(F.count("*").alias("_n")).withColumn("_n", F.sum("_n").over(Window.partitionBy(span_id).orderBy("_at")))
-    stop = upto.filter(F.col("_n") > enough).groupBy(span_id).agg(F.min("_at").alias("_stop"))
+    stop = upto.filter(F.col("_n") > enough).select(span_id, F.col("_at").alias("_stop")).union(q.filter("_often").select(span_id, "_at")).groupBy(span_id).agg(F.min("_stop").alias("_stop"))
+    met = met.union(q.filter("_often").join(heads, "token").select(span_id, passage_id, "_at")).groupBy(span_id, passage_id).agg(F.min("_at").alias("_at"))
     met = met.join(stop, span_id, "left").filter("_stop IS NULL OR _at <= _stop")
     place = F.row_number().over(Window.partitionBy(span_id).orderBy(passage_id))
     return met.withColumn("_r", place).filter(F.col("_r") <= most).select(span_id, passage_id)

@@ -57,22 +57,33 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def body_slice(documents: DataFrame, question: Column, start: Column, end: Column, xml_col: str = "xml") -> Column:
-    """The slice of the Body of the Question whose ID attribute is `question` in a document; null where there is none or the XML is broken."""
-    body = _body(F.col(xml_col), question)
+    """The slice of the Body of the Question whose ID attribute is `question` in a document; null where there is none or the XML is broken. For one slice a document: body_slices() parses each once."""
+    return _slice(F.try_element_at(_bodies(F.col(xml_col)), question), start, end)
+
+
+def body_slices(spans: DataFrame, documents: DataFrame, doc_id: str, question: str, start: str, end: str, xml_col: str = "xml") -> DataFrame:
+    """Spans with `slice`, as body_slice() gives it: each document is parsed once, and spans meet its Bodies by document and question."""
+    bodies = documents.select(doc_id, F.explode(_bodies(F.col(xml_col))).alias(question, "_body"))
+    return spans.join(bodies, [doc_id, question], "left").withColumn("slice", _slice(F.col("_body"), F.col(start), F.col(end))).select(*spans.columns, "slice")
+
+
+def _slice(body: Column, start: Column, end: Column) -> Column:
     return F.nullif(F.substr(body, start + 1, end - start), F.lit(""))
 
 
-@F.pandas_udf(T.StringType())
-def _body(xml: pd.Series, question: pd.Series) -> pd.Series:
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def _bodies(xml: pd.Series) -> pd.Series:
+    """The Body of each Question by its ID, the first of equal ones; null for a text that isn't XML."""
     from xml.etree import ElementTree
 
-    def one(x: str | None, q: str | None) -> str | None:
+    def every(x: str | None) -> dict[str, str | None] | None:
         try:
-            return next((found.findtext(".//Body") for found in ElementTree.fromstring(x).iter("Question") if found.get("ID") == q), None)
+            found = [(q.get("ID"), q.findtext(".//Body")) for q in ElementTree.fromstring(x).iter("Question")]
         except (ElementTree.ParseError, TypeError):
             return None
+        return {k: body for k, body in reversed(found) if k is not None}
 
-    return pd.Series([one(x, q) for x, q in zip(xml, question, strict=True)])
+    return pd.Series([every(x) for x in xml], dtype=object)
 
 
 def write_index(postings: DataFrame, statistics: DataFrame, path: str) -> None:

@@ -1,6 +1,7 @@
 """Operators of verification by parts, correction, answers, scores and sources: rules against plain Python and hand-made cases."""
 
 import json
+import random
 import re
 from difflib import SequenceMatcher
 
@@ -187,6 +188,12 @@ def test_sources_of_other_shapes(spark, tmp_path):
     xml = "<r><Question ID='7'><Body>hello world</Body></Question></r>"
     rows = spark.createDataFrame([(xml, "7"), (xml, "8"), ("<r>", "7"), (None, "7")], "xml string, q string")
     assert [r.x for r in rows.select(io.body_slice(rows, F.col("q"), F.lit(0), F.lit(5)).alias("x")).collect()] == ["hello", None, None, None]
+    xml = '<D><Question ID="1"><Body>hello there</Body></Question><Question ID="1"><Body>late</Body></Question><Question ID="2"><P><Body>b</Body></P></Question><Question ID="3"/><Question><Body>x</Body></Question></D>'
+    documents = spark.createDataFrame([("a", xml), ("b", "<D>"), ("c", None)], "d string, xml string")
+    spans = spark.createDataFrame([("a", "1", 6, 11), ("a", "1", 0, 5), ("a", "1", 0, 5), ("a", "2", 0, 1), ("a", "2", 5, 9), ("a", "3", 0, 1), ("a", "4", 0, 1), ("a", None, 0, 1), ("b", "1", 0, 1), ("c", "1", 0, 1), (None, "1", 0, 1)], "d string, q string, s int, e int")
+    got = [(r.d, r.q, r.s, r.slice) for r in io.body_slices(spans, documents, "d", "q", "s", "e").collect()]
+    want = {("a", "1", 6): "there", ("a", "1", 0): "hello", ("a", "2", 0): "b"}
+    assert len(got) == 11 and all(x == want.get((d, q, s)) for d, q, s, x in got)
     io.write_csv(spark.createDataFrame([("a,b", 'c"d\ne')], "x string, y string"), f"{tmp_path}/t.csv")
     assert [tuple(r) for r in io.read_csv(spark, f"{tmp_path}/t.csv", "x string, y string").collect()] == [("a,b", 'c"d\ne')]
     assert io.read_first(spark, "x string, y string", f"{tmp_path}/no.csv", f"{tmp_path}/t.csv").columns == ["x", "y"]
@@ -215,3 +222,23 @@ def test_places_of_a_part_that_overlaps_itself(spark):
     text = "ababa" * 40
     got = one(spark, {"t": text, "p": "aba"}, spans.occurrences(F.col("t"), F.col("p")).alias("x")).x
     assert got == [m.start() for m in re.finditer("(?=aba)", text)]
+
+
+@pytest.mark.parametrize("enough,most", [(3, 4), (8, 3), (20, 50), (1, 1), (1000, 500)])
+def test_common_words_end_the_search_for_narrations(spark, enough, most):
+    """Against the loop: words in order until over `enough` passages are found, then the first `most`."""
+    rng = random.Random(enough)
+    word = lambda: rng.choice(["the"] * 6 + ["and"] * 4 + ["ab"] + [f"w{i:02d}" for i in range(40)])
+    corpus = [(i, " ".join(word() for _ in range(rng.randrange(0, 9)))) for i in range(80)] + [(3, "the w01"), (3, "the w01"), (200, ""), (201, None)]
+    spans = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 3, 8, 30])))) for i in range(60)] + [(100, None), (101, "")]
+    want = set()
+    for i, s in spans:
+        w, found = (s or "").split(), set()
+        for x in w[:15] if len(w) > 20 else w:
+            found |= {p for p, t in corpus if len(x) >= 3 and x in (t or "").split()}
+            if len(found) > enough:
+                break
+        want |= {(i, p) for p in sorted(found)[:most]}
+    q, c = spark.createDataFrame(spans, "i long, s string"), spark.createDataFrame(corpus, "p long, t string")
+    got = [tuple(r) for r in parts.narration_candidates(q, "i", "s", c, "p", "t", enough, most).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
