@@ -135,6 +135,16 @@ def ngram_jaccard(a: Column, b: Column, weights: tuple[tuple[int, float], ...] =
     return total / sum(w for _, w in weights)
 
 
+def _each(rows: Iterator[tuple[str | None, str | None]], prepare, measure) -> pd.Series:
+    """measure(query, prepare(candidate)) of rows, 0 where either is null or empty; a candidate is prepared once for the rows of it that follow one another."""
+    out, last, held = [], None, None
+    for a, b in rows:
+        if b and b != last:
+            last, held = b, prepare(b)
+        out.append(measure(a, held) if a and b else 0.0)
+    return pd.Series(out, dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def phrase_score(query: pd.Series, candidate: pd.Series) -> pd.Series:
     """M4: 0.6 * longest run of equal words / words + 0.4 * min(1, all runs / words), runs from every pair of places."""
@@ -158,29 +168,88 @@ def phrase_score(query: pd.Series, candidate: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(query, candidate, strict=True)])
 
 
-def containment(query: Column, candidate: Column) -> Column:
+def characters(text: Column) -> Column:
+    """The different characters of a text."""
+    return F.array_distinct(F.split(text, ""))
+
+
+def kinds(text: Column) -> Column:
+    """The different words of a text, in the order of their first places."""
+    return F.array_distinct(words(text))
+
+
+def containment(query: Column, candidate: Column, chars: Column | None = None, held: Column | None = None) -> Column:
     """M5: 0.3 * shared characters + 0.4 * shared words + 0.3 * substring, each a share of the query's; substring is 1 where the candidate holds the
-    query, 0.8 where the query holds the candidate, else the longest common substring, which alone needs Python."""
-    chars = lambda c: F.array_distinct(F.split(c, ""))
-    kinds = lambda c: F.array_distinct(words(c))
-    share = lambda f: F.coalesce(F.try_divide(F.size(F.array_intersect(f(query), f(candidate))), F.size(f(query))), F.lit(0.0))
+    query, 0.8 where the query holds the candidate, else the longest common substring, which alone needs Python. chars, held: the candidate's
+    characters() and kinds(), where they have been made for several pairs."""
+    share = lambda f, made: F.coalesce(F.try_divide(F.size(F.array_intersect(made, f(query))), F.size(f(query))), F.lit(0.0))
     apart = ~F.contains(candidate, query) & ~F.contains(query, candidate)
     common = longest_common_substring(query, F.when(apart, candidate))  # null: 0 without a comparison
     inside = F.when(F.contains(candidate, query), 1.0).when(F.contains(query, candidate), 0.8).otherwise(common)
-    return 0.3 * share(chars) + 0.4 * share(kinds) + 0.3 * inside
+    return 0.3 * share(characters, characters(candidate) if chars is None else chars) + 0.4 * share(kinds, kinds(candidate) if held is None else held) + 0.3 * inside
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def longest_common(query: np.ndarray, text: np.ndarray) -> int:
+    """Length of the longest common substring of two texts of code points.
+
+    Places of the text are numbered by which of the query's substrings of 1, 2, 4, ... characters begins there, 0 for none, each length from the pairs of numbers
+    of the one before, until none is left; the lengths between are tried from there. A number stands for a substring itself, not for a hash.
+    """
+
+    def joined(q: np.ndarray, t: np.ndarray, q_more: np.ndarray, t_more: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the substrings that those of q and t, `step` characters long, make with those of q_more and t_more behind them."""
+        wide = int(q_more.max()) + 1
+        q = q[: max(0, len(q_more) - step)] * wide + q_more[step : step + len(q)]
+        table = np.zeros((int(q.max()) + 1 if len(q) else 1), np.int64)
+        kinds = np.unique(q)
+        table[kinds] = np.arange(1, len(kinds) + 1)
+        n = min(len(t), max(0, len(t_more) - step))
+        t, more = t[:n], t_more[step : step + n]
+        out = np.zeros(n, np.int64)
+        at = np.flatnonzero((t > 0) & (more > 0))
+        key = t[at] * wide + more[at]
+        out[at] = np.where(key < len(table), table[np.minimum(key, len(table) - 1)], 0)
+        return table[q], out
+
+    kinds, past = np.unique(query), int(query.max()) + 1
+    number = np.zeros(past + 1, np.int64)
+    number[kinds] = np.arange(1, len(kinds) + 1)
+    levels = [(number[query], number[np.minimum(text, past)])]
+    if not levels[0][1].any():
+        return 0
+    while True:
+        q, t = levels[-1]
+        size = 1 << len(levels) - 1
+        if 2 * size > min(len(query), len(text)):
+            break
+        q, t = joined(q, t, q, t, size)
+        if not t.any():
+            break
+        levels.append((q, t))
+    best = 1 << len(levels) - 1
+    now = levels.pop()
+    while levels:
+        q, t = levels.pop()
+        if best + (1 << len(levels)) <= min(len(query), len(text)):
+            longer = joined(*now, q, t, best)
+            if longer[1].any():
+                now, best = longer, best + (1 << len(levels))
+    return best
 
 
 @F.pandas_udf(T.DoubleType())
 def longest_common_substring(query: pd.Series, candidate: pd.Series) -> pd.Series:
     """M5's third term where neither contains the other: longest common substring of at least 3 characters over the query's length."""
 
-    def one(a: str | None, b: str | None) -> float:
-        if not a or not b:
-            return 0.0
-        k = SequenceMatcher(None, a, b, False).find_longest_match().size
+    def one(a: str, b: np.ndarray) -> float:
+        k = longest_common(_codes(a), b)
         return k / len(a) if k >= 3 else 0.0
 
-    return pd.Series([one(a, b) for a, b in zip(query, candidate, strict=True)])
+    return _each(zip(query, candidate, strict=True), _codes, one)
 
 
 def positional(query: Column, candidate: Column) -> Column:
