@@ -145,27 +145,42 @@ def _each(rows: Iterator[tuple[str | None, str | None]], prepare, measure) -> pd
     return pd.Series(out, dtype="float64")
 
 
+class Places:
+    """The places of each word of a text."""
+
+    def __init__(self, text: str):
+        self.known: dict[str, int] = {}
+        ids = np.array([self.known.setdefault(w, len(self.known)) for w in text.split()], np.int64)
+        self.n, self.order = len(ids), np.argsort(ids, kind="stable")
+        self.begin = np.concatenate(([0], np.cumsum(np.bincount(ids, minlength=len(self.known)))))
+
+    def of(self, word: str) -> np.ndarray:
+        k = self.known.get(word)
+        return self.order[:0] if k is None else self.order[self.begin[k] : self.begin[k + 1]]
+
+
+def _runs(query: str, places: Places) -> float:
+    """M4 of a query. From the query's last word back: the run from a pair of places is one longer than that from the next pair, or 0 where words differ."""
+    x = query.split()
+    if not x or not places.n:
+        return 0.0
+    longest = total = 0
+    run, after = np.zeros((2, places.n + 1), np.int64)
+    before = places.order[:0]
+    for w in reversed(x):
+        at = places.of(w)
+        run[at] = found = after[at + 1] + 1
+        if len(at):
+            longest, total = max(longest, int(found.max())), total + int(found.sum())
+        after[before] = 0
+        run, after, before = after, run, at
+    return 0.6 * longest / len(x) + 0.4 * min(total / len(x), 1.0)
+
+
 @F.pandas_udf(T.DoubleType())
 def phrase_score(query: pd.Series, candidate: pd.Series) -> pd.Series:
     """M4: 0.6 * longest run of equal words / words + 0.4 * min(1, all runs / words), runs from every pair of places."""
-
-    def one(a: str | None, b: str | None) -> float:
-        x, y = (a or "").split(), (b or "").split()
-        if not x or not y:
-            return 0.0
-        longest = total = 0
-        places: dict[str, list[int]] = {}
-        for j, w in enumerate(y):
-            places.setdefault(w, []).append(j)
-        for i, w in enumerate(x):
-            for j in places.get(w, ()):
-                k = 0
-                while i + k < len(x) and j + k < len(y) and x[i + k] == y[j + k]:
-                    k += 1
-                longest, total = max(longest, k), total + k
-        return 0.6 * longest / len(x) + 0.4 * min(total / len(x), 1.0)
-
-    return pd.Series([one(a, b) for a, b in zip(query, candidate, strict=True)])
+    return _each(zip(query, candidate, strict=True), Places, _runs)
 
 
 def characters(text: Column) -> Column:
@@ -252,10 +267,10 @@ def longest_common_substring(query: pd.Series, candidate: pd.Series) -> pd.Serie
     return _each(zip(query, candidate, strict=True), _codes, one)
 
 
-def positional(query: Column, candidate: Column) -> Column:
-    """M6: 0.7 * share of query words found + 0.3 * share of adjacent found words in ascending first places."""
+def positional(query: Column, candidate: Column, held: Column | None = None) -> Column:
+    """M6: 0.7 * share of query words found + 0.3 * share of adjacent found words in ascending first places. held: the candidate's kinds(), whose order is that of first places."""
     x = words(query)
-    at = once(words(candidate), lambda y: F.filter(F.transform(x, lambda w: F.array_position(y, w)), lambda p: p > 0))
+    at = once(F.array_intersect(kinds(candidate) if held is None else held, x), lambda y: F.filter(F.transform(x, lambda w: F.array_position(y, w)), lambda p: p > 0))
     ordered = once(at, lambda a: F.size(F.filter(a, lambda p, i: (i > 0) & (p > F.get(a, i - 1)))))
     return 0.7 * F.coalesce(F.try_divide(F.size(at), F.size(x)), F.lit(0.0)) + 0.3 * F.coalesce(F.try_divide(ordered, F.size(at) - 1), F.lit(0.0))
 

@@ -43,3 +43,26 @@ def test_containment_with_what_was_made_of_the_text(spark):
     rows = [(a.replace("c", " "), b.replace("c", " ")) for a, b in texts(20, 30, 60)]
     plain, _ = scores(spark, rows, similarity.containment)
     assert scores(spark, rows, lambda a, b: similarity.containment(a, b, similarity.characters(b), similarity.kinds(b)))[0] == plain
+
+
+def test_runs_against_every_pair_of_places(spark):
+    def plain(x, y):
+        runs = [next(k for k in range(len(x) + 1) if i + k >= len(x) or j + k >= len(y) or x[i + k] != y[j + k]) for i in range(len(x)) for j in range(len(y))]
+        return 0.6 * max(runs) / len(x) + 0.4 * min(sum(runs) / len(x), 1.0)
+
+    rows = texts(25, 12, 25, " ")
+    got, _ = scores(spark, rows, similarity.phrase_score)
+    assert got == [pytest.approx(plain(a.split(), b.split())) for a, b in rows if a.split() and b.split()]
+
+
+def test_runs_of_one_word(spark):
+    got, seconds = scores(spark, [("a " * 400, "a " * 4000)] * 2, similarity.phrase_score)
+    assert got == [1.0, 1.0]
+    assert seconds < 8
+
+
+def test_first_places_are_those_of_the_text(spark):
+    rows = [("c a b", "b a b c a"), ("a a b", "x a y b a"), ("q", "a b"), ("b c", "c b b c")]
+    got, _ = scores(spark, rows, similarity.positional)
+    assert scores(spark, rows, lambda a, b: similarity.positional(a, b, similarity.kinds(b)))[0] == got
+    assert got == [pytest.approx(x) for x in (0.7 + 0.3 * 0 / 2, 0.7 + 0.3 * 1 / 2, 0.0, 0.7 + 0.3 * 0)]
