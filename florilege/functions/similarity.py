@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from itertools import repeat
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import once, word_ngrams, words
+from .tokens import once, words
 
 
 def sequence_ratio(query: Column, reference: Column, autojunk: bool = True) -> Column:
@@ -126,15 +127,6 @@ def near_texts(queries: DataFrame, query: str, texts: DataFrame, text_id: str, t
     return found
 
 
-def ngram_jaccard(a: Column, b: Column, weights: tuple[tuple[int, float], ...] = ((2, 0.3), (3, 0.4), (4, 0.3))) -> Column:
-    """M3: weighted Jaccard of word n-grams over the n for which the union isn't empty."""
-    total = F.lit(0.0)
-    for n, w in weights:
-        x, y = F.array_distinct(word_ngrams(a, n)), F.array_distinct(word_ngrams(b, n))
-        total = total + w * F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))), F.lit(0.0))
-    return total / sum(w for _, w in weights)
-
-
 def _each(rows: Iterator[tuple[str | None, str | None]], prepare, measure) -> pd.Series:
     """measure(query, prepare(candidate)) of rows, 0 where either is null or empty; a candidate is prepared once for the rows of it that follow one another."""
     out, last, held = [], None, None
@@ -145,6 +137,36 @@ def _each(rows: Iterator[tuple[str | None, str | None]], prepare, measure) -> pd
     return pd.Series(out, dtype="float64")
 
 
+_SEPARATE = re.compile(r"[\x1c-\x1f]")
+_BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def split_words(text: str) -> list[str]:
+    """Python takes four separators as blanks that Unicode, and words() with it, doesn't."""
+    return [w for w in _BLANKS.split(text) if w] if _SEPARATE.search(text) else text.split()
+
+
+def ngram_jaccard(a: Column, b: Column, weights: tuple[tuple[int, float], ...] = ((2, 0.3), (3, 0.4), (4, 0.3))) -> Column:
+    """M3: weighted Jaccard of word n-grams over the n for which the union isn't empty; a shorter text is its own n-gram. The n-grams of b are made once for the rows that follow one another."""
+
+    def grams(text: str) -> list[set[tuple[str, ...]]]:
+        w = split_words(text)
+        return [set(zip(*(w[i:] for i in range(n)), strict=False)) if len(w) >= n else {tuple(w)} if w else set() for n, _ in weights]
+
+    def score(query: str, held: list[set[tuple[str, ...]]]) -> float:
+        total = 0.0
+        for (_, w), x, y in zip(weights, grams(query), held, strict=True):
+            shared = len(x & y)
+            total += w * (shared / (len(x) + len(y) - shared) if x or y else 0.0)
+        return total / sum(w for _, w in weights)
+
+    @F.pandas_udf(T.DoubleType())
+    def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
+        return _each(zip(x, y, strict=True), grams, score)
+
+    return jaccard(a, b)
+
+
 class Places:
     """The places of each word of a text."""
 

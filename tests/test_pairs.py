@@ -66,3 +66,32 @@ def test_first_places_are_those_of_the_text(spark):
     got, _ = scores(spark, rows, similarity.positional)
     assert scores(spark, rows, lambda a, b: similarity.positional(a, b, similarity.kinds(b)))[0] == got
     assert got == [pytest.approx(x) for x in (0.7 + 0.3 * 0 / 2, 0.7 + 0.3 * 1 / 2, 0.0, 0.7 + 0.3 * 0)]
+
+
+def test_ngram_jaccard_against_sets_of_joined_words(spark):
+    def plain(a, b):
+        total = 0.0
+        for n, w in ((2, 0.3), (3, 0.4), (4, 0.3)):
+            x, y = ({" ".join(t[i : i + n]) for i in range(max(1, len(t) - n + 1))} if t else set() for t in (similarity.split_words(a), similarity.split_words(b)))
+            total += w * len(x & y) / len(x | y) if x | y else 0.0
+        return total
+
+    rows = [*texts(25, 12, 25, " "), ("a", "a"), ("", ""), ("a b", "a b c"), ("a\x1cb c d", "a b c d"), ("a\x1cb c", "a\x1cb c")]
+    got, _ = scores(spark, rows, similarity.ngram_jaccard)
+    assert got == [pytest.approx(plain(a, b)) for a, b in rows]
+    assert got[-1] == pytest.approx(1) and got[-2] < 1
+
+
+def test_ngrams_of_a_long_text_are_made_once(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    got, seconds = scores(spark, [(f"w{i} w{i + 1} w{i + 2} w{i + 3}", long) for i in range(60)], similarity.ngram_jaccard)
+    assert min(got) > 0
+    assert seconds < 8
+
+
+def test_words_are_those_of_spark(spark):
+    from florilege.functions.tokens import words
+
+    texts = [f"a{chr(c)}b" for c in [*range(0, 0x500), *range(0x1600, 0x1900), *range(0x2000, 0x2100), 0x3000, 0xFEFF]]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(words(F.col("t")).alias("w")).collect()
+    assert [r.w for r in got] == [similarity.split_words(t) for t in texts]
