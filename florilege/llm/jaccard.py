@@ -22,8 +22,8 @@ from .common import held_bytes, mix, pieces, plan_bytes, release, slight, stash,
 _U = np.uint64
 #: Low bits of an entry: the record relies on it; it lacks one shingle of its segment.
 _TRUSTED, _DELETED = 1, 2
-#: Input for each bucket of signatures. Beyond 2**20 buckets (4 TB of input) buckets grow instead.
-BUCKET_BYTES = 4 << 20
+#: Input for each bucket of signatures. Beyond 2**20 buckets (8 TB of input) buckets grow instead.
+BUCKET_BYTES = 8 << 20
 #: Shingles in a block of an open group.
 CELL = 500_000
 #: Groups of up to so many records are paired within their task; larger ones by stars and, where needed, block by block.
@@ -194,16 +194,19 @@ def entries(tokens: np.ndarray, offsets: np.ndarray, bands: Bands, band: np.ndar
 
 
 def sketch(tokens: np.ndarray, size: int) -> bytes:
-    """A byte for each of 2**k equal ranges of the universe, about two for three shingles: the sum of its shingles' bytes mod 256.
+    """Four bits for each of 2**k equal ranges of the universe, about two for three shingles, two ranges a byte: the sum of its shingles' numbers (1 to 15) mod 16.
 
-    Two sets differ in at least as many shingles as their sketches, folded to the same length, differ in bytes.
+    Two sets differ in at least as many shingles as their sketches, folded to the same length, differ in ranges.
     """
     k = max(3, int(size).bit_length() - 1)
-    return np.bincount((tokens >> _U(64 - k)).astype(np.int64), weights=((mix(tokens) & _U(255)) | _U(1)).astype(np.float64), minlength=1 << k).astype(np.int64).astype(np.uint8).tobytes()
+    sums = np.bincount((tokens >> _U(64 - k)).astype(np.int64), weights=(mix(tokens) % _U(15) + _U(1)).astype(np.float64), minlength=1 << k).astype(np.int64).astype(np.uint8) & 15
+    return (sums[::2] | sums[1::2] << 4).tobytes()
 
 
-def _fold(v: np.ndarray, width: int) -> np.ndarray:
-    return v.reshape(*v.shape[:-1], width, -1).sum(-1, dtype=np.uint8) if v.shape[-1] != width else v
+def _ranges(v: np.ndarray, width: int) -> np.ndarray:
+    """The numbers of `width` ranges of sketches, which lie along the last axis."""
+    v = np.stack((v & 15, v >> 4), -1).reshape(*v.shape[:-1], width, -1)
+    return v.sum(-1, dtype=np.uint8) & 15  # 256 is a multiple of 16
 
 
 def _may_link(n_a: np.ndarray, n_b: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
@@ -212,21 +215,28 @@ def _may_link(n_a: np.ndarray, n_b: np.ndarray, differ: np.ndarray, percent: int
 
 
 def _blob(sids: np.ndarray, sizes: np.ndarray, sig: np.ndarray, row: np.ndarray) -> bytes:
-    """Entries of one bucket: six bytes of signature, two of the record's place in the table of ids and sizes in front."""
-    used, place = np.unique(row, return_inverse=True)
-    head = np.array([len(used), len(sig)], np.int64).tobytes()
-    return b"".join((head, sids[used].tobytes(), sizes[used].astype(np.int32).tobytes(), (sig & _U(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((sig >> _U(32)) & _U(0xFFFF)).astype(np.uint16).tobytes(), place.astype(np.uint16).tobytes()))
+    """Entries of one bucket by record: a record's id, its size (two bytes if all fit) and the number of its entries (one, if all fit), then four bytes of each signature.
+
+    Half a million entries of a bucket agree by chance on 30 bits in about a hundred pairs, which verification drops.
+    """
+    order = np.argsort(row, kind="stable")
+    used, count = np.unique(row, return_counts=True)
+    sig, sizes = sig[order], sizes[used]
+    kinds = [np.uint16 if sizes.max() < 1 << 16 else np.int32, np.uint8 if count.max() < 1 << 8 else np.int32]
+    head = np.array([len(used), len(sig), *(np.dtype(k).itemsize for k in kinds)], np.int32).tobytes()
+    return b"".join((head, sids[used].tobytes(), sizes.astype(kinds[0]).tobytes(), count.astype(kinds[1]).tobytes(), (sig & _U(0xFFFFFFFF)).astype(np.uint32).tobytes()))
 
 
 def _unblob(data: bytes) -> tuple[np.ndarray, ...]:
-    k, n = np.frombuffer(data, np.int64, 2)
+    k, n, wide, many = np.frombuffer(data, np.int32, 4).tolist()
     at = 16
     parts = []
-    for kind, count in ((np.uint64, k), (np.int32, k), (np.uint32, n), (np.uint16, n), (np.uint16, n)):
+    for kind, count in ((np.uint64, k), (np.uint16 if wide == 2 else np.int32, k), (np.uint8 if many == 1 else np.int32, k), (np.uint32, n)):
         parts.append(np.frombuffer(data, kind, count, at))
         at += parts[-1].nbytes
-    sids, sizes, low, high, place = parts
-    return low.astype(np.uint64) | (high.astype(np.uint64) << _U(32)), sids[place], sizes[place]
+    sids, sizes, times, low = parts
+    place = np.repeat(np.arange(k), times)
+    return low.astype(np.uint64), sids[place], sizes[place].astype(np.int32)
 
 
 def group_pairs(sig: np.ndarray, sid: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
@@ -490,8 +500,8 @@ def jaccard_groups(
                 for pick in np.array_split(np.flatnonzero(width == w), max(1, int((width == w).sum()) * w // (8 << 20) + 1)):
                     for u, v in {(int(u), int(v)) for u, v in zip(ka[pick], kb[pick], strict=True)}:
                         i = pick[(ka[pick] == u) & (kb[pick] == v)]
-                        x = _fold(da[oa[i][:, None] + np.arange(u)], w)
-                        y = _fold(db[ob[i][:, None] + np.arange(v)], w)
+                        x = _ranges(da[oa[i][:, None] + np.arange(u)], 2 * w)
+                        y = _ranges(db[ob[i][:, None] + np.arange(v)], 2 * w)
                         ok[i] = _may_link(n_a[i], n_b[i], (x != y).sum(1), percent)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
 
@@ -509,10 +519,10 @@ def jaccard_groups(
             data, at = utf8(table.column("sketch"))
             sizes = np.diff(at)
             width = int(sizes.min())
-            cards = np.zeros((len(sizes), width), np.uint8)
+            cards = np.zeros((len(sizes), 2 * width), np.uint8)
             for w in np.unique(sizes).tolist():
                 i = np.flatnonzero(sizes == w)
-                cards[i] = _fold(data[at[i][:, None] + np.arange(w)], width)
+                cards[i] = _ranges(data[at[i][:, None] + np.arange(w)], 2 * width)
             first, twice = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("first", "twice"))
             hit = np.zeros(len(sizes), bool)
             for u, others in _partners(table.column("n").to_numpy().astype(np.int64), table.column("root").to_numpy(), first, bool(twice[0]), cards, percent):
@@ -530,6 +540,7 @@ def jaccard_groups(
 
     pairs = stash(pairs, "jaccard-pairs", size)
     likely = stash(brought(pairs, records.select("sid", "n", "sketch"), "n", "sketch").mapInArrow(sift, "a long, b long"), "jaccard-likely", held_bytes(records, pairs))
+    release(spark)
     both = brought(likely, fetch(ends(likely).select("sid"), likely), "text")
     links = stash(both.mapInArrow(verify, "a long, b long"), "jaccard-links")
     release(spark)
@@ -556,6 +567,7 @@ def jaccard_groups(
         if placed.limit(1).count():
             seen = placed.join(slight(records.select("sid", "n", "sketch"), records), "sid").select("p", "sid", "root", "first", "twice", "n", "sketch")
             seen = stash(seen.repartition("p").sortWithinPartitions("p").mapInArrow(glance, "p long, sid long, root long, first boolean, twice boolean"), "jaccard-seen")
+            release(spark)
             asked = slight(seen).join(fetch(seen.select("sid"), seen), "sid").select("p", "sid", "root", "first", "twice", "text")
             more = stash(asked.repartition("p").sortWithinPartitions("p").mapInArrow(compare, "a long, b long"), "jaccard-more")
             before = roots
