@@ -37,15 +37,20 @@ def places_of(text: str) -> dict[str, int]:
 
 
 def common_subsequence(places: dict[str, int], n: int, b: str, least: int = 0) -> int:
-    """Length of the longest common subsequence of b and a text of n characters, given by its places; -1 once it can't reach `least`."""
+    """Length of the longest common subsequence of b and a text of n characters, given by its places; -1 once it can't reach `least`.
+
+    One of `least` characters leaves n - least of the text out at most, so the first characters of b meet no more than so many places beyond their own.
+    """
     full = free = (1 << n) - 1
-    for done in range(0, len(b), 32):
-        for held in map(places.get, b[done : done + 32], repeat(0)):
+    for done in range(16, len(b) + 16, 16):
+        for held in map(places.get, b[done - 16 : done], repeat(0)):
             if held := held & free:
                 free = free + held | free - held  # bits over n are carried along unread
         free &= full
-        if n - free.bit_count() + len(b) - done - 32 < least and done + 32 < len(b):
-            return -1
+        if done < len(b):
+            near = min(n, done + max(0, n - least))
+            if near - (free & (1 << near) - 1).bit_count() + len(b) - done < least:
+                return -1
     return n - free.bit_count()
 
 
