@@ -47,8 +47,7 @@ def _each(text: Column, pairs: list[tuple[str, str]]) -> Column:
 
 def verse_key(text: Column) -> Column:
     """No marks; punctuation, digits and slashes as spaces; collapsed; lower case."""
-    out = F.regexp_replace(delete(text, MARKS), r'[،؛:.!?()«»"]', " ")
-    return F.lower(collapse(F.regexp_replace(out, r"[0-9\[\]/]", " ")))
+    return F.lower(collapse(F.regexp_replace(delete(text, MARKS), r'[،؛:.!?()«»"0-9\[\]/]', " ")))
 
 
 def narration_key(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from itertools import repeat
@@ -65,39 +66,135 @@ def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return length, np.bincount(row * _BINS + codes, minlength=len(texts) * _BINS).reshape(len(texts), _BINS).astype(np.int32)
 
 
+#: Characters of the grams that long texts are looked up by, bits of their table, pairs aligned together, characters of texts that are aligned so, pairs of all queries and texts at hand.
+_GRAM, _TABLE, _PAIRS, _WIDE, _MOST = 8, 20, 4096, 1024, 4_000_000
+
+
+def _grams(codes: np.ndarray) -> np.ndarray:
+    """Places in the table of the grams that begin at each code point."""
+    x = codes * np.uint32(0x9E3779B1)
+    for step, factor in ((1, 0x85EBCA6B), (2, 0xC2B2AE35), (4, 0x27D4EB2F)):
+        x = x[:-step] * np.uint32(factor) + (x[step:] ^ x[step:] >> np.uint32(15)) if len(x) > step else x[:0]
+    return x >> np.uint32(32 - _TABLE)
+
+
 class Near:
-    """A part of the texts, by length, to be asked which of them have at least a ratio (M1) of `threshold` with a query that they don't contain."""
+    """A part of the texts, by length, to be asked which of them have at least a ratio (M1) of `threshold` with queries that they don't contain."""
 
     def __init__(self, texts: list[str], threshold: float, least_word: int):
         self.order = np.argsort([len(t) for t in texts], kind="stable")
         self.texts, self.threshold, self.least_word = [texts[i] for i in self.order.tolist()], threshold, least_word
         self.length, self.letters = _letters(self.texts)
         self.words = [self._kinds(t) for t in self.texts]
+        # The blocks of M1 with a text of 200 or more characters: each but the first holds a character that is rare there (autojunk).
+        self.blocks = [1 + sum(k for k in Counter(t).values() if k <= len(t) // 100 + 1) if len(t) >= 200 else 0 for t in self.texts]
+        self.held = np.zeros(1 << _TABLE, bool)
+        for text in self.texts:
+            if len(text) >= 200:
+                self.held[_grams(_codes(text))] = True
+        n = int(np.searchsorted(self.length, _WIDE, "right"))  # the places of each letter, as bits of 64 characters, a last letter without any
+        self.places = np.zeros((-(-int(self.length[n - 1]) // 64) if n else 0, n * (_BINS + 1)), np.uint64)
+        codes = _codes("".join(self.texts[:n]))
+        row = np.repeat(np.arange(n), self.length[:n])
+        at = np.arange(len(codes)) - np.repeat(np.cumsum(self.length[:n]) - self.length[:n], self.length[:n])
+        np.bitwise_or.at(self.places, (at // 64, row * (_BINS + 1) + codes % _BINS), np.uint64(1) << (at % 64).astype(np.uint64))
 
     def _kinds(self, text: str) -> frozenset[str]:
         return frozenset(w for w in text.split() if len(w) >= self.least_word)
 
-    def of(self, query: str, letters: np.ndarray) -> list[tuple[int, float]]:
-        """(text, ratio). The ratio counts characters in common order, so that it is bounded by the lengths, by the letters that both have wherever
-        they stand, and by the longest common subsequence, in the order of what the bounds cost."""
-        t, n, out = self.threshold, len(query), []
-        low, high = np.searchsorted(self.length, [np.ceil(n * t / (2 - t) - 1e-9), np.floor(n * (2 - t) / t + 1e-9) + 1])
-        if low >= high:
+    def of(self, queries: list[str]) -> list[tuple[int, int, float]]:
+        """(query, text, ratio). The ratio counts characters in common order, so that it is bounded by the lengths, by the letters that both have wherever
+        they stand, and by the longest common subsequence. It counts them in blocks; where a text allows few, whole grams are in common."""
+        t, out = self.threshold, []
+        length, letters = _letters(queries)
+        by = np.argsort(length, kind="stable")
+        n = length[by]
+        kind = np.uint16 if max(length.max(initial=0), self.length.max(initial=0)) < 1 << 15 else np.int32
+        counts = np.ascontiguousarray(letters[by].T.astype(kind))
+        codes = _codes("".join(queries))
+        ends = np.cumsum(length)
+        grams = np.zeros(len(codes) + 1, np.int64)
+        found = self.held[_grams(codes)]
+        np.cumsum(found, out=grams[1 : len(found) + 1])
+        grams = (grams[np.maximum(ends - length, ends - _GRAM + 1)] - grams[ends - length])[by]
+        low, high = np.searchsorted(n, np.ceil(self.length * t / (2 - t) - 1e-9)), np.searchsorted(n, np.floor(self.length * (2 - t) / t + 1e-9) + 1)
+        which, rows = [], []
+        for k in np.flatnonzero(low < high).tolist():
+            at = slice(low[k], high[k])
+            if self.blocks[k]:
+                need = t * (n[at] + self.length[k]) / 2 - 1e-9 - self.blocks[k] * (_GRAM - 1)
+                at = np.flatnonzero(grams[at] >= need) + low[k]
+                if not len(at):
+                    continue
+            some = np.flatnonzero(self.letters[k])
+            shared = np.minimum(counts[some, at] if isinstance(at, slice) else counts[some[:, None], at], self.letters[k, some, None].astype(kind)).sum(axis=0, dtype=kind)
+            close = by[at][2 * shared.astype(np.int64) >= t * (n[at] + self.length[k]) - 1e-9]
+            which.append(np.full(len(close), k))
+            rows.append(close)
+        if not sum(map(len, which)):
             return out
-        shared = np.minimum(self.letters[low:high], letters).sum(axis=1)
-        close = np.flatnonzero(2 * shared >= t * (n + self.length[low:high]) - 1e-9) + low
-        kinds = self._kinds(query) if len(close) and self.least_word else None
-        places = places_of(query) if len(close) else {}
-        for k in close.tolist():
-            text = self.texts[k]
+        which, rows = np.concatenate(which), np.concatenate(rows)
+        letter = np.append((codes % _BINS).astype(np.uint8), np.uint8(_BINS))
+        aligned = [self._aligned(which[i : i + _PAIRS], rows[i : i + _PAIRS], letter, ends - length, length) for i in range(0, len(which), _PAIRS)]
+        places, last, kinds = {}, -1, None
+        for i in np.concatenate(aligned).nonzero()[0].tolist():
+            k, row = int(which[i]), int(rows[i])
+            query, text = queries[row], self.texts[k]
+            if row != last:
+                last, places, kinds = row, places_of(query), self._kinds(query) if self.least_word else None
             if kinds is not None and kinds.isdisjoint(self.words[k]) or query in text:
                 continue
-            need = t * (n + len(text)) / 2 - 1e-9
-            if common_subsequence(places, n, text, int(np.ceil(need))) < need:
+            need = t * (len(query) + len(text)) / 2 - 1e-9
+            if common_subsequence(places, len(query), text, int(np.ceil(need))) < need:
                 continue
             ratio = SequenceMatcher(None, query, text).ratio()
             if ratio >= t:
-                out.append((int(self.order[k]), ratio))
+                out.append((row, int(self.order[k]), ratio))
+        return out
+
+    def _aligned(self, which: np.ndarray, rows: np.ndarray, letter: np.ndarray, begins: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether a common subsequence of the letters of each pair of text and query may have the length asked for: common_subsequence() of all pairs at once.
+
+        A text's characters enter, 64 at a time, when they come in reach of the query's.
+        """
+        out = np.ones(len(which), bool)
+        pair = np.flatnonzero(self.length[which] <= _WIDE)
+        if not len(pair):
+            return out
+        one = np.uint64(1)
+        m, n, begin, base = self.length[which[pair]], length[rows[pair]], begins[rows[pair]], which[pair] * (_BINS + 1)
+        least = np.ceil(self.threshold * (n + m) / 2 - 1e-9).astype(np.int64)
+        free = np.full((-(-int(m.max()) // 64), len(pair)), ~np.uint64(0))
+        done = 0
+        while len(pair) and done < n.max():
+            step = np.arange(done, done + 16)[:, None]
+            now = base + np.where(step < n, letter[np.minimum(begin + step, len(letter) - 1)], _BINS)
+            done += 16
+            near = np.minimum(m, done + np.maximum(0, m - least))
+            words = -(-int(near.max()) // 64)
+            for x in now:
+                carry = None
+                for w in range(words):
+                    held = self.places[w][x]
+                    held &= free[w]
+                    total = free[w] + held
+                    over = total < held
+                    if carry is not None:
+                        total += carry
+                        over |= total < carry
+                    free[w] ^= held
+                    free[w] |= total
+                    carry = over.astype(np.uint64)
+            matched = near.copy()
+            for w in range(words):
+                bits = np.clip(near - 64 * w, 0, 64)
+                mask = np.where(bits == 64, ~np.uint64(0), (one << np.minimum(bits, 63).astype(np.uint64)) - one)
+                matched -= np.bitwise_count(free[w] & mask)
+            stays = matched + np.maximum(0, n - done) >= least
+            if not stays.all():
+                out[pair[~stays]] = False
+                free = free[:, stays]
+                pair, m, n, begin, base, least = (v[stays] for v in (pair, m, n, begin, base, least))
         return out
 
 
@@ -107,10 +204,10 @@ def near_texts(queries: DataFrame, query: str, texts: DataFrame, text_id: str, t
     The texts, a corpus to be asked about, are broadcast in parts of about `part_rows` by length; each part is asked for all queries, in a pass of its own, and pairs
     are made only where the ratio is reached. Null and empty sides have no pairs.
     """
-    q = queries.select(query).filter(F.length(query) > 0)
     t = texts.select(text_id, text).filter(F.length(text) > 0)
-    n_rows, n_bytes = t.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
-    parts = max(1, -(-n_rows // part_rows), -(-n_bytes // (16 << 20)))
+    n_rows, n_bytes, least, most = t.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.min(F.length(text)), F.max(F.length(text))).first()
+    q = queries.select(query).filter(F.length(query).between(max(1, int((least or 0) * threshold / (2 - threshold) - 1e-9)), int((most or 0) * (2 - threshold) / threshold + 1)))
+    parts = max(1, -(-n_rows // part_rows), -(-n_bytes // (4 << 20)))
     schema = T.StructType([q.schema[query], t.schema[text_id], T.StructField("ratio", T.DoubleType())])
     found = None
     for part in range(parts):
@@ -120,9 +217,8 @@ def near_texts(queries: DataFrame, query: str, texts: DataFrame, text_id: str, t
         def ask(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
             ids, near = asked.value
             for batch in batches:
-                rows = batch.column(0).to_pylist()
-                _, letters = _letters(rows)
-                hits = [(i, k, r) for i, row in enumerate(rows) for k, r in near.of(row, letters[i])]
+                rows, step = batch.column(0).to_pylist(), max(256, _MOST // max(1, len(ids)))
+                hits = [(a + i, k, r) for a in range(0, len(rows), step) for i, k, r in near.of(rows[a : a + step])]
                 if hits:
                     at, which, ratios = zip(*hits, strict=True)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), ids.take(pa.array(which)), pa.array(ratios, pa.float64())], names=[query, text_id, "ratio"])

@@ -12,12 +12,14 @@ from pyspark.sql import types as T
 
 from ..functions import profiles, similarity
 from ..functions.profiles import ARABIC_BLOCKS
-from ..functions.tokens import words
+from ..functions.tokens import char_ngrams, words
 from ..sources.tables import store
-from .retrieve import contained, holding
+from .retrieve import contained, holding, maybe_broadcast
 
 _MARKER = r"\([٠-٩0-9]+\)"
 _FOREIGN = rf"(?U)[^{ARABIC_BLOCKS}\s]{{3,}}"
+#: First characters of a span by which those are found that a passage may contain.
+_HEAD = 16
 
 
 def strategy_vote(matched: Column, total: Column, strategy: str) -> Column:
@@ -45,19 +47,27 @@ def verify_verses(spans: DataFrame, span_id: str, span_col: str, corpus: DataFra
     similarity if the span has over two words; or if its ratio (M1) reaches the threshold; unless its marks contradict the span's (V4). Passages that contain
     a span are found by its rarest gram, those near it by a threshold join (similarity.near_texts); spans of equal key are compared once.
     """
-    q = spans.select(span_id, F.col(span_col).alias("_s"), profiles.verse_key(F.col(span_col)).alias("_q"))
+    marked = F.when(profiles.has_diacritics(F.col(span_col)), F.col(span_col))
+    q = store(spans.select(span_id, marked.alias("_s"), profiles.verse_key(F.col(span_col)).alias("_q")), "spans")
     c = corpus.select(passage_id, F.col(passage_col).alias("_p"), profiles.verse_key(F.col(passage_col)).alias("_c"))
-    exact = q.join(c.groupBy("_c").agg(F.min(passage_id).alias(passage_id)), F.col("_q") == F.col("_c")).select(span_id, F.lit(1.0).alias("similarity"), passage_id, F.lit("exact").alias("match_type"))
-    rest = store(q.join(exact, span_id, "left_anti").filter("_q != ''"), "spans")
-    keys = rest.select("_q").distinct()
-    inside = holding(keys, "_q", "_q", c, passage_id, "_c").join(c.select(passage_id, "_c"), passage_id)
+    first = c.groupBy("_c").agg(F.min(passage_id).alias(passage_id))
+    exact = store(q.join(maybe_broadcast(first), F.col("_q") == F.col("_c")).select(span_id, F.lit(1.0).alias("similarity"), passage_id, F.lit("exact").alias("match_type")), "exact")
+    rest = q.join(maybe_broadcast(exact.select(span_id)), span_id, "left_anti").filter("_q != ''")
+    most = c.agg(F.max(F.length("_c"))).first()[0] or 0
+    keys = store(rest.select("_q").filter(F.length("_q") <= int(most * (2 - threshold) / threshold + 1)).distinct(), "keys")
+    # What a passage contains begins like some place of it, which leaves few keys to look up by their grams.
+    heads = c.select(F.explode(char_ngrams(F.col("_c"), _HEAD)).alias("_h")).distinct()
+    short, long = F.length("_q") < _HEAD, F.length("_q").between(_HEAD, most)
+    needles = store(keys.filter(long).join(maybe_broadcast(heads), F.substring("_q", 1, _HEAD) == F.col("_h"), "left_semi").unionByName(keys.filter(short)), "needles")
+    inside = holding(needles, "_q", "_q", c, passage_id, "_c").join(c.select(passage_id, "_c"), passage_id)
     inside = inside.filter(F.arrays_overlap(words(F.col("_q"), 3), words(F.col("_c"), 3))).select("_q", passage_id, similarity.sequence_ratio(F.col("_q"), F.col("_c")).alias("_r"), (F.size(words(F.col("_q"))) > 2).alias("_sub"))
     near = similarity.near_texts(keys, "_q", c, passage_id, "_c", threshold, least_word=3).select("_q", passage_id, F.col("ratio").alias("_r"), F.lit(False).alias("_sub"))
-    pairs = rest.join(inside.unionByName(near), "_q").join(c.select(passage_id, "_p"), passage_id)
-    found = pairs.filter(~profiles.has_diacritics(F.col("_s")) | ~diacritics_rejected(F.col("_s"), F.col("_p")))
+    matches = store(inside.unionByName(near), "matches")
+    pairs = rest.join(maybe_broadcast(matches), "_q").join(c.select(passage_id, "_p"), passage_id)
+    found = pairs.filter(F.col("_s").isNull() | ~diacritics_rejected(F.col("_s"), F.col("_p")))
     found = found.withColumn("similarity", F.when(F.col("_sub"), F.greatest(F.col("_r"), F.lit(threshold))).otherwise(F.col("_r"))).withColumn("match_type", F.when(F.col("_sub"), "substring").otherwise("fuzzy"))
     best = found.groupBy(span_id).agg(F.min_by(F.struct("similarity", passage_id, "match_type"), F.struct(-F.col("similarity"), F.col(passage_id))).alias("_b"))
-    out = spans.select(span_id).join(exact.unionByName(best.select(span_id, "_b.similarity", f"_b.{passage_id}", "_b.match_type")), span_id, "left")
+    out = q.select(span_id).join(exact.unionByName(best.select(span_id, "_b.similarity", f"_b.{passage_id}", "_b.match_type")), span_id, "left")
     return out.select(span_id, F.col("match_type").isNotNull().alias("is_match"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), passage_id, "match_type")
 
 
